@@ -1,0 +1,34 @@
+"""Separate the few keys that are too large for one window partition.
+
+A window sorts all rows of a key in one task, and a sliding frame re-reads its rows, so a
+key with a third of the table must not go that way. ``split_by_weight`` finds such keys by
+a map-side-combined count and broadcasts their list, which ``Settings.heavy_keys`` bounds;
+no row is shuffled to decide where it belongs. The heavy rows are handled by aggregates.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from needledrop.config import Settings
+
+
+def heavy_keys(df: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return (
+        counts.where(F.col("_rows") > settings.heavy_rows)
+        .orderBy(F.desc("_rows"), *keys)
+        .limit(settings.heavy_keys)
+        .select(*keys)
+    )
+
+
+def split_by_weight(df: DataFrame, keys: list[str], settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(light rows, heavy rows); every row is in exactly one of them."""
+    heavy = F.broadcast(heavy_keys(df, keys, settings))
+    return df.join(heavy, keys, "left_anti"), df.join(heavy, keys, "left_semi")
+
+
+def id_block(obs_id: str, settings: Settings):
+    return F.shiftright(F.col(obs_id).cast("bigint"), settings.id_block_bits)
