@@ -35,8 +35,11 @@ def light_split(df: DataFrame, keys: list[str], settings: Settings) -> DataFrame
     return numbered.withColumn("_is_train", F.col("_pos") < train_rows(F.col("_n"), settings))
 
 
-def heavy_split(df: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
-    """``df`` holds at most ``settings.heavy_keys`` users, so one row per user may be broadcast."""
+def last_train_rows(df: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
+    """(keys, last date, last id) of the train rows, one row per key; ``df`` carries ``_date``.
+
+    ``df`` holds at most ``settings.heavy_keys`` users, so one row per key may be broadcast.
+    """
     per_user = W.partitionBy(*keys)
     zero = F.lit(0).cast("bigint")
 
@@ -57,10 +60,14 @@ def heavy_split(df: DataFrame, keys: list[str], settings: Settings) -> DataFrame
 
     in_block = inside.join(F.broadcast(last_block), [*keys, "_blk"])
     in_block = in_block.withColumn("_pos", F.row_number().over(per_user.orderBy(settings.obs_id)))
-    last_row = in_block.where(F.col("_pos") == F.col("_rest")).select(
+    return in_block.where(F.col("_pos") == F.col("_rest")).select(
         *keys, F.col("_date").alias("_last_date"), F.col(settings.obs_id).alias("_last_id")
     )
-    return df.join(F.broadcast(last_row), keys).withColumn(
+
+
+def heavy_split(df: DataFrame, last: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
+    """Compare every row with the last train row of its key."""
+    return df.join(F.broadcast(last), keys).withColumn(
         "_is_train",
         (F.col("_date") < F.col("_last_date"))
         | ((F.col("_date") == F.col("_last_date")) & (F.col(settings.obs_id) <= F.col("_last_id"))),
@@ -79,5 +86,5 @@ def with_time_split(
     keep = [*df.columns, fold_name(F.col("_is_train")).alias(settings.fold_column)]
     dated = wall_clock(df, settings.ts).withColumn("_date", calendar_day(settings.ts))
     light, heavy = split_by_weight(dated, keys, settings)
-    parts = [light_split(light, keys, settings), heavy_split(heavy, keys, settings)]
+    parts = [light_split(light, keys, settings), heavy_split(heavy, last_train_rows(heavy, keys, settings), keys, settings)]
     return reduce(DataFrame.unionByName, [p.select(*keep) for p in parts])

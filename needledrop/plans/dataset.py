@@ -34,10 +34,10 @@ from needledrop.operators.columns import (
 )
 from needledrop.operators.encode import ColumnImputer
 from needledrop.operators.heavy import split_by_weight
-from needledrop.operators.history import heavy_history, light_history
-from needledrop.operators.split import TEST, TRAIN, fold_name, heavy_split, light_split
+from needledrop.operators.history import heavy_history, light_history, with_history
+from needledrop.operators.split import TEST, TRAIN, fold_name, heavy_split, last_train_rows, light_split
 from needledrop.operators.tracks import enrich, flatten_documents, track_features
-from needledrop.sources import path_exists, read_catalogue, read_enriched, read_plays, reject_null_keys
+from needledrop.sources import path_exists, read_catalogue, read_enriched, read_plays, reject_null_keys, settled
 
 FRAME = "frame"
 # What the original computes, and the documented count that knows no future plays.
@@ -77,37 +77,55 @@ def history_features(
 
     light = folded(light_split(light_history(light, keys, wanted, settings), keys, settings))
     # One row per heavy user and frame, so this side keeps the bound of the heavy list.
-    heavy = folded(heavy_split(heavy_history(heavy, keys, wanted, settings), keys, settings))
+    last = last_train_rows(heavy, keys, settings)
+    counted = heavy_history(heavy, keys, wanted, settings) if wanted else heavy
+    counted = folded(heavy_split(counted, last, keys, settings))
     if learn_rate:
         learned = F.avg(F.when(F.col(fold) == TRAIN, F.col(settings.label)))
         light = light.withColumn(RATE_COLUMN, learned.over(W.partitionBy(user)))
-        rates = heavy.groupBy(user).agg(learned.alias(RATE_COLUMN))
-        heavy = heavy.join(F.broadcast(rates), user)
-    return light.select(*keep).unionByName(heavy.select(*keep))
+        rates = folded(heavy_split(heavy, last, keys, settings)).groupBy(user).agg(learned.alias(RATE_COLUMN))
+        counted = counted.join(F.broadcast(rates), user)
+    return light.select(*keep).unionByName(counted.select(*keep))
 
 
-def with_global_rate(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Users without train rows get the rate over all train rows."""
-    learned = df.where(F.col(settings.fold_column) == TRAIN).agg(F.avg(settings.label).alias("_global"))
+def with_global_rate(df: DataFrame, plays: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Users without train rows get the rate over all train rows of ``plays``, the frames before any feature."""
+    narrow = plays.select(settings.user, settings.ts, settings.obs_id, settings.label, FRAME)
+    folded = history_features(narrow, (), settings, learn_rate=False)
+    learned = folded.where(F.col(settings.fold_column) == TRAIN).agg(F.avg(settings.label).alias("_global"))
     filled = F.coalesce(RATE_COLUMN, "_global").alias(RATE_COLUMN)
     return df.crossJoin(F.broadcast(learned)).select(*[c for c in df.columns if c != RATE_COLUMN], filled)
 
 
 def feature_table(
-    plays: DataFrame, counts: tuple[str, ...] = PARITY_COUNTS, settings: Settings = Settings()
+    plays: DataFrame,
+    features: DataFrame | None = None,
+    counts: tuple[str, ...] = PARITY_COUNTS,
+    settings: Settings = Settings(),
 ) -> DataFrame:
-    """All features of one frame of enriched plays, raw columns dropped, label last."""
-    from needledrop.operators.history import with_history
+    """All features of one frame, raw columns dropped, label last.
 
-    table = with_history(row_features(plays), counts, settings=settings).drop(*RAW_COLUMNS)
+    The counts are taken on the plays as they are read, and the catalogue ``features`` are
+    joined after that (none for plays that are joined already): what runs more than
+    once, such as the search for heavy users, is then a scan of few columns.
+    """
+    table = with_history(plays, counts, settings=settings)
+    table = row_features(table if features is None else enrich(table, features)).drop(*RAW_COLUMNS)
     return label_last(table, settings.label) if settings.label in table.columns else table
 
 
-def enrich_frames(train: DataFrame, test: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Join both frames with catalogue features whose statistics come from the train tracks."""
-    train = train.withColumn("track_id", track_id("spotify_track_uri"))
-    test = test.withColumn("track_id", track_id("spotify_track_uri"))
-    features = track_features(flatten_documents(documents), distinct_values(train, "track_id"))
+def catalogue_features(documents: DataFrame, train: DataFrame) -> DataFrame:
+    """Features of all documents, with statistics of the train plays' tracks, as a table.
+
+    The many small documents are read once, and each of the passes below reads a table.
+    """
+    tracks = settled(flatten_documents(documents), "tracks")
+    used = settled(distinct_values(train.select(track_id("spotify_track_uri").alias("track_id")), "track_id"), "used")
+    return settled(track_features(tracks, used), "track_features")
+
+
+def enrich_frames(train: DataFrame, test: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Join both frames with the catalogue, fill the constant defaults, make the label 0/1."""
     train = enrich(train, features).withColumn("reason_end", label_flag("reason_end"))
     train = label_last(train.withColumnRenamed("reason_end", "fwdbtn"), "fwdbtn")
     return fill_constants(train), fill_constants(enrich(test, features).drop("reason_end"))
@@ -119,9 +137,8 @@ def load_frames(
     """The enriched tables ``ENRICHED/train`` and ``/test``; built and written when absent."""
     if enriched and path_exists(spark, f"{enriched}/train/_SUCCESS") and path_exists(spark, f"{enriched}/test/_SUCCESS"):
         return read_enriched(spark, f"{enriched}/train"), read_enriched(spark, f"{enriched}/test")
-    train, test = enrich_frames(
-        read_plays(spark, train_path), read_plays(spark, test_path), read_catalogue(spark, catalogue)
-    )
+    train, test = read_plays(spark, train_path), read_plays(spark, test_path)
+    train, test = enrich_frames(train, test, catalogue_features(read_catalogue(spark, catalogue), train))
     if not enriched:
         return train, test
     train.write.mode("overwrite").parquet(f"{enriched}/train")
@@ -132,12 +149,14 @@ def load_frames(
 def build_dataset(
     train: DataFrame,
     test: DataFrame,
+    features: DataFrame | None = None,
     counts: tuple[str, ...] = PARITY_COUNTS,
     settings: Settings = Settings(),
 ) -> DataFrame:
-    """Enriched frames to features, label, id and ``split``; nulls are left for ``impute``.
+    """Both frames to features, label, id and ``split``; nulls are left for ``impute``.
 
-    Columns without any value in the train frame are dropped from both frames.
+    ``features`` is joined as in ``feature_table``. Columns without any value in the train
+    frame are dropped from both frames.
     """
     empty = all_null_columns(train)
     train, test = train.drop(*empty), test.drop(*empty)
@@ -145,12 +164,15 @@ def build_dataset(
         test.drop(settings.label).withColumn(FRAME, F.lit(TEST)), allowMissingColumns=True
     )
     both = reject_null_keys(both, settings)
-    table = history_features(row_features(both), counts, settings)
-    return with_global_rate(table.drop(FRAME, *RAW_COLUMNS), settings)
+    table = with_global_rate(history_features(both, counts, settings), both, settings)
+    return row_features(table if features is None else enrich(table, features)).drop(FRAME, *RAW_COLUMNS)
 
 
 def impute(dataset: DataFrame, parity: bool = False, settings: Settings = Settings()) -> DataFrame:
-    """Fill nulls by medians and modes of the train rows; ``parity`` also learns from val rows."""
+    """Fill nulls by medians and modes of the train rows; ``parity`` also learns from val rows.
+
+    ``dataset`` is read several times, so it should be a table (``settled``) and not a plan.
+    """
     features = feature_columns(dataset, (settings.fold_column,))
     fold = F.col(settings.fold_column)
     learn = dataset.where(fold != TEST if parity else fold == TRAIN).select(*features)

@@ -57,8 +57,9 @@ def classifier(params: dict, settings: Settings = Settings(), early_stop: bool =
         cacheNodeIds=True,
         checkpointInterval=10,
         seed=settings.seed,
+        validationTol=0.0,
     )
-    return gbt.setValidationIndicatorCol("_validation").setValidationTol(0.0) if early_stop else gbt
+    return gbt.setParams(validationIndicatorCol="_validation") if early_stop else gbt
 
 
 @dataclass

@@ -6,7 +6,7 @@ from needledrop.sources.scans import (
     read_plays,
     reject_null_keys,
 )
-from needledrop.sources.store import fingerprint, path_exists, shared_dir, stored
+from needledrop.sources.store import fingerprint, path_exists, settled, shared_dir, stored
 
 __all__ = [
     "PLAY_SCHEMA",
@@ -17,6 +17,7 @@ __all__ = [
     "read_enriched",
     "read_plays",
     "reject_null_keys",
+    "settled",
     "shared_dir",
     "stored",
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ def shared_dir(spark: SparkSession, name: str = "needledrop") -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table of this application and read back.
+
+    Used where several passes follow: they then read few columns of a table, the plan starts
+    afresh, and a lost executor costs only its own tasks.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -38,7 +38,7 @@ from needledrop.plans.dataset import (
 )
 from needledrop.plans.search import search, top_trials
 from needledrop.plans.training import encode, fit, importance, scored
-from needledrop.sources import fingerprint, parse_documents
+from needledrop.sources import fingerprint, parse_documents, settled
 from needledrop.sources.sinks import prediction_rows
 from needledrop.workload import views
 
@@ -268,7 +268,7 @@ def user_skip_rate(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.plays(spark, sf).select("obs_id", "username", "ts", "fwdbtn")
     is_test = F.expr(views.IS_TEST) | (F.col("username") < 5)
     rows = rows.withColumn(FRAME, F.when(is_test, TEST).otherwise(TRAIN))
-    rated = with_global_rate(history_features(rows, ()))
+    rated = with_global_rate(history_features(rows, ()), rows)
     return _rounded(rated, CURVE_DIGITS, RATE_COLUMN).select("obs_id", DEFAULTS.fold_column, RATE_COLUMN)
 
 
@@ -281,9 +281,9 @@ def user_skip_rate_joined(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def feature_table_(spark: SparkSession, sf: str) -> DataFrame:
-    plays = cols.drop_all_null_columns(_enriched(spark, sf).drop("duration_normalized", "value_nullable", "k"))
-    return _rounded(feature_table(plays), CURVE_DIGITS, "time_of_day_sin", "time_of_day_cos")
-
+    plays = cols.drop_all_null_columns(views.plays(spark, sf).drop("value_nullable", "k"))
+    table = feature_table(plays, _features_of_tracks(spark, sf)).drop("duration_normalized")
+    return _rounded(table, CURVE_DIGITS, "time_of_day_sin", "time_of_day_cos")
 
 
 # --- encoding ------------------------------------------------------------------------
@@ -417,10 +417,10 @@ _SMALL = {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 3, "subsample":
 
 
 def _dataset(spark: SparkSession, sf: str) -> DataFrame:
-    enriched = _enriched(spark, sf).drop("k", "shuffle", "value_nullable", "reason_end")
-    enriched = enriched.withColumn("username", F.col("username").cast("string"))
-    train = enriched.where(f"NOT ({views.IS_TEST})")
-    return build_dataset(train, enriched.where(views.IS_TEST), PAST_COUNTS)
+    plays = views.plays(spark, sf).drop("k", "shuffle", "value_nullable", "reason_end")
+    plays = plays.withColumn("username", F.col("username").cast("string"))
+    train, test = plays.where(f"NOT ({views.IS_TEST})"), plays.where(views.IS_TEST)
+    return settled(build_dataset(train, test, _features_of_tracks(spark, sf), PAST_COUNTS), "dataset")
 
 
 @query
@@ -430,19 +430,19 @@ def imputed_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = encode(_dataset(spark, sf).persist())
+    encoded = encode(_dataset(spark, sf))
     rows = scored(fit(encoded, _SMALL), encoded.rows.where(F.col("split") == TEST))
     return prediction_rows(rows.select("obs_id", F.col("score").alias("target")))
 
 
 @query
 def model_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = encode(_dataset(spark, sf).persist())
+    encoded = encode(_dataset(spark, sf))
     return importance(spark, fit(encoded, _SMALL), encoded.encoder.feature_names())
 
 
 @query
 def search_trials(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = encode(_dataset(spark, sf).persist())
+    encoded = encode(_dataset(spark, sf))
     found = search(encoded, n_trials=2, estimators=(3,), first=_SMALL)
     return top_trials(spark, found["tuning_results"], 3)
