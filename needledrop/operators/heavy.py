@@ -2,8 +2,10 @@
 
 A window sorts all rows of a key in one task, and a sliding frame re-reads its rows, so a
 key with a third of the table must not go that way. ``split_by_weight`` finds such keys by
-a map-side-combined count and broadcasts their list, which ``Settings.heavy_keys`` bounds;
-no row is shuffled to decide where it belongs. The heavy rows are handled by aggregates.
+a map-side-combined count of the key column alone, and its list, which
+``Settings.heavy_keys`` bounds, is broadcast: no row is shuffled to decide where it
+belongs. The heavy rows are handled by aggregates. Mostly there is no heavy key at all,
+and then the plan is the plain window plan.
 """
 
 from __future__ import annotations
@@ -24,10 +26,20 @@ def heavy_keys(df: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
     )
 
 
-def split_by_weight(df: DataFrame, keys: list[str], settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(light rows, heavy rows); every row is in exactly one of them."""
-    heavy = F.broadcast(heavy_keys(df, keys, settings))
-    return df.join(heavy, keys, "left_anti"), df.join(heavy, keys, "left_semi")
+def split_by_weight(
+    df: DataFrame, keys: list[str], settings: Settings
+) -> tuple[DataFrame, DataFrame | None]:
+    """(light rows, heavy rows); every row is in exactly one; ``None`` when no key is heavy.
+
+    Runs one job, so that the plan holds only what the data needs.
+    """
+    found = heavy_keys(df, keys, settings)
+    rows = found.collect()
+    if not rows:
+        return df, None
+    heavy = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
+    light = df.join(heavy, keys, "left_anti")
+    return light, df.join(heavy, keys, "left_semi")
 
 
 def id_block(obs_id: str, settings: Settings):

@@ -166,7 +166,9 @@ def with_history(
     keep = [*df.columns, *columns]
     timed = wall_clock(df, settings.ts).withColumn("_us", micros(settings.ts))
     light, heavy = split_by_weight(timed, keys, settings)
-    parts = [light_history(light, keys, wanted, settings), heavy_history(heavy, keys, wanted, settings)]
+    parts = [light_history(light, keys, wanted, settings)]
+    if heavy is not None:
+        parts.append(heavy_history(heavy, keys, wanted, settings))
     return reduce(DataFrame.unionByName, [p.select(*keep) for p in parts])
 
 

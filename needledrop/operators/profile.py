@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from needledrop.operators.quantiles import exact_quantiles, long_values
 
@@ -89,16 +90,6 @@ def _classes(df: DataFrame, target: str) -> DataFrame:
     return df.where(F.col(target).isin(0, 1)).withColumn("target", F.col(target).cast("int"))
 
 
-def _usable(stats: DataFrame) -> DataFrame:
-    """Columns with values in both classes and some variance in one of them."""
-    return (
-        stats.groupBy("column")
-        .agg(F.count(F.lit(1)).alias("_classes"), F.max(F.col("min") != F.col("max")).alias("_varies"))
-        .where((F.col("_classes") == 2) & F.col("_varies"))
-        .select("column")
-    )
-
-
 def _class_stats(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """(column, target, n, mean, std, min, max) of the usable columns."""
     long = long_values(_classes(df, target), columns, ["target"])
@@ -109,7 +100,13 @@ def _class_stats(df: DataFrame, columns: list[str], target: str) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    return stats.join(F.broadcast(_usable(stats)), "column")
+    # Two rows per column at most: skip a column without values in one class or without any variance.
+    of_column = W.partitionBy("column")
+    classes = F.count(F.lit(1)).over(of_column)
+    varies = F.max(F.col("min") != F.col("max")).over(of_column)
+    return stats.withColumns({"_classes": classes, "_varies": varies}).where((F.col("_classes") == 2) & F.col("_varies")).drop(
+        "_classes", "_varies"
+    )
 
 
 def class_conditional_stats(df: DataFrame, columns: list[str], target: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Exact quantiles and modes without a sort of all values in one task.
 
-A value is located in three passes. The first counts values per bucket of a monotone map
-(1024 buckets per power of two), the second per 1/65536 of the bucket that holds the wanted
-rank, the third per distinct value of the piece that is left. Each pass combines on the map
-side, and the last one sees at most the doubles between two neighbours of a relative
+A value is located in up to three passes. The first counts values per bucket of a monotone
+map (1024 buckets per power of two), the second per 1/65536 of the bucket that holds the
+wanted rank, the third per distinct value of the piece that is left. Each pass combines on
+the map side, and the last one sees at most the doubles between two neighbours of a relative
 distance of 2**-26, however many rows there are. The maps only have to be monotone and
-repeatable, so the result is the exact order statistic.
+repeatable, so the result is the exact order statistic. A piece of one value ends the
+search, so data with few values needs the first pass only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 _PER_OCTAVE = 1024
@@ -46,23 +48,49 @@ def long_values(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def _pieces(found: DataFrame, wanted: list[str]) -> list[Row]:
+    """The pieces that hold the wanted ranks, one row per group, column, prob and end."""
+    left = (F.col("_rank") - F.col("_before")).alias("_rank")
+    return found.where(_holds_rank()).select(*wanted, "_lo", "_hi", left, "_frac").collect()
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None
 ) -> DataFrame:
     """(by ..., column, prob, value): quantiles with linear interpolation between ranks.
 
-    ``by`` must have few values, such as the classes of a target: one row per group, column
-    and prob is broadcast.
+    ``by`` must have few values, such as the classes of a target: two rows per group, column
+    and prob travel between the passes. Groups without values have no row.
     """
     by = list(by or [])
+    spark = df.sparkSession
     long = long_values(df, columns, by)
     group = [*by, "column"]
     wanted = [*group, "prob", "end"]
-
-    first = long.groupBy(*group, monotone_bucket(F.col("value")).alias("_b")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")
+    schema = T.StructType(
+        [
+            *[df.schema[c] for c in by],
+            T.StructField("column", T.StringType()),
+            T.StructField("prob", T.DoubleType()),
+            T.StructField("end", T.StringType()),
+            T.StructField("_lo", T.DoubleType()),
+            T.StructField("_hi", T.DoubleType()),
+            T.StructField("_rank", T.LongType()),
+            T.StructField("_frac", T.DoubleType()),
+        ]
     )
-    first = _ranked(first, group, "_b").withColumn("_all", F.sum("_n").over(W.partitionBy(*group)))
+
+    def narrowed(pieces: list[Row]) -> DataFrame:
+        t = spark.createDataFrame(pieces, schema).withColumnsRenamed({c: f"_t_{c}" for c in group})
+        match = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in group]
+        inside = F.col("value").between(F.col("_lo"), F.col("_hi"))
+        return long.join(F.broadcast(t), [*match, inside])
+
+    measures = [F.count(F.lit(1)).alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")]
+    carried = [F.max("_rank").alias("_rank"), F.max("_frac").alias("_frac")]
+
+    buckets = long.groupBy(*group, monotone_bucket(F.col("value")).alias("_b")).agg(*measures)
+    buckets = _ranked(buckets, group, "_b").withColumn("_all", F.sum("_n").over(W.partitionBy(*group)))
     ends = F.array(
         *[
             F.struct(F.lit(float(p)).alias("prob"), F.lit(e).alias("end"))
@@ -72,39 +100,23 @@ def exact_quantiles(
     )
     position = (F.col("_all") - 1) * F.col("prob")
     rank = F.when(F.col("end") == "lower", F.floor(position)).otherwise(F.ceil(position))
-    first = first.select("*", F.inline(ends)).withColumn("_rank", rank.cast("bigint")).where(_holds_rank())
-    pieces = first.select(
-        *wanted, "_lo", "_hi", (F.col("_rank") - F.col("_before")).alias("_rank"),
-        (position - F.floor(position)).alias("_frac"),
+    buckets = buckets.select("*", F.inline(ends)).withColumns(
+        {"_rank": rank.cast("bigint"), "_frac": position - F.floor(position)}
     )
-
-    def narrowed(target: DataFrame) -> DataFrame:
-        t = target.withColumnsRenamed({c: f"_t_{c}" for c in group})
-        match = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in group]
-        inside = F.col("value").between(F.col("_lo"), F.col("_hi"))
-        return long.join(F.broadcast(t), [*match, inside])
+    pieces = _pieces(buckets, wanted)
 
     width = F.col("_hi") - F.col("_lo")
-    piece = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width * _PIECES)).otherwise(0)
-    second = narrowed(pieces).groupBy(*wanted, piece.alias("_b")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("value").alias("_lo"),
-        F.max("value").alias("_hi"),
-        F.max("_rank").alias("_rank"),
-        F.max("_frac").alias("_frac"),
-    )
-    second = _ranked(second, wanted, "_b").where(_holds_rank())
-    rest = second.select(
-        *wanted, "_lo", "_hi", (F.col("_rank") - F.col("_before")).alias("_rank"), "_frac"
-    )
-
-    last = narrowed(rest).groupBy(*wanted, "value").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_rank").alias("_rank"), F.max("_frac").alias("_frac")
-    )
-    last = _ranked(last, wanted, "value").where(_holds_rank())
-    lower = F.max(F.when(F.col("end") == "lower", F.col("value")))
-    upper = F.max(F.when(F.col("end") == "upper", F.col("value")))
-    return last.groupBy(*group, "prob").agg(
+    share = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width * _PIECES)).otherwise(0)
+    for part in (share, F.col("value")):
+        wide = [p for p in pieces if p["_lo"] != p["_hi"]]
+        if not wide:
+            break
+        counts = narrowed(wide).groupBy(*wanted, part.alias("_b")).agg(*measures, *carried)
+        pieces = [p for p in pieces if p["_lo"] == p["_hi"]] + _pieces(_ranked(counts, wanted, "_b"), wanted)
+
+    lower = F.max(F.when(F.col("end") == "lower", F.col("_lo")))
+    upper = F.max(F.when(F.col("end") == "upper", F.col("_lo")))
+    return spark.createDataFrame(pieces, schema).groupBy(*group, "prob").agg(
         (lower * (1 - F.max("_frac")) + upper * F.max("_frac")).alias("value")
     )
 

@@ -86,5 +86,7 @@ def with_time_split(
     keep = [*df.columns, fold_name(F.col("_is_train")).alias(settings.fold_column)]
     dated = wall_clock(df, settings.ts).withColumn("_date", calendar_day(settings.ts))
     light, heavy = split_by_weight(dated, keys, settings)
-    parts = [light_split(light, keys, settings), heavy_split(heavy, last_train_rows(heavy, keys, settings), keys, settings)]
+    parts = [light_split(light, keys, settings)]
+    if heavy is not None:
+        parts.append(heavy_split(heavy, last_train_rows(heavy, keys, settings), keys, settings))
     return reduce(DataFrame.unionByName, [p.select(*keep) for p in parts])

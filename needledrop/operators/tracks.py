@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from needledrop.functions import lenient_float, release_year, track_id
 from needledrop.operators.columns import membership
 from needledrop.operators.quantiles import exact_quantiles
+from needledrop.sources.store import settled
 
 CATALOGUE_SCHEMA = T.StructType(
     [
@@ -47,8 +48,14 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
 
 
 def duration_stats(tracks: DataFrame, train_tracks: DataFrame | None = None) -> DataFrame:
-    """One row ``mean_ms, p99_ms, n``; every document with a positive duration has one vote."""
+    """One row ``mean_ms, p99_ms, n``; every document with a positive duration has one vote.
+
+    The durations of the train tracks become a one-column table first: finding these tracks
+    reads all plays, and that should not be repeated by each pass over the durations.
+    """
     used = membership(tracks, train_tracks, "track_id").where(F.col("duration_ms") > 0)
+    if train_tracks is not None:
+        used = settled(used.select("duration_ms"), "durations")
     mean = used.agg(
         F.coalesce(F.avg("duration_ms"), F.lit(0.0)).alias("mean_ms"), F.count(F.lit(1)).alias("n")
     )

@@ -37,7 +37,8 @@ from needledrop.operators.heavy import split_by_weight
 from needledrop.operators.history import heavy_history, light_history, with_history
 from needledrop.operators.split import TEST, TRAIN, fold_name, heavy_split, last_train_rows, light_split
 from needledrop.operators.tracks import enrich, flatten_documents, track_features
-from needledrop.sources import path_exists, read_catalogue, read_enriched, read_plays, reject_null_keys, settled
+from needledrop.sources.scans import read_catalogue, read_enriched, read_plays, reject_null_keys
+from needledrop.sources.store import path_exists, settled
 
 FRAME = "frame"
 # What the original computes, and the documented count that knows no future plays.
@@ -75,14 +76,21 @@ def history_features(
     def folded(rows: DataFrame) -> DataFrame:
         return rows.withColumn(fold, F.when(F.col(FRAME) == TEST, TEST).otherwise(fold_name(F.col("_is_train"))))
 
-    light = folded(light_split(light_history(light, keys, wanted, settings), keys, settings))
+    learned = F.avg(F.when(F.col(fold) == TRAIN, F.col(settings.label)))
+
+    # Laid out by user once; the windows by user and frame below need no other exchange.
+    light = light_history(light.repartition(user), keys, wanted, settings)
+    light = folded(light_split(light, keys, settings))
+    if learn_rate:
+        light = light.withColumn(RATE_COLUMN, learned.over(W.partitionBy(user)))
+    if heavy is None:
+        return light.select(*keep)
+
     # One row per heavy user and frame, so this side keeps the bound of the heavy list.
     last = last_train_rows(heavy, keys, settings)
     counted = heavy_history(heavy, keys, wanted, settings) if wanted else heavy
     counted = folded(heavy_split(counted, last, keys, settings))
     if learn_rate:
-        learned = F.avg(F.when(F.col(fold) == TRAIN, F.col(settings.label)))
-        light = light.withColumn(RATE_COLUMN, learned.over(W.partitionBy(user)))
         rates = folded(heavy_split(heavy, last, keys, settings)).groupBy(user).agg(learned.alias(RATE_COLUMN))
         counted = counted.join(F.broadcast(rates), user)
     return light.select(*keep).unionByName(counted.select(*keep))

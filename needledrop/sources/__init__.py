@@ -1,23 +1 @@
-from needledrop.sources.scans import (
-    PLAY_SCHEMA,
-    parse_documents,
-    read_catalogue,
-    read_enriched,
-    read_plays,
-    reject_null_keys,
-)
-from needledrop.sources.store import fingerprint, path_exists, settled, shared_dir, stored
-
-__all__ = [
-    "PLAY_SCHEMA",
-    "fingerprint",
-    "parse_documents",
-    "path_exists",
-    "read_catalogue",
-    "read_enriched",
-    "read_plays",
-    "reject_null_keys",
-    "settled",
-    "shared_dir",
-    "stored",
-]
+"""Readers, writers and stored tables; import from the submodules."""

@@ -38,7 +38,8 @@ from needledrop.plans.dataset import (
 )
 from needledrop.plans.search import search, top_trials
 from needledrop.plans.training import encode, fit, importance, scored
-from needledrop.sources import fingerprint, parse_documents, settled
+from needledrop.sources.scans import parse_documents
+from needledrop.sources.store import fingerprint, settled
 from needledrop.sources.sinks import prediction_rows
 from needledrop.workload import views
 

@@ -200,7 +200,7 @@ def oracle() -> dict[str, str]:
     )
     q["release_year"] = _with("SELECT track_id, CAST(release_year AS INT) AS release_year FROM featured", "featured")
     q["track_id_extract"] = _with(
-        "SELECT obs_id, CASE WHEN spotify_track_uri IS NOT NULL THEN CAST(k AS VARCHAR) END AS track_id FROM plays", "plays"
+        "SELECT obs_id, substr(spotify_track_uri, 15) AS track_id FROM plays", "plays"
     )
     q["enrich_left_join"] = _with(
         """SELECT obs_id, track_id, round(CAST(duration_normalized AS DOUBLE), 5) AS duration_normalized, explicit,

@@ -17,7 +17,10 @@ PLAYS = {
     "k": K,
     "reason_end": "CASE WHEN event_type = 'click' THEN 'fwdbtn' ELSE event_type END",
     "fwdbtn": "CASE WHEN event_type = 'click' THEN 1 ELSE 0 END",
-    "spotify_track_uri": f"CASE WHEN {K} % 13 = 0 THEN NULL ELSE concat('spotify:track:', CAST({K} AS VARCHAR(10))) END",
+    "spotify_track_uri": (
+        f"CASE WHEN {K} % 13 = 0 THEN NULL WHEN {K} >= 90 THEN concat('spotify:track:x', CAST({K} AS VARCHAR(10))) "
+        f"ELSE concat('spotify:track:', CAST({K} AS VARCHAR(10))) END"
+    ),
     "master_metadata_track_name": f"CASE WHEN {K} % 10 < 9 THEN concat('t', CAST({K} AS VARCHAR(10))) END",
     "episode_name": f"CASE WHEN {K} % 10 = 9 THEN concat('e', CAST({K} AS VARCHAR(10))) END",
     "platform": (
@@ -46,7 +49,6 @@ TRACKS = {
     ),
 }
 TRACKS_FROM = "part"
-TRACKS_WHERE = "p_partkey % 10 <> 0"
 
 USER_ORDERS = {"obs_id": "o_orderkey", "username": "o_custkey", "ts": "o_orderdate"}
 SCORED = {
@@ -67,11 +69,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, source: str, columns: dict[str, str], where: str | None = None) -> DataFrame:
-    df = table(spark, sf_dir, source)
-    if where:
-        df = df.where(where)
-    return df.selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
+def view(spark: SparkSession, sf_dir: str, source: str, columns: dict[str, str]) -> DataFrame:
+    return table(spark, sf_dir, source).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
 def plays(spark: SparkSession, sf_dir: str, minute: bool = False) -> DataFrame:
@@ -89,7 +88,7 @@ MINUTE_DUCKDB = "date_trunc('minute', ts)"
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, TRACKS_FROM, TRACKS, TRACKS_WHERE)
+    return view(spark, sf_dir, TRACKS_FROM, TRACKS)
 
 
 def user_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,15 +108,15 @@ def labeled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
 
 
-def _sql(source: str, columns: dict[str, str], where: str | None = None) -> str:
+def _sql(source: str, columns: dict[str, str]) -> str:
     listed = ", ".join(f"{e} AS {n}" for n, e in columns.items())
-    return f"SELECT {listed} FROM {source}" + (f" WHERE {where}" if where else "")
+    return f"SELECT {listed} FROM {source}"
 
 
 SQL_VIEWS = {
     "plays": _sql(PLAYS_FROM, PLAYS),
     "minute_plays": _sql(PLAYS_FROM, {**PLAYS, "ts": MINUTE_DUCKDB}),
-    "tracks": _sql(TRACKS_FROM, TRACKS, TRACKS_WHERE),
+    "tracks": _sql(TRACKS_FROM, TRACKS),
     "user_orders": _sql("orders", USER_ORDERS),
     "scored": _sql("events", SCORED),
     "trials": _sql("part", TRIALS),
