@@ -6,7 +6,7 @@ from one exchange by user. Heavy users go through aggregates, see ``operators.he
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -47,16 +47,23 @@ PAST_COUNTS = (ORDER_COLUMN, BIN_COLUMN, *TRAILING_MINUTES)
 
 
 def row_features(df: DataFrame) -> DataFrame:
-    """Features that need no other row: calendar, presence flags, song age, platform."""
+    """Features that need no other row: calendar, presence flags, song age, platform.
+
+    A source column that was dropped because it held nothing counts as null in every row.
+    """
     df = with_temporal_features(wall_clock(df))
-    new = {
-        "is_song": presence_flag("master_metadata_track_name"),
-        "is_episode": presence_flag("episode_name"),
-        "platform": platform_family("platform"),
-    }
-    if "release_year" in df.columns:
-        new["song_age"] = song_age("year", "release_year")
-    return df.withColumns(new)
+
+    def source(name: str) -> Column:
+        return F.col(name) if name in df.columns else F.lit(None)
+
+    return df.withColumns(
+        {
+            "is_song": presence_flag(source("master_metadata_track_name")),
+            "is_episode": presence_flag(source("episode_name")),
+            "song_age": song_age("year", source("release_year")),
+            "platform": platform_family(source("platform").cast("string")),
+        }
+    )
 
 
 def history_features(

@@ -22,11 +22,17 @@ def prepared(
     folder: str,
     counts: tuple[str, ...] = PARITY_COUNTS,
     settings: Settings = Settings(),
+    fill_from_val: bool = False,
 ) -> Encoded:
-    """Load, enrich, derive, impute and encode; each step that is read again is a table."""
+    """Load, enrich, derive, impute and encode; each step that is read again is a table.
+
+    The encoder fills nulls from the train rows. ``fill_from_val`` fills them before that
+    from train and val rows together, as the original does.
+    """
     train, test = load_frames(spark, train_path, test_path, catalogue, f"{folder}/enriched")
     dataset = settled(build_dataset(train, test, counts=counts, settings=settings), "dataset")
-    encoded = encode(impute(dataset, settings=settings), settings, table_dir=f"{folder}/models")
+    dataset = impute(dataset, True, settings) if fill_from_val else dataset
+    encoded = encode(dataset, settings, table_dir=f"{folder}/models")
     return Encoded(settled(encoded.rows, "encoded"), encoded.encoder)
 
 

@@ -426,7 +426,9 @@ def _dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def imputed_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    return impute(_dataset(spark, sf))
+    rows = impute(_dataset(spark, sf))
+    numbers = [c for c in cols.numeric_columns(rows) if c not in ("obs_id", "fwdbtn")]
+    return rows.withColumns({c: F.round(F.col(c).cast("double"), 5) for c in numbers})
 
 
 @query

@@ -80,21 +80,28 @@ TEMPORAL = f"""
 
 SONG_AGE = "CASE WHEN year(ts) - release_year >= 0 THEN CAST(year(ts) - release_year AS DOUBLE) ELSE 0.0 END"
 
-TRACK_ORDER = "CAST(row_number() OVER (PARTITION BY username, CAST(ts AS DATE) ORDER BY ts, obs_id) AS INT)"
 
+def _track_order(by: str) -> str:
+    return f"CAST(row_number() OVER (PARTITION BY {by}, CAST(ts AS DATE) ORDER BY ts, obs_id) AS INT)"
 
-def _trailing(minutes: int) -> str:
+
+def _trailing(minutes: int, by: str) -> str:
     return (
-        "count(*) OVER (PARTITION BY username ORDER BY epoch_us(ts) "
+        f"count(*) OVER (PARTITION BY {by} ORDER BY epoch_us(ts) "
         f"RANGE BETWEEN {minutes * 60000000} PRECEDING AND 1 PRECEDING)"
     )
 
 
+def _trailing_all(by: str) -> str:
+    spans = {"40min": 40, "1h": 60, "6h": 360, "12h": 720, "24h": 1440}
+    return ", ".join(f"{_trailing(m, by)} AS songs_total_{n}" for n, m in spans.items())
+
+
+TRACK_ORDER = _track_order("username")
 ROLLING = f"""
   count(*) OVER (PARTITION BY username ORDER BY epoch_us(ts) // 1200000000
                  RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS songs_total_20min,
-  {_trailing(40)} AS songs_total_40min, {_trailing(60)} AS songs_total_1h, {_trailing(360)} AS songs_total_6h,
-  {_trailing(720)} AS songs_total_12h, {_trailing(1440)} AS songs_total_24h"""
+  {_trailing_all("username")}"""
 
 
 def _split(source: str, user: str = "username", where: str = "TRUE") -> str:
@@ -256,6 +263,43 @@ def oracle() -> dict[str, str]:
                    {TRACK_ORDER} AS track_order_in_day, {ROLLING}, fwdbtn FROM enriched""",
         "enriched",
     )
+    in_frame = f"username, ({IS_TEST})"
+    numbers = (
+        "year month day is_weekend is_morning is_afternoon is_evening is_night time_of_day_sin time_of_day_cos value "
+        "is_song is_episode explicit popularity track_number available_markets_count release_year duration_normalized "
+        "song_age track_order_in_day songs_bin_20min songs_total_40min songs_total_1h songs_total_6h songs_total_12h "
+        "songs_total_24h per_user_skip_rate"
+    ).split()
+    texts = ("day_of_week", "platform", "conn_country", "album_type", "username")
+    medians = ", ".join(
+        f"round(CAST(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM learn)) AS DOUBLE), 5) AS {c}" for c in numbers
+    )
+    modes = ", ".join(f"coalesce({c}, {_mode(c, 'learn')}) AS {c}" for c in texts)
+    folds = (
+        f"SELECT obs_id, username, fwdbtn, split FROM ({_split('tagged', where=f'NOT ({IS_TEST})')}) "
+        f"UNION ALL SELECT obs_id, username, NULL, 'test' FROM tagged WHERE {IS_TEST}"
+    )
+    table = f"""
+        SELECT e.obs_id, CAST(e.username AS VARCHAR) AS username, s.split, s.fwdbtn, {TEMPORAL}, value, {PLATFORM} AS platform,
+               conn_country, album_type, CAST(master_metadata_track_name IS NOT NULL AS TINYINT) AS is_song,
+               CAST(episode_name IS NOT NULL AS TINYINT) AS is_episode, explicit, popularity, track_number,
+               available_markets_count, release_year, duration_normalized, {SONG_AGE} AS song_age,
+               track_order_in_day, songs_bin_20min, songs_total_40min, songs_total_1h, songs_total_6h, songs_total_12h,
+               songs_total_24h, coalesce(rate, (SELECT avg(fwdbtn) FROM folds WHERE split = 'train')) AS per_user_skip_rate
+        FROM enriched e JOIN folds s ON e.obs_id = s.obs_id
+        JOIN (SELECT obs_id AS o, {_track_order(in_frame)} AS track_order_in_day, {_trailing_all(in_frame)},
+                     count(*) OVER (PARTITION BY {in_frame}, epoch_us(ts) // 1200000000) AS songs_bin_20min
+              FROM plays) c ON e.obs_id = c.o
+        LEFT JOIN (SELECT username AS u, avg(fwdbtn) AS rate FROM folds WHERE split = 'train' GROUP BY username) r
+          ON e.username = r.u"""
+    q["imputed_dataset"] = _with(
+        f"SELECT obs_id, split, CAST(fwdbtn AS INT) AS fwdbtn, {medians}, {modes} FROM dataset", "enriched"
+    ).replace(
+        " SELECT obs_id, split, CAST",
+        f", folds AS ({folds}), dataset AS ({table}), learn AS (SELECT * FROM dataset WHERE split = 'train') "
+        "SELECT obs_id, split, CAST",
+        1,
+    )
     q["impute_median_mode"] = _with(
         f"""SELECT obs_id, round(coalesce(value_nullable,
                      (SELECT quantile_cont(value_nullable, 0.5) FROM {LEARN})), 6) AS value_nullable,
