@@ -4,10 +4,10 @@ Light users: one exchange by user and one sort. Frames that reach into the futur
 written as running maxima over the past, because Spark recomputes a frame that ends at
 UNBOUNDED FOLLOWING for every row.
 
-Heavy users: every count is a difference of two "plays before instant x" numbers. These
-come from per-minute totals, added up per user, and a running sum inside the minute. A
-group is one user and minute of distinct instants, so its size is bounded by the clock
-and not by the number of plays.
+Heavy users: every count is made of per-minute totals, added up over the minutes of a user,
+and of running sums inside single minutes. A group is one user and minute of distinct
+instants, or the minutes of one user, so its size is bounded by the clock and not by the
+number of plays.
 """
 
 from __future__ import annotations
@@ -81,73 +81,76 @@ def light_history(df: DataFrame, keys: list[str], wanted: set[str], settings: Se
     return df.withColumns(out)
 
 
+def _weight_before(
+    table: DataFrame, keys: list[str], position: str, weight: str, shifts: dict[str, int], slot: int | None = None
+) -> DataFrame:
+    """(keys, position, before_now, before_NAME ...): the weight at smaller positions.
+
+    ``table`` has one row per key and position. ``before_NAME`` looks at position - shift. With
+    ``slot``, only the weight in the same slot of that many positions counts.
+    """
+    zero = F.lit(0).cast("bigint")
+    asked = [F.struct(F.lit("now").alias("q"), F.col(position).alias("x"), F.col(weight).alias("w"))]
+    asked += [
+        F.struct(F.lit(name).alias("q"), (F.col(position) - shift).alias("x"), zero.alias("w"))
+        for name, shift in shifts.items()
+    ]
+    points = table.select(*keys, position, F.inline(F.array(*asked)))
+    group = list(keys)
+    if slot:
+        points = points.withColumn("_slot", floor_div("x", slot))
+        group.append("_slot")
+    # At one position the questions come first: they and the weight itself see what is smaller.
+    smaller = W.partitionBy(*group).orderBy("x", F.col("w") > 0).rowsBetween(W.unboundedPreceding, -1)
+    points = points.withColumn("_sum", F.coalesce(F.sum("w").over(smaller), zero))
+    found = [F.max(F.when(F.col("q") == q, F.col("_sum"))).alias(f"before_{q}") for q in ("now", *shifts)]
+    return points.groupBy(*keys, position).agg(*found)
+
+
 def heavy_history(df: DataFrame, keys: list[str], wanted: set[str], settings: Settings) -> DataFrame:
     """Counts through per-minute totals; ``df`` carries ``_us``."""
     rows = df.withColumn("_blk", id_block(settings.obs_id, settings))
-    instant = [*keys, "_us"]
-    zero = F.lit(0).cast("bigint")
+    instant, minute = [*keys, "_us"], [*keys, "_min"]
+    spans = {name: minutes for name, minutes in TRAILING_MINUTES.items() if name in wanted}
 
     # Distinct instants; plays at one instant are told apart by blocks of ids.
     ties = rows.groupBy(*instant, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     by_block = W.partitionBy(*instant).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    ties = ties.withColumn("_tied_before", F.coalesce(F.sum("_n").over(by_block), zero))
+    ties = ties.withColumn("_tied_before", F.coalesce(F.sum("_n").over(by_block), F.lit(0).cast("bigint")))
     instants = ties.groupBy(*instant).agg(F.sum("_n").alias("_n"))
 
-    # Every point in time at which "plays before" is asked: the instant and each look-back.
-    spans = {n: m * MICROS_PER_MINUTE for n, m in TRAILING_MINUTES.items() if n in wanted}
-    ask = [F.struct(F.lit("now").alias("q"), F.col("_us").alias("x"), F.col("_n").alias("w"))]
-    ask += [
-        F.struct(F.lit(name).alias("q"), (F.col("_us") - span).alias("x"), zero.alias("w"))
-        for name, span in spans.items()
-    ]
-    points = instants.select(*instant, F.inline(F.array(*ask))).withColumn("_min", floor_div("x", MICROS_PER_MINUTE))
-
-    minute = [*keys, "_min"]
-    # At one instant the questions come first: both they and the play itself see earlier plays only.
-    in_minute = W.partitionBy(*minute).orderBy("x", F.col("w") > 0).rowsBetween(W.unboundedPreceding, -1)
-    points = points.withColumn("_inside", F.coalesce(F.sum("w").over(in_minute), zero))
-
-    per_user = W.partitionBy(*keys)
-    running = per_user.orderBy("_min").rowsBetween(W.unboundedPreceding, -1)
-    minutes = points.groupBy(*minute).agg(F.sum("w").alias("_w"))
-    minutes = minutes.withColumn("_before", F.coalesce(F.sum("_w").over(running), zero))
-    minutes = minutes.withColumn("_bin", floor_div("_min", BIN_MINUTES)).withColumn("_day", floor_div("_min", 1440))
+    # All spans are whole minutes, so the plays before t - span are those of the minutes before
+    # its minute, and those before it in its minute.
+    totals = instants.groupBy(*keys, floor_div("_us", MICROS_PER_MINUTE).alias("_min")).agg(F.sum("_n").alias("_w"))
+    minutes = _weight_before(totals, keys, "_min", "_w", spans).join(totals, minute)
     same_bin, same_day = W.partitionBy(*keys, "_bin"), W.partitionBy(*keys, "_day")
-    minutes = minutes.select(
+    minutes = minutes.withColumns(
+        {"_bin": floor_div("_min", BIN_MINUTES), "_day": floor_div("_min", MICROS_PER_DAY // MICROS_PER_MINUTE)}
+    ).select(
         *minute,
-        "_before",
-        F.min("_before").over(same_bin).alias("_before_bin"),
+        F.col("before_now").alias("_before"),
+        F.min("before_now").over(same_bin).alias("_before_bin"),
         F.sum("_w").over(same_bin).alias("_in_bin"),
-        F.min("_before").over(same_day).alias("_before_day"),
-        F.sum("_w").over(per_user).alias("_all"),
+        F.min("before_now").over(same_day).alias("_before_day"),
+        F.sum("_w").over(W.partitionBy(*keys)).alias("_all"),
+        *[(F.col("before_now") - F.col(f"before_{name}")).alias(f"_full_{name}") for name in spans],
     )
-
-    def answer(name: str) -> Column:
-        return F.max(F.when(F.col("q") == name, F.col("_before") + F.col("_inside")))
-
-    def at_now(name: str) -> Column:
-        return F.max(F.when(F.col("q") == "now", F.col(name))).alias(name)
-
-    answers = (
-        points.join(minutes, minute)
-        .groupBy(*instant)
-        .agg(
-            answer("now").alias("_now"),
-            *[answer(name).alias(f"_back_{name}") for name in spans],
-            *[at_now(n) for n in ("_before_bin", "_in_bin", "_before_day", "_all")],
-        )
-    )
-    answers = ties.join(answers, instant).drop("_n")
-    rows = rows.join(answers, [*instant, "_blk"])
-
-    out: dict[str, Column] = {name: F.col("_now") - F.col(f"_back_{name}") for name in spans}
+    shifts = {name: m * MICROS_PER_MINUTE for name, m in spans.items()}
+    answers = _weight_before(instants, keys, "_us", "_n", shifts, MICROS_PER_MINUTE)
+    answers = answers.withColumn("_min", floor_div("_us", MICROS_PER_MINUTE)).join(minutes, minute)
+    rows = rows.join(ties.drop("_n").join(answers, instant), [*instant, "_blk"])
+
+    out: dict[str, Column] = {
+        name: F.col(f"_full_{name}") + F.col("before_now") - F.col(f"before_{name}") for name in spans
+    }
     if BIN_SUFFIX_COLUMN in wanted:
         out[BIN_SUFFIX_COLUMN] = F.col("_all") - F.col("_before_bin")
     if BIN_COLUMN in wanted:
         out[BIN_COLUMN] = F.col("_in_bin")
     if ORDER_COLUMN in wanted:
         among_ties = F.row_number().over(W.partitionBy(*instant, "_blk").orderBy(settings.obs_id))
-        out[ORDER_COLUMN] = (F.col("_now") - F.col("_before_day") + F.col("_tied_before") + among_ties).cast("int")
+        before_today = F.col("_before") - F.col("_before_day") + F.col("before_now")
+        out[ORDER_COLUMN] = (before_today + F.col("_tied_before") + among_ties).cast("int")
     return rows.withColumns(out)
 
 

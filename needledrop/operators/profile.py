@@ -91,22 +91,31 @@ def _classes(df: DataFrame, target: str) -> DataFrame:
 
 
 def _class_stats(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(column, target, n, mean, std, min, max) of the usable columns."""
-    long = long_values(_classes(df, target), columns, ["target"])
-    stats = long.groupBy("column", "target").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    """(column, target, n, mean, std, min, max) of the usable columns.
+
+    All columns are aggregated side by side, so the rows are not multiplied by the columns.
+    """
+    values = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    wide = _classes(df, target).select(
+        "target", *[F.when(~F.isnan(v), v).alias(f"_{i}") for i, v in enumerate(values.values())]
+    )
+    measures = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    per_class = wide.groupBy("target").agg(
+        *[f(f"_{i}").alias(f"_{i}_{m}") for i in range(len(columns)) for m, f in measures.items()]
     )
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"_{i}_{m}").alias(m) for m in measures])
+        for i, c in enumerate(columns)
+    ]
+    stats = per_class.select("target", F.inline(F.array(*rows))).where(F.col("n") > 0)
     # Two rows per column at most: skip a column without values in one class or without any variance.
     of_column = W.partitionBy("column")
     classes = F.count(F.lit(1)).over(of_column)
     varies = F.max(F.col("min") != F.col("max")).over(of_column)
-    return stats.withColumns({"_classes": classes, "_varies": varies}).where((F.col("_classes") == 2) & F.col("_varies")).drop(
-        "_classes", "_varies"
+    usable = stats.withColumns({"_classes": classes, "_varies": varies}).where(
+        (F.col("_classes") == 2) & F.col("_varies")
     )
+    return usable.select("column", "target", *measures)
 
 
 def class_conditional_stats(df: DataFrame, columns: list[str], target: str) -> DataFrame:
