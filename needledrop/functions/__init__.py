@@ -8,6 +8,7 @@ from needledrop.functions.calendar import (
     with_temporal_features,
 )
 from needledrop.functions.scalars import (
+    as_salted_key,
     label_flag,
     lenient_float,
     platform_family,
@@ -17,6 +18,7 @@ from needledrop.functions.scalars import (
 )
 
 __all__ = [
+    "as_salted_key",
     "calendar_day",
     "floor_div",
     "label_flag",

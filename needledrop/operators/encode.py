@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from needledrop.functions import as_salted_key
 from needledrop.operators.columns import UNKNOWN
 from needledrop.operators.quantiles import exact_quantiles, smallest_modes
 
@@ -181,11 +182,10 @@ class FeatureEncoderModel(Model, _Columns, _Fills, DefaultParamsReadable, Defaul
             if c not in merged:
                 df = df.withColumn(c, F.when(frequent, text))
                 continue
-            # Only values outside the short list are looked up. The frequent rows get a key
-            # that matches nothing and differs from row to row, so none of them piles up.
-            spread = self.getOrDefault(self.spreadBy)
-            salt = F.pmod(F.xxhash64(spread if spread in df.columns else c), F.lit(4096)).cast("string")
-            keyed = df.withColumn(c, text).withColumn("_key", F.when(frequent, F.concat(F.lit("\x00"), salt)).otherwise(text))
+            # Only values outside the short list are looked up; the frequent rows are spread out.
+            by = self.getOrDefault(self.spreadBy)
+            spread = F.col(by if by in df.columns else c)
+            keyed = df.withColumns({c: text, "_key": as_salted_key(text, ~frequent, spread)})
             seen = self._rare_values(df.sparkSession, c)
             joined = keyed.join(seen, keyed["_key"] == seen["_seen"], "left")
             is_kept = F.col(c).isin(kept[c]) if kept[c] else F.lit(False)

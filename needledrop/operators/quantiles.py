@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 _PER_OCTAVE = 1024
 _OFFSET = 1 << 21  # above 1075 * 1024, so the sign decides first
 _PIECES = 65_536
+# Rows on the driver and in a broadcast: groups times columns times probs times 2.
+_MOST_PIECES = 100_000
 
 
 def monotone_bucket(v: Column) -> Column:
@@ -51,7 +53,10 @@ def long_values(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 def _pieces(found: DataFrame, wanted: list[str]) -> list[Row]:
     """The pieces that hold the wanted ranks, one row per group, column, prob and end."""
     left = (F.col("_rank") - F.col("_before")).alias("_rank")
-    return found.where(_holds_rank()).select(*wanted, "_lo", "_hi", left, "_frac").collect()
+    rows = found.where(_holds_rank()).select(*wanted, "_lo", "_hi", left, "_frac").take(_MOST_PIECES + 1)
+    if len(rows) > _MOST_PIECES:
+        raise ValueError("too many groups: group by a column with few values")
+    return rows
 
 
 def exact_quantiles(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from needledrop.functions import lenient_float, release_year, track_id
+from needledrop.functions import as_salted_key, lenient_float, release_year, track_id
 from needledrop.operators.columns import membership
 from needledrop.operators.quantiles import exact_quantiles
 from needledrop.sources.store import settled
@@ -16,8 +16,9 @@ CATALOGUE_SCHEMA = T.StructType(
         T.StructField("id", T.StringType()),
         T.StructField("duration_ms", T.LongType()),
         T.StructField("explicit", T.BooleanType()),
-        T.StructField("popularity", T.IntegerType()),
-        T.StructField("track_number", T.IntegerType()),
+        # Text, so that a value that is no number costs the value and not the document.
+        T.StructField("popularity", T.StringType()),
+        T.StructField("track_number", T.StringType()),
         T.StructField("available_markets", T.ArrayType(T.StringType())),
         T.StructField(
             "album",
@@ -39,8 +40,8 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
         F.coalesce("id", F.lit("")).alias("track_id"),
         F.coalesce("duration_ms", F.lit(0).cast("bigint")).alias("duration_ms"),
         F.coalesce("explicit", F.lit(False)).alias("explicit"),
-        F.coalesce("popularity", F.lit(0)).alias("popularity"),
-        F.coalesce("track_number", F.lit(0)).alias("track_number"),
+        F.coalesce("popularity", F.lit("0")).alias("popularity"),
+        F.coalesce("track_number", F.lit("0")).alias("track_number"),
         F.coalesce(F.size("available_markets"), F.lit(0)).alias("available_markets_count"),
         F.coalesce(F.col("album.album_type"), F.lit("")).alias("album_type"),
         F.coalesce(F.col("album.release_date"), F.lit("")).alias("release_date"),
@@ -83,7 +84,8 @@ def track_features(
         release_year("release_date").alias("release_year"),
         *([(d / 60_000.0).alias("duration_min")] if minutes else []),
     )
-    return shaped.withColumns({c: lenient_float(c) for c in _FLOATS})
+    texts = {f.name for f in shaped.schema if isinstance(f.dataType, T.StringType)}
+    return shaped.withColumns({c: lenient_float(c) if c in texts else F.col(c).cast("float") for c in _FLOATS})
 
 
 def one_row_per_track(features: DataFrame) -> DataFrame:
@@ -96,11 +98,16 @@ def enrich(plays: DataFrame, features: DataFrame, dedupe: bool = True) -> DataFr
     """Left join of the plays to their track's features; derives ``track_id`` when absent.
 
     The catalogue grows with the data, so no broadcast is forced; the planner broadcasts
-    it below its size limit, and splits the partition of a hot or null track otherwise.
+    it below its size limit, and splits the partition of a hot track otherwise. Plays
+    without a track are spread over all partitions.
     """
     if "track_id" not in plays.columns:
         plays = plays.withColumn("track_id", track_id("spotify_track_uri"))
-    return plays.join(one_row_per_track(features) if dedupe else features, "track_id", "left")
+    features = one_row_per_track(features) if dedupe else features
+    spread = F.col("obs_id") if "obs_id" in plays.columns else F.monotonically_increasing_id()
+    keyed = plays.withColumn("_key", as_salted_key(F.col("track_id"), F.col("track_id").isNotNull(), spread))
+    joined = keyed.join(features.withColumnRenamed("track_id", "_of"), F.col("_key") == F.col("_of"), "left")
+    return joined.drop("_key", "_of")
 
 
 def join_coverage(enriched: DataFrame) -> DataFrame:

@@ -87,8 +87,9 @@ def encode(dataset: DataFrame, settings: Settings = Settings(), table_dir: str =
     return Encoded(rows, model)
 
 
-def fit(encoded: Encoded, params: dict, settings: Settings = Settings()) -> GBTClassificationModel:
+def fit(encoded: Encoded, params: dict | None = None, settings: Settings = Settings()) -> GBTClassificationModel:
     """Fit on the train rows; the val rows decide when boosting stops."""
+    params = DEFAULT_PARAMS if params is None else params
     fold = F.col(settings.fold_column)
     rows = encoded.rows.where(fold != TEST).withColumn("_validation", fold == VALIDATION)
     return classifier(params, settings).fit(rows.withColumn(settings.label, F.col(settings.label).cast("double")))

@@ -51,6 +51,7 @@ def folder(tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(full, indent=2))
     (tmp_path / "b.JSON").write_text(json.dumps({"id": "t2"}))
     (tmp_path / "c.json").write_text(json.dumps({"id": "t3", "duration_ms": None, "album": None, "available_markets": None}))
+    (tmp_path / "g.json").write_text(json.dumps({"id": "t4", "popularity": "high", "track_number": 7}))
     (tmp_path / "d.json").write_text('{"id": "broken", ')
     (tmp_path / "e.txt").write_text(json.dumps({"id": "text"}))
     (tmp_path / "sub").mkdir()
@@ -60,15 +61,18 @@ def folder(tmp_path):
 
 def test_catalogue_folder(spark, folder):
     flat = {r["track_id"]: r for r in flatten_documents(read_catalogue(spark, folder)).collect()}
-    assert set(flat) == {"t1", "t2", "t3"}
-    assert tuple(flat["t1"])[1:] == (100, True, 3, 4, 2, "single", "2001-02")
-    assert tuple(flat["t2"])[1:] == tuple(flat["t3"])[1:] == (0, False, 0, 0, 0, "", "")
+    assert set(flat) == {"t1", "t2", "t3", "t4"}
+    assert tuple(flat["t1"])[1:] == (100, True, "3", "4", 2, "single", "2001-02")
+    assert tuple(flat["t2"])[1:] == tuple(flat["t3"])[1:] == (0, False, "0", "0", 0, "", "")
+    features = {r["track_id"]: r for r in track_features(flatten_documents(read_catalogue(spark, folder))).collect()}
+    assert (features["t4"]["popularity"], features["t4"]["track_number"]) == (None, 7.0)
+    assert (features["t1"]["popularity"], features["t1"]["available_markets_count"]) == (3.0, 2.0)
 
 
 def test_track_statistics_come_from_train_tracks(spark):
     rows = [("a", 100), ("b", 300), ("c", 10_000), ("d", 0), ("e", -5)]
     tracks = spark.createDataFrame(rows, "id string, duration_ms long").selectExpr(
-        "id", "duration_ms", "true AS explicit", "1 AS popularity", "1 AS track_number",
+        "id", "duration_ms", "true AS explicit", "'1' AS popularity", "'1' AS track_number",
         "array('x') AS available_markets", "named_struct('album_type', 'y', 'release_date', '2000') AS album",
     )
     flat = flatten_documents(tracks)

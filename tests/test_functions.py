@@ -70,7 +70,7 @@ def test_release_year(spark, text, year):
     assert one(spark, release_year("v"), text) == year
 
 
-@pytest.mark.parametrize("text, number", [("3.5", 3.5), ("x", None), ("", None), ("NaN", None), (None, None)])
+@pytest.mark.parametrize("text, number", [("3.5", 3.5), (" -2 ", -2.0), ("1e3", 1000.0), (".5", 0.5), ("inf", float("inf")), ("1d", None), ("0x1p3", None), ("1,5", None), ("x", None), ("", None), ("NaN", None), (None, None)])
 def test_lenient_float(spark, text, number):
     assert one(spark, lenient_float("v"), text) == number
 

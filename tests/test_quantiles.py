@@ -46,3 +46,12 @@ def test_sequential_id(spark):
     df = spark.createDataFrame([(i,) for i in reversed(ids)], "k long").repartition(3)
     got = {r["k"]: r["seq_id"] for r in with_sequential_id(df, "k").collect()}
     assert got == {k: i for i, k in enumerate(ids)}
+
+
+def test_many_groups_are_refused(spark, monkeypatch):
+    from needledrop.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "_MOST_PIECES", 10)
+    df = spark.range(50).selectExpr("id AS g", "CAST(id AS DOUBLE) AS v")
+    with pytest.raises(ValueError, match="too many groups"):
+        exact_quantiles(df, ["v"], [0.5], ["g"])
