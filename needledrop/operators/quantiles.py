@@ -121,9 +121,9 @@ def exact_quantiles(
 
     lower = F.max(F.when(F.col("end") == "lower", F.col("_lo")))
     upper = F.max(F.when(F.col("end") == "upper", F.col("_lo")))
-    return spark.createDataFrame(pieces, schema).groupBy(*group, "prob").agg(
-        (lower * (1 - F.max("_frac")) + upper * F.max("_frac")).alias("value")
-    )
+    frac = F.max("_frac")
+    value = F.when(frac > 0, lower * (1 - frac) + upper * frac).otherwise(lower)
+    return spark.createDataFrame(pieces, schema).groupBy(*group, "prob").agg(value.alias("value"))
 
 
 def smallest_modes(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -87,12 +87,15 @@ def encode(dataset: DataFrame, settings: Settings = Settings(), table_dir: str =
     return Encoded(rows, model)
 
 
-def fit(encoded: Encoded, params: dict | None = None, settings: Settings = Settings()) -> GBTClassificationModel:
-    """Fit on the train rows; the val rows decide when boosting stops."""
+def fit(
+    encoded: Encoded, params: dict | None = None, settings: Settings = Settings(), early_stop: bool = True
+) -> GBTClassificationModel:
+    """Fit on the train rows; with ``early_stop`` the val rows decide when boosting stops."""
     params = DEFAULT_PARAMS if params is None else params
     fold = F.col(settings.fold_column)
-    rows = encoded.rows.where(fold != TEST).withColumn("_validation", fold == VALIDATION)
-    return classifier(params, settings).fit(rows.withColumn(settings.label, F.col(settings.label).cast("double")))
+    rows = encoded.rows.where(fold != TEST if early_stop else fold == TRAIN)
+    rows = rows.withColumns({"_validation": fold == VALIDATION, settings.label: F.col(settings.label).cast("double")})
+    return classifier(params, settings, early_stop).fit(rows)
 
 
 def scored(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -119,15 +122,18 @@ def importance(spark: SparkSession, model: GBTClassificationModel, names: list[s
 
 def train_and_apply(
     encoded: Encoded,
-    params: dict,
+    params: dict | None,
     folder: str | None = None,
     kind: str = "full",
     settings: Settings = Settings(),
     model_path: str | None = None,
 ) -> dict:
-    """Fit, evaluate, write the test predictions under ``folder`` and save the model."""
+    """Fit, evaluate, write the test predictions under ``folder`` and save the model.
+
+    The final model grows all its trees; stopping early is for the trials of a search.
+    """
     spark = encoded.rows.sparkSession
-    model = fit(encoded, params, settings)
+    model = fit(encoded, params, settings, early_stop=False)
     metrics = evaluate(model, encoded, settings)
     test = scored(model, encoded.rows.where(F.col(settings.fold_column) == TEST))
     predictions = prediction_rows(test.select(settings.obs_id, F.col("score").alias("target")), settings.obs_id)

@@ -26,19 +26,45 @@ _RAW_FIELDS = [
         "username platform conn_country ip_addr master_metadata_track_name "
         "master_metadata_album_artist_name master_metadata_album_album_name spotify_track_uri "
         "episode_name episode_show_name spotify_episode_uri audiobook_title audiobook_uri "
-        "audiobook_chapter_uri audiobook_chapter_title reason_end offline_timestamp",
+        "audiobook_chapter_uri audiobook_chapter_title reason_end",
         T.StringType(),
     ),
-    *_fields("shuffle offline incognito_mode", T.BooleanType()),
+    *_fields("offline_timestamp", T.DoubleType()),
 ]
+_FLAGS = "shuffle offline incognito_mode"
 _TRACK_FIELDS = [
     *_fields("track_id album_type", T.StringType()),
-    *_fields("explicit", T.BooleanType()),
     *_fields("duration_normalized popularity track_number available_markets_count release_year", T.FloatType()),
     *_fields("fwdbtn", T.IntegerType()),
 ]
-PLAY_SCHEMA = T.StructType(_RAW_FIELDS)
-ENRICHED_SCHEMA = T.StructType(_RAW_FIELDS + _TRACK_FIELDS)
+PLAY_SCHEMA = T.StructType(_RAW_FIELDS + _fields(_FLAGS, T.BooleanType()))
+# The enriched table has its flags filled and stored as 0/1.
+ENRICHED_SCHEMA = T.StructType(_RAW_FIELDS + _TRACK_FIELDS + _fields(_FLAGS + " explicit", T.ByteType()))
+
+# Texts that stand for a missing value in a delimited file.
+MISSING_WORDS = (
+    "",
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+)
+# Names under which a stored row index turns up.
+INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
 
 def _header_schema(spark: SparkSession, path: str, sep: str, known: T.StructType) -> T.StructType:
@@ -50,9 +76,12 @@ def _header_schema(spark: SparkSession, path: str, sep: str, known: T.StructType
 
 def _read_delimited(spark: SparkSession, path: str, sep: str, schema: T.StructType | None, known: T.StructType) -> DataFrame:
     schema = schema or _header_schema(spark, path, sep, known)
-    # Text without a zone is read as UTC, whatever the session says.
-    df = spark.read.options(header=True, sep=sep, timeZone="UTC", enforceSchema=True).schema(schema).csv(path)
-    return _normalised(df)
+    # Text without a zone is read as UTC, whatever the session says; a quote is escaped by doubling it.
+    options = {"header": True, "sep": sep, "timeZone": "UTC", "enforceSchema": True, "escape": '"'}
+    df = spark.read.options(**options).schema(schema).csv(path).drop(*INDEX_COLUMNS)
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    present = {c: F.when(~F.col(f"`{c}`").isin(*MISSING_WORDS), F.col(f"`{c}`")) for c in texts}
+    return _normalised(df.withColumns(present) if present else df)
 
 
 def _normalised(df: DataFrame) -> DataFrame:

@@ -28,11 +28,22 @@ def test_tab_separated_plays(spark, tmp_path, zone):
     ]
 
 
+def test_missing_words_and_quotes(spark, tmp_path):
+    path = tmp_path / "plays.txt"
+    path.write_text('obs_id\tconn_country\tmaster_metadata_track_name\n1\tNA\t"say ""hi""\tnow"\n2\tAR\tNone\n3\tnan\tNada\n')
+    rows = [tuple(r) for r in read_plays(spark, str(path)).orderBy("obs_id").collect()]
+    assert rows == [(1, None, 'say "hi"\tnow'), (2, "AR", None), (3, None, "Nada")]
+
+
 def test_enriched_csv(spark, tmp_path):
     path = tmp_path / "enriched.csv"
-    path.write_text("obs_id,ts,username,release_year,fwdbtn\n1,2024-01-01 00:00:00,a,NaN,1\n")
-    row = read_enriched(spark, str(path)).first()
-    assert (row["release_year"], row["fwdbtn"]) == (None, 1)
+    path.write_text(
+        ",obs_id,ts,username,explicit,shuffle,offline_timestamp,release_year,fwdbtn\n"
+        "0,1,2024-01-01T00:00:00Z,a,1,0,1700000000.0,NaN,1\n"
+    )
+    df = read_enriched(spark, str(path))
+    assert df.columns[0] == "obs_id"
+    assert tuple(df.first()) == (1, dt.datetime(2024, 1, 1), "a", 1, 0, 1.7e9, None, 1)
 
 
 def test_null_keys_are_rejected(spark):

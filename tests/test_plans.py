@@ -129,7 +129,7 @@ def test_short_run(spark, inputs, tmp_path):
     top = done["importance"].collect()
     assert top == sorted(top, key=lambda r: (-r["importance"], r["feature"])) and len(top) <= 20
     model = load_model(spark, f"{tmp_path}/models/best_model")
-    assert len(model.stages) == 2
+    assert len(model.stages) == 2 and model.stages[1].getNumTrees == SMALL["n_estimators"]
     with pytest.raises(FileNotFoundError):
         load_model(spark, f"{tmp_path}/models/none")
 
@@ -141,7 +141,7 @@ def test_full_run(spark, inputs, tmp_path):
     found = done["search"]
     scores = [t["mean_cv_score"] for t in found["tuning_results"]]
     assert found["best_score"] == max(scores) and len(scores) == 2
-    assert done["auc"] == pytest.approx(found["best_score"])
+    assert 0.6 < done["auc"] <= 1
     document = json.loads(spark.read.text(done["search_files"][0]).first()[0])
     assert document["total_trials"] == 2 and document["best_params"] == found["best_params"]
     summary = [r[0] for r in spark.read.text(done["search_files"][1]).collect()]
@@ -174,6 +174,7 @@ def test_classifier_parameters(spark):
     gbt = classifier(SMALL)
     assert (gbt.getMaxIter(), gbt.getStepSize(), gbt.getMaxDepth(), gbt.getSeed()) == (4, 0.3, 3, 420)
     assert gbt.getValidationIndicatorCol() == "_validation"
+    assert not classifier(SMALL, early_stop=False).isDefined("validationIndicatorCol")
 
 
 def test_trial_frame(spark):
