@@ -64,7 +64,8 @@ def all_queries() -> dict[str, Query]:
 
 
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    """Rounded for the comparison, without a negative zero."""
+    return df.withColumns({n: F.when(F.round(n, digits) == 0, 0.0).otherwise(F.round(n, digits)) for n in names})
 
 
 def _framed(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +106,7 @@ def frame_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def drop_all_null_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return cols.drop_all_null_columns(views.plays(spark, sf))
+    return cols.drop_all_null_columns(views.plays(spark, sf).drop("ts", "shuffle"))
 
 
 @query
@@ -282,7 +283,7 @@ def user_skip_rate_joined(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def feature_table_(spark: SparkSession, sf: str) -> DataFrame:
-    plays = cols.drop_all_null_columns(views.plays(spark, sf).drop("value_nullable", "k"))
+    plays = cols.drop_all_null_columns(views.plays(spark, sf).drop("value_nullable", "k", "shuffle"))
     table = feature_table(plays, _features_of_tracks(spark, sf)).drop("duration_normalized")
     return _rounded(table, CURVE_DIGITS, "time_of_day_sin", "time_of_day_cos")
 
@@ -428,7 +429,7 @@ def _dataset(spark: SparkSession, sf: str) -> DataFrame:
 def imputed_dataset(spark: SparkSession, sf: str) -> DataFrame:
     rows = impute(_dataset(spark, sf))
     numbers = [c for c in cols.numeric_columns(rows) if c not in ("obs_id", "fwdbtn")]
-    return rows.withColumns({c: F.round(F.col(c).cast("double"), 5) for c in numbers})
+    return _rounded(rows.withColumns({c: F.col(c).cast("double") for c in numbers}), 5, *numbers)
 
 
 @query

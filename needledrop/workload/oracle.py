@@ -70,13 +70,17 @@ def _part(low: int, high: int) -> str:
     return f"CAST({SECONDS} >= {low} AND {SECONDS} < {high} AS TINYINT)"
 
 
+def _nonzero(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) ELSE {x} END"
+
+
 TEMPORAL = f"""
   CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day,
   dayname(ts) AS day_of_week, CAST(dayname(ts) IN ('Saturday', 'Sunday') AS TINYINT) AS is_weekend,
   {_part(21600, 43200)} AS is_morning, {_part(43200, 64800)} AS is_afternoon, {_part(64800, 79200)} AS is_evening,
   CAST(1 AS TINYINT) AS is_night,
-  round(sin(2 * pi() * {SECONDS} / 86400), 9) AS time_of_day_sin,
-  round(cos(2 * pi() * {SECONDS} / 86400), 9) AS time_of_day_cos"""
+  {_nonzero(f"round(sin(2 * pi() * {SECONDS} / 86400), 9)")} AS time_of_day_sin,
+  {_nonzero(f"round(cos(2 * pi() * {SECONDS} / 86400), 9)")} AS time_of_day_cos"""
 
 SONG_AGE = "CASE WHEN year(ts) - release_year >= 0 THEN CAST(year(ts) - release_year AS DOUBLE) ELSE 0.0 END"
 
@@ -167,7 +171,7 @@ def _wide(name: str, column: str, value: str) -> str:
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
     q["json_extract"] = "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, '' AS missing FROM events"
-    q["drop_all_null_columns"] = _with("SELECT * EXCLUDE (audiobook_title) FROM plays", "plays")
+    q["drop_all_null_columns"] = _with("SELECT * EXCLUDE (audiobook_title, ts, shuffle) FROM plays", "plays")
     q["label_binarize"] = (
         "SELECT event_id AS obs_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS fwdbtn FROM events"
     )
@@ -256,7 +260,7 @@ def oracle() -> dict[str, str]:
         "plays",
     )
     q["feature_table"] = _with(
-        f"""SELECT obs_id, {TEMPORAL}, username, value, reason_end, {PLATFORM} AS platform, conn_country, shuffle,
+        f"""SELECT obs_id, {TEMPORAL}, username, value, reason_end, {PLATFORM} AS platform, conn_country,
                    explicit, popularity, track_number, available_markets_count, album_type, release_year,
                    CAST(master_metadata_track_name IS NOT NULL AS TINYINT) AS is_song,
                    CAST(episode_name IS NOT NULL AS TINYINT) AS is_episode, {SONG_AGE} AS song_age,
@@ -272,7 +276,8 @@ def oracle() -> dict[str, str]:
     ).split()
     texts = ("day_of_week", "platform", "conn_country", "album_type", "username")
     medians = ", ".join(
-        f"round(CAST(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM learn)) AS DOUBLE), 5) AS {c}" for c in numbers
+        _nonzero(f"round(CAST(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM learn)) AS DOUBLE), 5)") + f" AS {c}"
+        for c in numbers
     )
     modes = ", ".join(f"coalesce({c}, {_mode(c, 'learn')}) AS {c}" for c in texts)
     folds = (
