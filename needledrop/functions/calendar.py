@@ -54,7 +54,7 @@ def wall_clock(df: DataFrame, ts: str = "ts") -> DataFrame:
         return df.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
     if isinstance(kind, T.StringType):
         # A trailing zone mark means UTC here; other spellings become null and are reported
-        # by sources.reject_null_keys.
+        # by operators.columns.reject_null_keys.
         bare = F.regexp_replace(F.col(ts), "(Z|\\+00:?00)$", "")
         return df.withColumn(ts, bare.try_cast("timestamp_ntz"))
     raise TypeError(f"column {ts} of type {kind.simpleString()} is not a point in time")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from needledrop.config import Settings
+
 # Columns the feature table does without.
 RAW_COLUMNS = (
     "ts",
@@ -35,6 +37,13 @@ def null_nans(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
+def reject_null_keys(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Fail, when the plan runs, on a row without user, time or id; such rows have no place in a history."""
+    missing = F.col(settings.user).isNull() | F.col(settings.ts).isNull() | F.col(settings.obs_id).isNull()
+    error = F.raise_error(F.lit(f"null in {settings.user}, {settings.ts} or {settings.obs_id}"))
+    return df.withColumn(settings.obs_id, F.when(missing, error.cast("bigint")).otherwise(F.col(settings.obs_id)))
+
+
 def all_null_columns(df: DataFrame) -> list[str]:
     """Names of the columns without any value; one job, one row back."""
     row = df.agg(*[F.max(F.col(f"`{c}`").isNotNull()).alias(c) for c in df.columns]).first()

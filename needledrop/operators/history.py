@@ -29,6 +29,7 @@ from needledrop.config import (
     Settings,
 )
 from needledrop.functions import floor_div, micros, wall_clock
+from needledrop.operators.columns import reject_null_keys
 from needledrop.operators.heavy import id_block, split_by_weight
 
 HISTORY_COLUMNS = (ORDER_COLUMN, BIN_SUFFIX_COLUMN, *TRAILING_MINUTES, BIN_COLUMN)
@@ -167,7 +168,7 @@ def with_history(
     keys = _keys(settings, keys)
     wanted = set(columns)
     keep = [*df.columns, *columns]
-    timed = wall_clock(df, settings.ts).withColumn("_us", micros(settings.ts))
+    timed = reject_null_keys(wall_clock(df, settings.ts), settings).withColumn("_us", micros(settings.ts))
     light, heavy = split_by_weight(timed, keys, settings)
     parts = [light_history(light, keys, wanted, settings)]
     if heavy is not None:

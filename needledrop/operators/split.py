@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from needledrop.config import Settings
 from needledrop.functions import calendar_day, wall_clock
+from needledrop.operators.columns import reject_null_keys
 from needledrop.operators.heavy import id_block, split_by_weight
 
 TRAIN, VALIDATION, TEST = "train", "val", "test"
@@ -84,7 +85,7 @@ def with_time_split(
     """Add ``split`` with the values train and val."""
     keys = list(keys) if keys else [settings.user]
     keep = [*df.columns, fold_name(F.col("_is_train")).alias(settings.fold_column)]
-    dated = wall_clock(df, settings.ts).withColumn("_date", calendar_day(settings.ts))
+    dated = reject_null_keys(wall_clock(df, settings.ts), settings).withColumn("_date", calendar_day(settings.ts))
     light, heavy = split_by_weight(dated, keys, settings)
     parts = [light_split(light, keys, settings)]
     if heavy is not None:

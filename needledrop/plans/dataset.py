@@ -31,13 +31,14 @@ from needledrop.operators.columns import (
     fill_constants,
     label_last,
     numeric_columns,
+    reject_null_keys,
 )
 from needledrop.operators.encode import ColumnImputer
 from needledrop.operators.heavy import split_by_weight
 from needledrop.operators.history import heavy_history, light_history, with_history
 from needledrop.operators.split import TEST, TRAIN, fold_name, heavy_split, last_train_rows, light_split
 from needledrop.operators.tracks import enrich, flatten_documents, track_features
-from needledrop.sources.scans import read_catalogue, read_enriched, read_plays, reject_null_keys
+from needledrop.sources.scans import read_catalogue, read_enriched, read_plays
 from needledrop.sources.store import path_exists, settled
 
 FRAME = "frame"
@@ -77,7 +78,9 @@ def history_features(
     user, fold = settings.user, settings.fold_column
     keys, wanted = [user, FRAME], set(counts)
     keep = [*df.columns, *counts, fold, *([RATE_COLUMN] if learn_rate else [])]
-    timed = wall_clock(df, settings.ts).withColumns({"_us": micros(settings.ts), "_date": calendar_day(settings.ts)})
+    timed = reject_null_keys(wall_clock(df, settings.ts), settings).withColumns(
+        {"_us": micros(settings.ts), "_date": calendar_day(settings.ts)}
+    )
     light, heavy = split_by_weight(timed, [user], settings)
 
     def folded(rows: DataFrame) -> DataFrame:
@@ -178,7 +181,6 @@ def build_dataset(
     both = train.withColumn(FRAME, F.lit(TRAIN)).unionByName(
         test.drop(settings.label).withColumn(FRAME, F.lit(TEST)), allowMissingColumns=True
     )
-    both = reject_null_keys(both, settings)
     table = with_global_rate(history_features(both, counts, settings), both, settings)
     return row_features(table if features is None else enrich(table, features)).drop(FRAME, *RAW_COLUMNS)
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from needledrop.config import Settings
 from needledrop.functions import wall_clock
 from needledrop.operators.columns import null_nans
 from needledrop.operators.tracks import CATALOGUE_SCHEMA
@@ -126,12 +125,3 @@ def parse_documents(df: DataFrame, text: str, schema: T.StructType, keep: list[s
         F.col("_doc").isNotNull() & F.col(f"_doc.{_CORRUPT}").isNull()
     )
     return rows.select(*keep, *[F.col(f"_doc.{f.name}").alias(f.name) for f in schema.fields])
-
-
-def reject_null_keys(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Fail, when the plan runs, on a row without user, time or id; such rows have no place in a history."""
-    missing = F.col(settings.user).isNull() | F.col(settings.ts).isNull() | F.col(settings.obs_id).isNull()
-    checked = F.when(
-        missing, F.raise_error(F.lit(f"null in {settings.user}, {settings.ts} or {settings.obs_id}")).cast("bigint")
-    ).otherwise(F.col(settings.obs_id))
-    return df.withColumn(settings.obs_id, checked)

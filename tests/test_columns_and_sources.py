@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from needledrop.operators import columns as cols
 from needledrop.operators.tracks import duration_stats, enrich, flatten_documents, join_coverage, track_features
-from needledrop.sources.scans import parse_documents, read_catalogue, read_enriched, read_plays, reject_null_keys
+from needledrop.operators.columns import reject_null_keys
+from needledrop.operators.history import with_history
+from needledrop.operators.split import with_time_split
+from needledrop.sources.scans import parse_documents, read_catalogue, read_enriched, read_plays
 from needledrop.sources.store import fingerprint, path_exists, settled, stored
 
 
@@ -48,8 +51,9 @@ def test_enriched_csv(spark, tmp_path):
 
 def test_null_keys_are_rejected(spark):
     df = spark.sql("SELECT 1L AS obs_id, CAST(NULL AS STRING) AS username, TIMESTAMP_NTZ'2024-01-01' AS ts")
-    with pytest.raises(Exception, match="null in username"):
-        reject_null_keys(df).collect()
+    for step in (reject_null_keys, with_history, with_time_split):
+        with pytest.raises(Exception, match="null in username"):
+            step(df).collect()
     assert reject_null_keys(df.withColumn("username", F.lit("a"))).count() == 1
 
 
