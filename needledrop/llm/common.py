@@ -63,6 +63,8 @@ def grid(
     A key with many rows is a grid of cells of about ``left_rows`` by ``right_rows`` rows, so the
     size of a task does not depend on how large a key is. Every pair of rows meets in one cell.
     """
+    # New column ids, so that both sides may come from one table.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     sizes = (
         left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
         .join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr")), keys)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from needledrop.llm.chat import conversation_digest, format_windows
 from needledrop.llm.common import table
 from needledrop.llm.forest import neighbours
+from needledrop.llm.simhash import near_duplicates
 from needledrop.llm.topk import exact_top_k
 
 
@@ -18,6 +19,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours(vectors.where(F.col("vec_id") % 20 == 0), vectors, 20)
@@ -38,6 +43,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_top_k": op5_exact_top_k,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_chat_format": op8_chat_format,
     "op10_forest_neighbours": op10_forest_neighbours,
 }
