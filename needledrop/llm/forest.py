@@ -36,6 +36,7 @@ class Forest:
     offsets: np.ndarray
     children: np.ndarray
     trees: int
+    first_leaf: np.ndarray  # of each tree
 
     @property
     def width(self) -> int:
@@ -47,10 +48,12 @@ def grow(sample: np.ndarray, trees: int, leaf_rows: int, seed: int) -> Forest:
     rng = np.random.default_rng(seed)
     width = sample.shape[1]
     normals, offsets, children = [np.zeros(width)] * trees, [0.0] * trees, [[0, 0] for _ in range(trees)]
-    leaves = 0
-    todo = [(t, np.arange(len(sample))) for t in range(trees)]
+    leaves, first = 0, np.zeros(trees, np.int64)
+    todo = [(t, np.arange(len(sample))) for t in reversed(range(trees))]
     while todo:
         node, rows = todo.pop()
+        if node < trees:
+            first[node] = leaves
         a, b = rng.choice(rows, 2) if len(rows) else (0, 0)
         normal = sample[a] - sample[b] if len(rows) else np.zeros(width)
         size = np.linalg.norm(normal)
@@ -67,7 +70,7 @@ def grow(sample: np.ndarray, trees: int, leaf_rows: int, seed: int) -> Forest:
                 offsets.append(0.0)
                 children.append([0, 0])
                 todo.append((children[node][at], part))
-    return Forest(np.array(normals), np.array(offsets), np.array(children), trees)
+    return Forest(np.array(normals), np.array(offsets), np.array(children), trees, first)
 
 
 def leaves_of(forest: Forest, vectors: np.ndarray) -> np.ndarray:
@@ -85,6 +88,12 @@ def leaves_of(forest: Forest, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def subtree(forest: Forest, leaf: np.ndarray, run: int) -> np.ndarray:
+    """A number for ``run`` neighbouring leaves of one tree."""
+    tree = np.searchsorted(forest.first_leaf, leaf, side="right") - 1
+    return (tree << 32) + (leaf - forest.first_leaf[tree]) // run
+
+
 def search_leaves(forest: Forest, query: np.ndarray, wanted: int) -> list[int]:
     """Leaves by a queue shared by the trees, ordered by the squared margins missed on the way."""
     sides = forest.normals @ query - forest.offsets
@@ -165,11 +174,12 @@ def neighbours(
     leaf_rows: int = 32,
     visit: float = 0.026,
     query_rows: int = 2048,
-    block_rows: int = 16384,
+    block_rows: int = 65536,
     seed: int = 7,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found per query.
 
+    A query sends at most k rows per subtree it searches, a number that does not grow with the table.
     ``sample_rows`` rows (smallest hashes of id) fit the trees; every row is indexed. ``visit`` is the
     share of all leaves that a query searches, so recall stays as the index grows. A row with the
     query's own id is left out; ties go to the smaller id. Rows with a null id or a vector that is
@@ -203,7 +213,7 @@ def neighbours(
             leaf = leaves_of(shared.value, _lifted(batch, width, limit)).ravel()
             row = pa.array(np.repeat(np.arange(batch.num_rows), trees))
             yield pa.RecordBatch.from_pydict(
-                {"part": leaf // run, "id": batch.column("id").take(row), "v": batch.column("v").take(row), "leaf": leaf}
+                {"part": subtree(shared.value, leaf, run), "id": batch.column("id").take(row), "v": batch.column("v").take(row), "leaf": leaf}
             )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +221,11 @@ def neighbours(
             row, part, leaves = [], [], []
             for i, q in enumerate(_vectors(batch, "v", width + 1)):
                 found = np.sort(search_leaves(shared.value, q, wanted))
-                for some in np.split(found, np.flatnonzero(np.diff(found // run)) + 1):
+                place = subtree(shared.value, found, run)
+                cuts = np.flatnonzero(np.diff(place)) + 1
+                for some, own in zip(np.split(found, cuts), place[np.append(0, cuts)]):
                     row.append(i)
-                    part.append(some[0] // run)
+                    part.append(own)
                     leaves.append(some)
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_pydict(
