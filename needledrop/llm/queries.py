@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from needledrop.llm.chat import conversation_digest, format_windows
 from needledrop.llm.common import table
 from needledrop.llm.forest import neighbours
+from needledrop.llm.repeats import remove_repeats
 from needledrop.llm.simhash import near_duplicates
 from needledrop.llm.topk import exact_top_k
 
@@ -19,6 +20,12 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = remove_repeats(docs, window=35, digest=True)
+    return left.select("row.doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +49,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_chat_format": op8_chat_format,
