@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,18 @@ from pyspark.sql import functions as F
 
 from needledrop.llm.chat import conversation_digest, format_windows
 from needledrop.llm.common import table
+from needledrop.llm.counts import token_counts
 from needledrop.llm.forest import neighbours
+from needledrop.llm.packing import pack
 from needledrop.llm.repeats import remove_repeats
 from needledrop.llm.simhash import near_duplicates
 from needledrop.llm.topk import exact_top_k
+from needledrop.sources.store import shared_dir
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"  # starts empty
+    return token_counts(table(spark, sf_dir, "documents"), cache, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +29,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
 
 
+def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = remove_repeats(docs, window=35, digest=True)
@@ -49,7 +62,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_curve_packing": op2_curve_packing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_chat_format": op8_chat_format,
