@@ -16,6 +16,7 @@ from needledrop.llm.packing import pack
 from needledrop.llm.repeats import remove_repeats
 from needledrop.llm.simhash import near_duplicates
 from needledrop.llm.topk import exact_top_k
+from needledrop.llm.toxicity import toxicity
 from needledrop.sources.store import shared_dir
 
 
@@ -29,6 +30,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -62,6 +67,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_curve_packing": op2_curve_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
