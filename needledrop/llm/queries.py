@@ -13,6 +13,7 @@ from needledrop.llm.common import table
 from needledrop.llm.counts import token_counts
 from needledrop.llm.forest import neighbours
 from needledrop.llm.packing import pack
+from needledrop.llm.quality import resample
 from needledrop.llm.repeats import remove_repeats
 from needledrop.llm.simhash import near_duplicates
 from needledrop.llm.topk import exact_top_k
@@ -48,6 +49,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours(vectors.where(F.col("vec_id") % 20 == 0), vectors, 20)
@@ -74,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_top_k": op5_exact_top_k,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_quality_resampling": op9_quality_resampling,
     "op10_forest_neighbours": op10_forest_neighbours,
 }
