@@ -13,6 +13,7 @@ from needledrop.llm.common import table
 from needledrop.llm.counts import token_counts
 from needledrop.llm.forest import neighbours
 from needledrop.llm.packing import pack
+from needledrop.llm.pieces import digests
 from needledrop.llm.quality import resample
 from needledrop.llm.repeats import remove_repeats
 from needledrop.llm.simhash import near_duplicates
@@ -45,6 +46,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("row.doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_piece_encoding": op6_piece_encoding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_quality_resampling": op9_quality_resampling,
