@@ -1,12 +1,13 @@
-"""python -m needledrop short|full TRAIN TEST CATALOGUE FOLDER, or: profile TABLE."""
+"""python -m needledrop short|full TRAIN TEST CATALOGUE FOLDER, or: profile TABLE FOLDER."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from needledrop.plans.runs import run_full, run_profile, run_short
+from needledrop.plans.dataset import PARITY_COUNTS, PAST_COUNTS
+from needledrop.plans.runs import run_full, run_profile, run_short, write_profile
 from needledrop.plans.search import FULL_RUN_TRIALS
 from needledrop.sources.scans import read_enriched
 
@@ -18,19 +19,28 @@ def main() -> None:
         p = runs.add_parser(name)
         for arg in ("train", "test", "catalogue", "folder"):
             p.add_argument(arg)
+        p.add_argument("--enriched", nargs=2, metavar=("TRAIN", "TEST"), help="tables that are joined already; the inputs are not read")
+        p.add_argument("--predictions", help="path of the predictions; by default a name below FOLDER")
+        p.add_argument("--future-counts", action="store_true", help="20-minute counts that see later plays, as in the original")
         if name == "full":
             p.add_argument("--trials", type=int, default=FULL_RUN_TRIALS)
-    runs.add_parser("profile").add_argument("table")
+    p = runs.add_parser("profile")
+    p.add_argument("table")
+    p.add_argument("folder", help="every report is written below it")
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName(f"needledrop-{args.run}").getOrCreate()
     if args.run == "profile":
-        for name, part in run_profile(read_enriched(spark, args.table)).items():
-            print(name)
-            part.show(50, truncate=False) if isinstance(part, DataFrame) else print(part)
+        for name, part in write_profile(run_profile(read_enriched(spark, args.table)), args.folder).items():
+            print(name, part)
         return
     paths = (args.train, args.test, args.catalogue, args.folder)
-    done = run_short(spark, *paths) if args.run == "short" else run_full(spark, *paths, n_trials=args.trials)
+    how = {
+        "enriched": args.enriched,
+        "predictions": args.predictions,
+        "counts": PARITY_COUNTS if args.future_counts else PAST_COUNTS,
+    }
+    done = run_short(spark, *paths, **how) if args.run == "short" else run_full(spark, *paths, n_trials=args.trials, **how)
     print(f"validation AUC {done['auc']:.4f}; predictions in {done['path']}")
     done["report"].show()
     done["importance"].show(10, truncate=False)

@@ -38,14 +38,6 @@ class Settings:
     train_frac: float = 0.8
     rare_cut: float = 0.01
 
-    # A key with more rows than this leaves the window path ...
-    heavy_rows: int = 50_000
-    # ... unless that many heavier keys exist. The list of heavy keys is broadcast, and
-    # this bounds it; the keys left over hold at most total / heavy_keys rows each.
-    heavy_keys: int = 100_000
-    # obs_id blocks of 2**20 ids: ids are unique, so a block holds at most 2**20 rows.
-    id_block_bits: int = 20
-
     @property
     def fold_column(self) -> str:
         return "split"

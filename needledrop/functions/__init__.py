@@ -8,6 +8,7 @@ from needledrop.functions.calendar import (
     with_temporal_features,
 )
 from needledrop.functions.scalars import (
+    NUMBER,
     as_salted_key,
     label_flag,
     lenient_float,
@@ -18,6 +19,7 @@ from needledrop.functions.scalars import (
 )
 
 __all__ = [
+    "NUMBER",
     "as_salted_key",
     "calendar_day",
     "floor_div",

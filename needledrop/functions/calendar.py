@@ -41,22 +41,33 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# A time of day and then a zone: Z, an offset with or without colon, or a name.
+_ZONED = r"\d:\d{2}.*(Z|[+-]\d{1,2}(:?\d{2})?|[A-Za-z]{2,}[A-Za-z/_+-]*\d*)$"
+
+
+def _instant_utc(instant: Column) -> Column:
+    seconds = (F.unix_micros(instant).cast("decimal(24,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def wall_clock(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Return ``df`` with ``ts`` as TIMESTAMP_NTZ in UTC."""
     kind = df.schema[ts].dataType
     if isinstance(kind, T.TimestampNTZType):
         return df
     if isinstance(kind, T.TimestampType):
-        seconds = (F.unix_micros(F.col(ts)).cast("decimal(24,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
-        epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-        return df.withColumn(ts, epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds))
+        return df.withColumn(ts, _instant_utc(F.col(ts)))
     if isinstance(kind, T.DateType):
         return df.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
     if isinstance(kind, T.StringType):
-        # A trailing zone mark means UTC here; other spellings become null and are reported
-        # by operators.columns.reject_null_keys.
-        bare = F.regexp_replace(F.col(ts), "(Z|\\+00:?00)$", "")
-        return df.withColumn(ts, bare.try_cast("timestamp_ntz"))
+        # Text with a zone is an instant, text without one is UTC already. What is neither becomes
+        # null and is reported by operators.columns.reject_null_keys.
+        text = F.trim(F.col(ts))
+        zoned = text.rlike(_ZONED)
+        colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+        instant = F.when(zoned, colon.try_cast("timestamp"))
+        return df.withColumn(ts, F.when(zoned, _instant_utc(instant)).otherwise(text.try_cast("timestamp_ntz")))
     raise TypeError(f"column {ts} of type {kind.simpleString()} is not a point in time")
 
 

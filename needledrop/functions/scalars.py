@@ -58,13 +58,13 @@ def song_age(year: Column | str, released: Column | str) -> Column:
 
 
 # Decimal numbers and infinities; Java would also read 1d, 1f and hexadecimal text as numbers.
-_NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
 
 
 def lenient_float(text: Column | str) -> Column:
     """Number or null; bad text never raises, also under ANSI mode."""
     c = _col(text).cast("string")
-    return F.when(c.rlike(_NUMBER), c.try_cast("double")).cast("float")
+    return F.when(c.rlike(NUMBER), c.try_cast("double")).cast("float")
 
 
 def as_salted_key(key: Column, matches: Column, spread: Column) -> Column:
@@ -72,5 +72,5 @@ def as_salted_key(key: Column, matches: Column, spread: Column) -> Column:
 
     Rows that cannot match would all meet in one join partition under a null or a constant.
     """
-    salt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(spread), F.lit(4096)).cast("string"))
+    salt = F.concat(F.lit("\x00"), F.xxhash64(spread).cast("string"))
     return F.when(matches, key).otherwise(salt)

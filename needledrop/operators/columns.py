@@ -40,7 +40,7 @@ def null_nans(df: DataFrame) -> DataFrame:
 def reject_null_keys(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Fail, when the plan runs, on a row without user, time or id; such rows have no place in a history."""
     missing = F.col(settings.user).isNull() | F.col(settings.ts).isNull() | F.col(settings.obs_id).isNull()
-    error = F.raise_error(F.lit(f"null in {settings.user}, {settings.ts} or {settings.obs_id}"))
+    error = F.raise_error(F.lit(f"null in {settings.user}, {settings.ts} or {settings.obs_id}; a quoted line break in a text file needs multi_line"))
     return df.withColumn(settings.obs_id, F.when(missing, error.cast("bigint")).otherwise(F.col(settings.obs_id)))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from needledrop.functions import as_salted_key
 from needledrop.operators.columns import UNKNOWN
 from needledrop.operators.quantiles import exact_quantiles, smallest_modes
+from needledrop.sources.store import settled
 
 # How encoded columns are named.
 NUMBER_PREFIX, CATEGORY_PREFIX, MERGED = "num__", "cat__", "infrequent_sklearn"
@@ -117,6 +118,8 @@ class FeatureEncoder(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWr
 
     def _fit(self, dataset: DataFrame) -> "FeatureEncoderModel":
         numbers, texts = self.getOrDefault(self.numberCols), self.getOrDefault(self.textCols)
+        if not 0 < self.getOrDefault(self.cut) <= 1:
+            raise ValueError("cut must be above 0 and at most 1: it bounds the categories that are kept")
         medians, modes = learn_fills(dataset, numbers, texts)
         kept: dict[str, list[str]] = {c: [] for c in texts}
         merged: list[str] = []
@@ -124,7 +127,7 @@ class FeatureEncoder(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWr
         if texts:
             full = dataset.select(*[filled(dataset, c, modes[c]).alias(c) for c in texts])
             total = F.broadcast(dataset.agg((F.count(F.lit(1)) * F.lit(self.getOrDefault(self.cut))).alias("_least")))
-            counts = category_counts(full, texts).crossJoin(total)
+            counts = settled(category_counts(full, texts).crossJoin(total), "categories")
             frequent = F.col("n") >= F.col("_least")
             summary = counts.groupBy("column").agg(
                 F.sort_array(F.collect_list(F.when(frequent, F.col("value")))).alias("kept"),

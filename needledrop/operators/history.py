@@ -1,19 +1,15 @@
-"""Per-user play counts: order in the day, trailing intervals, 20-minute bins.
-
-Light users: one exchange by user and one sort. Frames that reach into the future are
-written as running maxima over the past, because Spark recomputes a frame that ends at
-UNBOUNDED FOLLOWING for every row.
-
-Heavy users: every count is made of per-minute totals, added up over the minutes of a user,
-and of running sums inside single minutes. A group is one user and minute of distinct
-instants, or the minutes of one user, so its size is bounded by the clock and not by the
-number of plays.
+"""Per-user play counts: order in the day, trailing intervals, 20-minute bins, and the time split.
+
+A window partition is one user and day, never a user. No interval is longer than a day, so for the
+trailing counts every play is also sent to the next day, without its other columns. A count over
+[t - span, t) is the count before t less the count before t - span: both frames start at the
+partition's first row, which Spark adds up row by row, while it recounts a sliding frame for each row.
+What reaches further than a day (the bins open towards the future, and the split) adds totals carried over
+from other days, which have one row per user and day.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,129 +26,85 @@ from needledrop.config import (
 )
 from needledrop.functions import floor_div, micros, wall_clock
 from needledrop.operators.columns import reject_null_keys
-from needledrop.operators.heavy import id_block, split_by_weight
 
 HISTORY_COLUMNS = (ORDER_COLUMN, BIN_SUFFIX_COLUMN, *TRAILING_MINUTES, BIN_COLUMN)
+IS_TRAIN = "_is_train"
 _BIN = BIN_MINUTES * MICROS_PER_MINUTE
 
 
-def _keys(settings: Settings, keys: list[str] | None) -> list[str]:
-    return list(keys) if keys else [settings.user]
+def train_rows(n: Column, settings: Settings) -> Column:
+    """Number of train rows of a user with ``n`` rows; the product stays a double."""
+    return F.greatest(F.lit(1).cast("bigint"), F.floor(n * F.lit(float(settings.train_frac))))
 
 
-def light_history(df: DataFrame, keys: list[str], wanted: set[str], settings: Settings) -> DataFrame:
-    """Counts through windows; ``df`` carries ``_us``."""
-    by_time = W.partitionBy(*keys).orderBy("_us", settings.obs_id)
-    upto_here = by_time.rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps: dict[str, int] = {}
-    if ORDER_COLUMN in wanted:
-        steps["day"] = MICROS_PER_DAY
-    if BIN_SUFFIX_COLUMN in wanted:
-        steps["bin"] = _BIN
-    if steps:
-        for name, width in steps.items():
-            df = df.withColumn(f"_{name}", floor_div("_us", width))
-        # Position of each row, and where its day / bin starts.
-        new = {"_pos": F.row_number().over(by_time)}
-        for name in steps:
-            new[f"_prev_{name}"] = F.lag(f"_{name}").over(by_time)
-        if "bin" in steps:
-            new["_all"] = F.count(F.lit(1)).over(by_time.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-        df = df.withColumns(new)
-        df = df.withColumns(
-            {
-                f"_start_{name}": F.max(
-                    F.when(~F.col(f"_prev_{name}").eqNullSafe(F.col(f"_{name}")), F.col("_pos"))
-                ).over(upto_here)
-                for name in steps
-            }
-        )
-    out: dict[str, Column] = {}
-    if ORDER_COLUMN in wanted:
-        out[ORDER_COLUMN] = (F.col("_pos") - F.col("_start_day") + 1).cast("int")
-    if BIN_SUFFIX_COLUMN in wanted:
-        out[BIN_SUFFIX_COLUMN] = F.col("_all") - F.col("_start_bin") + 1
-    clock = W.partitionBy(*keys).orderBy("_us")
-    for name, minutes in TRAILING_MINUTES.items():
-        if name in wanted:
-            out[name] = F.count(F.lit(1)).over(clock.rangeBetween(-minutes * MICROS_PER_MINUTE, -1))
-    if BIN_COLUMN in wanted:
-        df = df.withColumn("_same_bin", floor_div("_us", _BIN))
-        out[BIN_COLUMN] = F.count(F.lit(1)).over(W.partitionBy(*keys, "_same_bin"))
-    return df.withColumns(out)
+def day_totals(timed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _day, _earlier, _all): plays on earlier days and in all; one row per key and day."""
+    days = timed.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    return days.select(
+        *keys,
+        "_day",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")).alias("_earlier"),
+        F.sum("_n").over(W.partitionBy(*keys)).alias("_all"),
+    )
 
 
-def _weight_before(
-    table: DataFrame, keys: list[str], position: str, weight: str, shifts: dict[str, int], slot: int | None = None
+def _with_next_day(rows: DataFrame, needed: list[str]) -> DataFrame:
+    """Every play on its own day (``_own``), and once more, with the needed columns only, on the next."""
+    places = F.array(
+        F.struct(F.col("_day").alias("_day"), F.lit(True).alias("_own")),
+        F.struct((F.col("_day") + 1).alias("_day"), F.lit(False).alias("_own")),
+    )
+    others = [c for c in rows.columns if c != "_day" and c not in needed]
+    placed = rows.select(*needed, *others, F.inline(places))
+    return placed.withColumns({c: F.when(F.col("_own"), F.col(f"`{c}`")) for c in others}) if others else placed
+
+
+def by_day(
+    df: DataFrame, keys: list[str], wanted: set[str], settings: Settings = Settings(), split: bool = False
 ) -> DataFrame:
-    """(keys, position, before_now, before_NAME ...): the weight at smaller positions.
-
-    ``table`` has one row per key and position. ``before_NAME`` looks at position - shift. With
-    ``slot``, only the weight in the same slot of that many positions counts.
-    """
-    zero = F.lit(0).cast("bigint")
-    asked = [F.struct(F.lit("now").alias("q"), F.col(position).alias("x"), F.col(weight).alias("w"))]
-    asked += [
-        F.struct(F.lit(name).alias("q"), (F.col(position) - shift).alias("x"), zero.alias("w"))
-        for name, shift in shifts.items()
-    ]
-    points = table.select(*keys, position, F.inline(F.array(*asked)))
-    group = list(keys)
-    if slot:
-        points = points.withColumn("_slot", floor_div("x", slot))
-        group.append("_slot")
-    # At one position the questions come first: they and the weight itself see what is smaller.
-    smaller = W.partitionBy(*group).orderBy("x", F.col("w") > 0).rowsBetween(W.unboundedPreceding, -1)
-    points = points.withColumn("_sum", F.coalesce(F.sum("w").over(smaller), zero))
-    found = [F.max(F.when(F.col("q") == q, F.col("_sum"))).alias(f"before_{q}") for q in ("now", *shifts)]
-    return points.groupBy(*keys, position).agg(*found)
-
-
-def heavy_history(df: DataFrame, keys: list[str], wanted: set[str], settings: Settings) -> DataFrame:
-    """Counts through per-minute totals; ``df`` carries ``_us``."""
-    rows = df.withColumn("_blk", id_block(settings.obs_id, settings))
-    instant, minute = [*keys, "_us"], [*keys, "_min"]
+    """Add the wanted counts, and with ``split`` the flag ``_is_train``; other ``_`` columns are scratch."""
+    timed = reject_null_keys(wall_clock(df, settings.ts), settings).withColumn("_us", micros(settings.ts))
+    rows = timed.withColumn("_day", floor_div("_us", MICROS_PER_DAY))
+    carried = split or BIN_SUFFIX_COLUMN in wanted
+    totals = day_totals(rows, keys) if carried else None
     spans = {name: minutes for name, minutes in TRAILING_MINUTES.items() if name in wanted}
-
-    # Distinct instants; plays at one instant are told apart by blocks of ids.
-    ties = rows.groupBy(*instant, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    by_block = W.partitionBy(*instant).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    ties = ties.withColumn("_tied_before", F.coalesce(F.sum("_n").over(by_block), F.lit(0).cast("bigint")))
-    instants = ties.groupBy(*instant).agg(F.sum("_n").alias("_n"))
-
-    # All spans are whole minutes, so the plays before t - span are those of the minutes before
-    # its minute, and those before it in its minute.
-    totals = instants.groupBy(*keys, floor_div("_us", MICROS_PER_MINUTE).alias("_min")).agg(F.sum("_n").alias("_w"))
-    minutes = _weight_before(totals, keys, "_min", "_w", spans).join(totals, minute)
-    same_bin, same_day = W.partitionBy(*keys, "_bin"), W.partitionBy(*keys, "_day")
-    minutes = minutes.withColumns(
-        {"_bin": floor_div("_min", BIN_MINUTES), "_day": floor_div("_min", MICROS_PER_DAY // MICROS_PER_MINUTE)}
-    ).select(
-        *minute,
-        F.col("before_now").alias("_before"),
-        F.min("before_now").over(same_bin).alias("_before_bin"),
-        F.sum("_w").over(same_bin).alias("_in_bin"),
-        F.min("before_now").over(same_day).alias("_before_day"),
-        F.sum("_w").over(W.partitionBy(*keys)).alias("_all"),
-        *[(F.col("before_now") - F.col(f"before_{name}")).alias(f"_full_{name}") for name in spans],
-    )
-    shifts = {name: m * MICROS_PER_MINUTE for name, m in spans.items()}
-    answers = _weight_before(instants, keys, "_us", "_n", shifts, MICROS_PER_MINUTE)
-    answers = answers.withColumn("_min", floor_div("_us", MICROS_PER_MINUTE)).join(minutes, minute)
-    rows = rows.join(ties.drop("_n").join(answers, instant), [*instant, "_blk"])
-
-    out: dict[str, Column] = {
-        name: F.col(f"_full_{name}") + F.col("before_now") - F.col(f"before_{name}") for name in spans
-    }
+    if spans:
+        rows = _with_next_day(rows, [*keys, settings.obs_id, "_us"])
+    else:
+        rows = rows.withColumn("_own", F.lit(True))
+    if carried:
+        rows = rows.join(totals, [*keys, "_day"], "left")
+    day = W.partitionBy(*keys, "_day")
+    in_order = day.orderBy("_us", settings.obs_id)
+    upto_here = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = F.col("_own").cast("bigint")
+    out: dict[str, Column] = {}
+    if ORDER_COLUMN in wanted or BIN_SUFFIX_COLUMN in wanted:
+        rows = rows.withColumn("_pos", F.sum(own).over(upto_here))
+        out[ORDER_COLUMN] = F.col("_pos").cast("int")
+    if BIN_SUFFIX_COLUMN in wanted or BIN_COLUMN in wanted:
+        rows = rows.withColumn("_bin", floor_div("_us", _BIN))
     if BIN_SUFFIX_COLUMN in wanted:
-        out[BIN_SUFFIX_COLUMN] = F.col("_all") - F.col("_before_bin")
+        rows = rows.withColumn("_before_bin", F.lag("_bin").over(in_order))
+        opens = F.when(~F.col("_before_bin").eqNullSafe(F.col("_bin")), F.col("_pos"))
+        rows = rows.withColumn("_opened", F.max(opens).over(upto_here))
+        out[BIN_SUFFIX_COLUMN] = F.col("_all") - F.col("_earlier") - F.col("_opened") + 1
+    clock = day.orderBy("_us")
+
+    def before(micros_ago: int) -> Column:
+        return F.count(F.lit(1)).over(clock.rangeBetween(W.unboundedPreceding, -micros_ago))
+
+    for name, minutes in spans.items():
+        out[name] = before(1) - before(minutes * MICROS_PER_MINUTE + 1)
+    rows = rows.withColumns({c: v for c, v in out.items() if c in wanted}) if wanted else rows
     if BIN_COLUMN in wanted:
-        out[BIN_COLUMN] = F.col("_in_bin")
-    if ORDER_COLUMN in wanted:
-        among_ties = F.row_number().over(W.partitionBy(*instant, "_blk").orderBy(settings.obs_id))
-        before_today = F.col("_before") - F.col("_before_day") + F.col("before_now")
-        out[ORDER_COLUMN] = (before_today + F.col("_tied_before") + among_ties).cast("int")
-    return rows.withColumns(out)
+        rows = rows.withColumn(BIN_COLUMN, F.sum(own).over(W.partitionBy(*keys, "_day", "_bin")))
+    if split:
+        by_id = day.orderBy(settings.obs_id).rowsBetween(W.unboundedPreceding, W.currentRow)
+        place = F.col("_earlier") + F.sum(own).over(by_id)
+        rows = rows.withColumn(IS_TRAIN, place <= train_rows(F.col("_all"), settings))
+    return rows.where("_own").select(*timed.columns, *[c for c in HISTORY_COLUMNS if c in wanted], *([IS_TRAIN] if split else []))
 
 
 def with_history(
@@ -165,15 +117,8 @@ def with_history(
     unknown = set(columns) - set(HISTORY_COLUMNS)
     if unknown:
         raise ValueError(f"unknown history columns: {sorted(unknown)}")
-    keys = _keys(settings, keys)
-    wanted = set(columns)
-    keep = [*df.columns, *columns]
-    timed = reject_null_keys(wall_clock(df, settings.ts), settings).withColumn("_us", micros(settings.ts))
-    light, heavy = split_by_weight(timed, keys, settings)
-    parts = [light_history(light, keys, wanted, settings)]
-    if heavy is not None:
-        parts.append(heavy_history(heavy, keys, wanted, settings))
-    return reduce(DataFrame.unionByName, [p.select(*keep) for p in parts])
+    counted = by_day(df, list(keys) if keys else [settings.user], set(columns), settings)
+    return counted.select(*df.columns, *columns)
 
 
 def with_track_order(df: DataFrame, keys: list[str] | None = None, settings: Settings = Settings()) -> DataFrame:

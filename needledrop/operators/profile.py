@@ -158,7 +158,11 @@ def class_category_union(df: DataFrame, columns: list[str], target: str) -> Data
 def class_histogram(
     df: DataFrame, columns: list[str], target: str, bins: int = HISTOGRAM_BINS
 ) -> DataFrame:
-    """(column, target, bin, lower, upper, n, density): equal bins over each class's own range."""
+    """(column, target, bin, lower, upper, n, density): equal bins over each class's own range.
+
+    A value belongs to the bin whose edges hold it, [lower, upper) and the last one closed. Division only
+    guesses the bin; where rounding put the value beside it, the comparison with the edges moves it by one.
+    """
     point = F.col("min") == F.col("max")
     spans = _class_stats(df, columns, target).select(
         "column",
@@ -169,11 +173,16 @@ def class_histogram(
     )
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     long = long_values(_classes(df, target), columns, ["target"])
-    placed = long.join(F.broadcast(spans), ["column", "target"]).select(
-        "column",
-        "target",
-        F.least(F.floor((F.col("value") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int").alias("bin"),
+    guess = F.greatest(F.lit(0), F.least(F.floor((F.col("value") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
+    placed = long.join(F.broadcast(spans), ["column", "target"]).withColumn("_guess", guess)
+    edge = F.col("_lo") + F.col("_guess") * width
+    next_edge = F.col("_lo") + (F.col("_guess") + 1) * width
+    bin_ = (
+        F.when((F.col("value") < edge) & (F.col("_guess") > 0), F.col("_guess") - 1)
+        .when((F.col("value") >= next_edge) & (F.col("_guess") < bins - 1), F.col("_guess") + 1)
+        .otherwise(F.col("_guess"))
     )
+    placed = placed.select("column", "target", bin_.alias("bin"))
     counts = placed.groupBy("column", "target", "bin").agg(F.count(F.lit(1)).alias("n"))
     frame = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     n = F.coalesce(F.col("n"), F.lit(0).cast("bigint"))

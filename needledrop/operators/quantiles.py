@@ -11,16 +11,15 @@ search, so data with few values needs the first pass only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from needledrop.sources.store import settled
+
 _PER_OCTAVE = 1024
 _OFFSET = 1 << 21  # above 1075 * 1024, so the sign decides first
 _PIECES = 65_536
-# Rows on the driver and in a broadcast: groups times columns times probs times 2.
-_MOST_PIECES = 100_000
 
 
 def monotone_bucket(v: Column) -> Column:
@@ -50,13 +49,10 @@ def long_values(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _pieces(found: DataFrame, wanted: list[str]) -> list[Row]:
+def _pieces(found: DataFrame, wanted: list[str]) -> DataFrame:
     """The pieces that hold the wanted ranks, one row per group, column, prob and end."""
     left = (F.col("_rank") - F.col("_before")).alias("_rank")
-    rows = found.where(_holds_rank()).select(*wanted, "_lo", "_hi", left, "_frac").take(_MOST_PIECES + 1)
-    if len(rows) > _MOST_PIECES:
-        raise ValueError("too many groups: group by a column with few values")
-    return rows
+    return found.where(_holds_rank()).select(*wanted, "_lo", "_hi", left, "_frac")
 
 
 def exact_quantiles(
@@ -64,32 +60,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """(by ..., column, prob, value): quantiles with linear interpolation between ranks.
 
-    ``by`` must have few values, such as the classes of a target: two rows per group, column
-    and prob travel between the passes. Groups without values have no row.
+    Two rows per group, column and prob are written between the passes; the planner decides how the
+    values are joined with them. Groups without values have no row.
     """
     by = list(by or [])
-    spark = df.sparkSession
     long = long_values(df, columns, by)
     group = [*by, "column"]
     wanted = [*group, "prob", "end"]
-    schema = T.StructType(
-        [
-            *[df.schema[c] for c in by],
-            T.StructField("column", T.StringType()),
-            T.StructField("prob", T.DoubleType()),
-            T.StructField("end", T.StringType()),
-            T.StructField("_lo", T.DoubleType()),
-            T.StructField("_hi", T.DoubleType()),
-            T.StructField("_rank", T.LongType()),
-            T.StructField("_frac", T.DoubleType()),
-        ]
-    )
 
-    def narrowed(pieces: list[Row]) -> DataFrame:
-        t = spark.createDataFrame(pieces, schema).withColumnsRenamed({c: f"_t_{c}" for c in group})
+    def narrowed(pieces: DataFrame) -> DataFrame:
+        t = pieces.withColumnsRenamed({c: f"_t_{c}" for c in group})
         match = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in group]
         inside = F.col("value").between(F.col("_lo"), F.col("_hi"))
-        return long.join(F.broadcast(t), [*match, inside])
+        return long.join(t, [*match, inside])
 
     measures = [F.count(F.lit(1)).alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")]
     carried = [F.max("_rank").alias("_rank"), F.max("_frac").alias("_frac")]
@@ -108,22 +91,23 @@ def exact_quantiles(
     buckets = buckets.select("*", F.inline(ends)).withColumns(
         {"_rank": rank.cast("bigint"), "_frac": position - F.floor(position)}
     )
-    pieces = _pieces(buckets, wanted)
+    pieces = settled(_pieces(buckets, wanted), "pieces")
 
     width = F.col("_hi") - F.col("_lo")
     share = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width * _PIECES)).otherwise(0)
     for part in (share, F.col("value")):
-        wide = [p for p in pieces if p["_lo"] != p["_hi"]]
-        if not wide:
+        wide = pieces.where(F.col("_lo") != F.col("_hi"))
+        if wide.isEmpty():
             break
         counts = narrowed(wide).groupBy(*wanted, part.alias("_b")).agg(*measures, *carried)
-        pieces = [p for p in pieces if p["_lo"] == p["_hi"]] + _pieces(_ranked(counts, wanted, "_b"), wanted)
+        closed = pieces.where(F.col("_lo") == F.col("_hi"))
+        pieces = settled(closed.unionByName(_pieces(_ranked(counts, wanted, "_b"), wanted)), "pieces")
 
     lower = F.max(F.when(F.col("end") == "lower", F.col("_lo")))
     upper = F.max(F.when(F.col("end") == "upper", F.col("_lo")))
     frac = F.max("_frac")
     value = F.when(frac > 0, lower * (1 - frac) + upper * frac).otherwise(lower)
-    return spark.createDataFrame(pieces, schema).groupBy(*group, "prob").agg(value.alias("value"))
+    return pieces.groupBy(*group, "prob").agg(value.alias("value"))
 
 
 def smallest_modes(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from needledrop.config import RATE_COLUMN, Settings
 from needledrop.operators.split import TRAIN
+from needledrop.sources.store import settled
 
 
 def user_rates(df: DataFrame, learn: Column, settings: Settings = Settings()) -> DataFrame:
@@ -24,12 +25,11 @@ def with_user_rate(
 ) -> DataFrame:
     """Add the rate of each row's user; users without learning rows get the global rate.
 
-    The rates have one row per user, so no broadcast is forced: the adaptive planner picks
-    it when the side is small, and splits the partition of a hot user otherwise. The
-    global rate is one row.
+    The rates are written first: the join then reads both sides from plain exchanges, and the adaptive
+    planner can split the partition of a hot user. No broadcast is forced, but of the one row of the global rate.
     """
     learn = F.col(settings.fold_column) == TRAIN if learn is None else learn
     keep = df.columns
-    joined = df.join(user_rates(df, learn, settings), settings.user, "left")
+    joined = df.join(settled(user_rates(df, learn, settings), "rates"), settings.user, "left")
     joined = joined.crossJoin(F.broadcast(global_rate(df, learn, settings)))
     return joined.select(*keep, F.coalesce(RATE_COLUMN, "_global_rate").alias(RATE_COLUMN))

@@ -1,80 +1,20 @@
 """Split every user's history by calendar date into train and validation rows.
 
-The first ``max(1, floor(n * fraction))`` rows of a user, in the order (date, obs_id), are
-train. Light users get the position from a window. For a heavy user only the last train
-row matters: it is found from daily totals, then from id-block totals of that one day,
-then inside one block of at most 2**20 rows, and compared with every row of the user.
+The first ``max(1, floor(n * fraction))`` rows of a user, in the order (date, obs_id), are train. A row's
+place is its place among the rows of its day plus the rows of earlier days.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from needledrop.config import Settings
-from needledrop.functions import calendar_day, wall_clock
-from needledrop.operators.columns import reject_null_keys
-from needledrop.operators.heavy import id_block, split_by_weight
+from needledrop.operators.history import IS_TRAIN, by_day
 
 TRAIN, VALIDATION, TEST = "train", "val", "test"
 
 
-def train_rows(n: Column, settings: Settings) -> Column:
-    """Number of train rows of a user with ``n`` rows; the product stays a double."""
-    return F.greatest(F.lit(1).cast("bigint"), F.floor(n * F.lit(float(settings.train_frac))))
-
-
-def light_split(df: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
-    ordered = W.partitionBy(*keys).orderBy("_date", settings.obs_id)
-    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    numbered = df.withColumns(
-        {"_pos": F.row_number().over(ordered) - 1, "_n": F.count(F.lit(1)).over(whole)}
-    )
-    return numbered.withColumn("_is_train", F.col("_pos") < train_rows(F.col("_n"), settings))
-
-
-def last_train_rows(df: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
-    """(keys, last date, last id) of the train rows, one row per key; ``df`` carries ``_date``.
-
-    ``df`` holds at most ``settings.heavy_keys`` users, so one row per key may be broadcast.
-    """
-    per_user = W.partitionBy(*keys)
-    zero = F.lit(0).cast("bigint")
-
-    def before(order: str) -> Column:
-        earlier = per_user.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_c").over(earlier), zero)
-
-    days = df.groupBy(*keys, "_date").agg(F.count(F.lit(1)).alias("_c"))
-    days = days.withColumns({"_earlier": before("_date"), "_n": F.sum("_c").over(per_user)})
-    days = days.withColumn("_take", train_rows(F.col("_n"), settings) - F.col("_earlier"))
-    last_day = days.where(F.col("_take").between(F.lit(1), F.col("_c"))).select(*keys, "_date", "_take")
-
-    narrow = df.select(*keys, "_date", settings.obs_id, id_block(settings.obs_id, settings).alias("_blk"))
-    inside = narrow.join(F.broadcast(last_day), [*keys, "_date"])
-    blocks = inside.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_c"), F.max("_take").alias("_take"))
-    blocks = blocks.withColumn("_rest", F.col("_take") - before("_blk"))
-    last_block = blocks.where(F.col("_rest").between(F.lit(1), F.col("_c"))).select(*keys, "_blk", "_rest")
-
-    in_block = inside.join(F.broadcast(last_block), [*keys, "_blk"])
-    in_block = in_block.withColumn("_pos", F.row_number().over(per_user.orderBy(settings.obs_id)))
-    return in_block.where(F.col("_pos") == F.col("_rest")).select(
-        *keys, F.col("_date").alias("_last_date"), F.col(settings.obs_id).alias("_last_id")
-    )
-
-
-def heavy_split(df: DataFrame, last: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
-    """Compare every row with the last train row of its key."""
-    return df.join(F.broadcast(last), keys).withColumn(
-        "_is_train",
-        (F.col("_date") < F.col("_last_date"))
-        | ((F.col("_date") == F.col("_last_date")) & (F.col(settings.obs_id) <= F.col("_last_id"))),
-    )
-
-
 def fold_name(is_train: Column) -> Column:
     return F.when(is_train, TRAIN).otherwise(VALIDATION)
 
@@ -83,11 +23,5 @@ def with_time_split(
     df: DataFrame, keys: list[str] | None = None, settings: Settings = Settings()
 ) -> DataFrame:
     """Add ``split`` with the values train and val."""
-    keys = list(keys) if keys else [settings.user]
-    keep = [*df.columns, fold_name(F.col("_is_train")).alias(settings.fold_column)]
-    dated = reject_null_keys(wall_clock(df, settings.ts), settings).withColumn("_date", calendar_day(settings.ts))
-    light, heavy = split_by_weight(dated, keys, settings)
-    parts = [light_split(light, keys, settings)]
-    if heavy is not None:
-        parts.append(heavy_split(heavy, last_train_rows(heavy, keys, settings), keys, settings))
-    return reduce(DataFrame.unionByName, [p.select(*keep) for p in parts])
+    rows = by_day(df, list(keys) if keys else [settings.user], set(), settings, split=True)
+    return rows.select(*df.columns, fold_name(F.col(IS_TRAIN)).alias(settings.fold_column))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from needledrop.functions import as_salted_key, lenient_float, release_year, track_id
+from needledrop.functions import NUMBER, as_salted_key, lenient_float, release_year, track_id
 from needledrop.operators.columns import membership
 from needledrop.operators.quantiles import exact_quantiles
 from needledrop.sources.store import settled
@@ -14,9 +14,9 @@ from needledrop.sources.store import settled
 CATALOGUE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
-        T.StructField("duration_ms", T.LongType()),
-        T.StructField("explicit", T.BooleanType()),
-        # Text, so that a value that is no number costs the value and not the document.
+        # Text, so that a value of another kind costs the value and not the document.
+        T.StructField("duration_ms", T.StringType()),
+        T.StructField("explicit", T.StringType()),
         T.StructField("popularity", T.StringType()),
         T.StructField("track_number", T.StringType()),
         T.StructField("available_markets", T.ArrayType(T.StringType())),
@@ -38,8 +38,9 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
     """Catalogue documents to flat columns; a missing or null field takes its default."""
     return docs.select(
         F.coalesce("id", F.lit("")).alias("track_id"),
-        F.coalesce("duration_ms", F.lit(0).cast("bigint")).alias("duration_ms"),
-        F.coalesce("explicit", F.lit(False)).alias("explicit"),
+        F.coalesce(F.when(F.col("duration_ms").rlike(NUMBER), F.col("duration_ms").try_cast("double")), F.lit(0.0)).alias("duration_ms"),
+        # A flag may be a word or a number.
+        F.coalesce(F.col("explicit").try_cast("boolean"), F.col("explicit").try_cast("double") != 0, F.lit(False)).alias("explicit"),
         F.coalesce("popularity", F.lit("0")).alias("popularity"),
         F.coalesce("track_number", F.lit("0")).alias("track_number"),
         F.coalesce(F.size("available_markets"), F.lit(0)).alias("available_markets_count"),
@@ -98,12 +99,14 @@ def enrich(plays: DataFrame, features: DataFrame, dedupe: bool = True) -> DataFr
     """Left join of the plays to their track's features; derives ``track_id`` when absent.
 
     The catalogue grows with the data, so no broadcast is forced; the planner broadcasts
-    it below its size limit, and splits the partition of a hot track otherwise. Plays
-    without a track are spread over all partitions.
+    it below its size limit, and splits the partition of a hot track otherwise. It can do
+    so only below a plain exchange, so the one row per track is written first; pass
+    ``dedupe=False`` for features that have one already. Plays without a track are spread
+    over all partitions.
     """
     if "track_id" not in plays.columns:
         plays = plays.withColumn("track_id", track_id("spotify_track_uri"))
-    features = one_row_per_track(features) if dedupe else features
+    features = settled(one_row_per_track(features), "tracks-once") if dedupe else features
     spread = F.col("obs_id") if "obs_id" in plays.columns else F.monotonically_increasing_id()
     keyed = plays.withColumn("_key", as_salted_key(F.col("track_id"), F.col("track_id").isNotNull(), spread))
     joined = keyed.join(features.withColumnRenamed("track_id", "_of"), F.col("_key") == F.col("_of"), "left")

@@ -1,20 +1,16 @@
 """From plays and catalogue to a table of features with train, val and test rows.
 
-The history counts of all frames, the time split and the user rates of light users come
-from one exchange by user. Heavy users go through aggregates, see ``operators.heavy``.
+The history counts of all frames and the time split come from one exchange by user and day.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from needledrop.config import BIN_COLUMN, BIN_SUFFIX_COLUMN, ORDER_COLUMN, RATE_COLUMN, TRAILING_MINUTES, Settings
+from needledrop.config import BIN_COLUMN, BIN_SUFFIX_COLUMN, ORDER_COLUMN, TRAILING_MINUTES, Settings
 from needledrop.functions import (
-    calendar_day,
     label_flag,
-    micros,
     platform_family,
     presence_flag,
     song_age,
@@ -31,15 +27,14 @@ from needledrop.operators.columns import (
     fill_constants,
     label_last,
     numeric_columns,
-    reject_null_keys,
 )
 from needledrop.operators.encode import ColumnImputer
-from needledrop.operators.heavy import split_by_weight
-from needledrop.operators.history import heavy_history, light_history, with_history
-from needledrop.operators.split import TEST, TRAIN, fold_name, heavy_split, last_train_rows, light_split
-from needledrop.operators.tracks import enrich, flatten_documents, track_features
+from needledrop.operators.history import IS_TRAIN, by_day, with_history
+from needledrop.operators.rates import with_user_rate
+from needledrop.operators.split import TEST, TRAIN, fold_name
+from needledrop.operators.tracks import enrich, flatten_documents, one_row_per_track, track_features
 from needledrop.sources.scans import read_catalogue, read_enriched, read_plays
-from needledrop.sources.store import path_exists, settled
+from needledrop.sources.store import settled, stored
 
 FRAME = "frame"
 # What the original computes, and the documented count that knows no future plays.
@@ -73,46 +68,15 @@ def history_features(
     """Add history counts, ``split`` and the user rate to plays with a ``frame`` column.
 
     ``frame`` is train or test. Counts and split see the rows of one frame only; the rate
-    is learned from the train rows and reaches the test rows of the same user.
+    is learned from the train rows and reaches the test rows of the same user. Users without
+    train rows get the rate over all train rows. The counted table is written once, and both rates
+    are learned from it.
     """
     user, fold = settings.user, settings.fold_column
-    keys, wanted = [user, FRAME], set(counts)
-    keep = [*df.columns, *counts, fold, *([RATE_COLUMN] if learn_rate else [])]
-    timed = reject_null_keys(wall_clock(df, settings.ts), settings).withColumns(
-        {"_us": micros(settings.ts), "_date": calendar_day(settings.ts)}
-    )
-    light, heavy = split_by_weight(timed, [user], settings)
-
-    def folded(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(fold, F.when(F.col(FRAME) == TEST, TEST).otherwise(fold_name(F.col("_is_train"))))
-
-    learned = F.avg(F.when(F.col(fold) == TRAIN, F.col(settings.label)))
-
-    # Laid out by user once; the windows by user and frame below need no other exchange.
-    light = light_history(light.repartition(user), keys, wanted, settings)
-    light = folded(light_split(light, keys, settings))
-    if learn_rate:
-        light = light.withColumn(RATE_COLUMN, learned.over(W.partitionBy(user)))
-    if heavy is None:
-        return light.select(*keep)
-
-    # One row per heavy user and frame, so this side keeps the bound of the heavy list.
-    last = last_train_rows(heavy, keys, settings)
-    counted = heavy_history(heavy, keys, wanted, settings) if wanted else heavy
-    counted = folded(heavy_split(counted, last, keys, settings))
-    if learn_rate:
-        rates = folded(heavy_split(heavy, last, keys, settings)).groupBy(user).agg(learned.alias(RATE_COLUMN))
-        counted = counted.join(F.broadcast(rates), user)
-    return light.select(*keep).unionByName(counted.select(*keep))
-
-
-def with_global_rate(df: DataFrame, plays: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Users without train rows get the rate over all train rows of ``plays``, the frames before any feature."""
-    narrow = plays.select(settings.user, settings.ts, settings.obs_id, settings.label, FRAME)
-    folded = history_features(narrow, (), settings, learn_rate=False)
-    learned = folded.where(F.col(settings.fold_column) == TRAIN).agg(F.avg(settings.label).alias("_global"))
-    filled = F.coalesce(RATE_COLUMN, "_global").alias(RATE_COLUMN)
-    return df.crossJoin(F.broadcast(learned)).select(*[c for c in df.columns if c != RATE_COLUMN], filled)
+    rows = by_day(df, [user, FRAME], set(counts), settings, split=True)
+    named = F.when(F.col(FRAME) == TEST, TEST).otherwise(fold_name(F.col(IS_TRAIN))).alias(fold)
+    table = rows.select(*df.columns, *counts, named)
+    return with_user_rate(settled(table, "history"), None, settings) if learn_rate else table
 
 
 def feature_table(
@@ -124,8 +88,8 @@ def feature_table(
     """All features of one frame, raw columns dropped, label last.
 
     The counts are taken on the plays as they are read, and the catalogue ``features`` are
-    joined after that (none for plays that are joined already): what runs more than
-    once, such as the search for heavy users, is then a scan of few columns.
+    joined after that (none for plays that are joined already): the totals per day are then
+    a scan of few columns.
     """
     table = with_history(plays, counts, settings=settings)
     table = row_features(table if features is None else enrich(table, features)).drop(*RAW_COLUMNS)
@@ -139,29 +103,39 @@ def catalogue_features(documents: DataFrame, train: DataFrame) -> DataFrame:
     """
     tracks = settled(flatten_documents(documents), "tracks")
     used = settled(distinct_values(train.select(track_id("spotify_track_uri").alias("track_id")), "track_id"), "used")
-    return settled(track_features(tracks, used), "track_features")
+    return settled(one_row_per_track(track_features(tracks, used)), "track_features")
 
 
 def enrich_frames(train: DataFrame, test: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Join both frames with the catalogue, fill the constant defaults, make the label 0/1."""
-    train = enrich(train, features).withColumn("reason_end", label_flag("reason_end"))
+    """Join both frames with the catalogue (one row per track), fill the constant defaults, make the label 0/1."""
+    train = enrich(train, features, dedupe=False).withColumn("reason_end", label_flag("reason_end"))
     train = label_last(train.withColumnRenamed("reason_end", "fwdbtn"), "fwdbtn")
-    return fill_constants(train), fill_constants(enrich(test, features).drop("reason_end"))
+    return fill_constants(train), fill_constants(enrich(test, features, dedupe=False).drop("reason_end"))
 
 
 def load_frames(
-    spark: SparkSession, train_path: str, test_path: str, catalogue: str, enriched: str | None = None
+    spark: SparkSession,
+    train_path: str,
+    test_path: str,
+    catalogue: str,
+    folder: str | None = None,
+    enriched: tuple[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The enriched tables ``ENRICHED/train`` and ``/test``; built and written when absent."""
-    if enriched and path_exists(spark, f"{enriched}/train/_SUCCESS") and path_exists(spark, f"{enriched}/test/_SUCCESS"):
-        return read_enriched(spark, f"{enriched}/train"), read_enriched(spark, f"{enriched}/test")
+    """The enriched train and test frames.
+
+    ``enriched`` names a pair of tables (CSV or Parquet) that are joined already. Otherwise they are built;
+    with ``folder`` they are kept there under the content of all three inputs, and built once.
+    """
+    if enriched:
+        return read_enriched(spark, enriched[0]), read_enriched(spark, enriched[1])
     train, test = read_plays(spark, train_path), read_plays(spark, test_path)
-    train, test = enrich_frames(train, test, catalogue_features(read_catalogue(spark, catalogue), train))
-    if not enriched:
-        return train, test
-    train.write.mode("overwrite").parquet(f"{enriched}/train")
-    test.write.mode("overwrite").parquet(f"{enriched}/test")
-    return read_enriched(spark, f"{enriched}/train"), read_enriched(spark, f"{enriched}/test")
+    documents = read_catalogue(spark, catalogue)
+    joined = enrich_frames(train, test, catalogue_features(documents, train))
+    if not folder:
+        return joined
+    inputs = [train, test, flatten_documents(documents)]
+    kept = [stored(df, name, inputs, folder) for name, df in zip(("train", "test"), joined)]
+    return kept[0], kept[1]
 
 
 def build_dataset(
@@ -181,7 +155,7 @@ def build_dataset(
     both = train.withColumn(FRAME, F.lit(TRAIN)).unionByName(
         test.drop(settings.label).withColumn(FRAME, F.lit(TEST)), allowMissingColumns=True
     )
-    table = with_global_rate(history_features(both, counts, settings), both, settings)
+    table = history_features(both, counts, settings)
     return row_features(table if features is None else enrich(table, features)).drop(FRAME, *RAW_COLUMNS)
 
 

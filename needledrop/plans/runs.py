@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from needledrop.config import Settings
 from needledrop.operators import profile
-from needledrop.plans.dataset import PARITY_COUNTS, build_dataset, impute, load_frames
+from needledrop.plans.dataset import PAST_COUNTS, build_dataset, impute, load_frames
 from needledrop.plans.search import FULL_RUN_TRIALS, search, top_trials
 from needledrop.plans.training import HAND_PICKED_PARAMS, Encoded, encode, train_and_apply
 from needledrop.sources.sinks import write_search_results
@@ -20,16 +20,17 @@ def prepared(
     test_path: str,
     catalogue: str,
     folder: str,
-    counts: tuple[str, ...] = PARITY_COUNTS,
+    counts: tuple[str, ...] = PAST_COUNTS,
     settings: Settings = Settings(),
     fill_from_val: bool = False,
+    enriched: tuple[str, str] | None = None,
 ) -> Encoded:
     """Load, enrich, derive, impute and encode; each step that is read again is a table.
 
     The encoder fills nulls from the train rows. ``fill_from_val`` fills them before that
     from train and val rows together, as the original does.
     """
-    train, test = load_frames(spark, train_path, test_path, catalogue, f"{folder}/enriched")
+    train, test = load_frames(spark, train_path, test_path, catalogue, f"{folder}/enriched", enriched)
     dataset = settled(build_dataset(train, test, counts=counts, settings=settings), "dataset")
     dataset = impute(dataset, True, settings) if fill_from_val else dataset
     encoded = encode(dataset, settings, table_dir=f"{folder}/models")
@@ -44,11 +45,13 @@ def run_short(
     folder: str,
     params: dict = HAND_PICKED_PARAMS,
     settings: Settings = Settings(),
-    counts: tuple[str, ...] = PARITY_COUNTS,
+    counts: tuple[str, ...] = PAST_COUNTS,
+    enriched: tuple[str, str] | None = None,
+    predictions: str | None = None,
 ) -> dict:
     """Train with fixed parameters and write the predictions."""
-    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings)
-    return train_and_apply(encoded, params, folder, "short", settings, f"{folder}/models/best_model")
+    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched)
+    return train_and_apply(encoded, params, folder, "short", settings, f"{folder}/models/best_model", predictions)
 
 
 def run_full(
@@ -59,26 +62,31 @@ def run_full(
     folder: str,
     n_trials: int = FULL_RUN_TRIALS,
     settings: Settings = Settings(),
-    counts: tuple[str, ...] = PARITY_COUNTS,
+    counts: tuple[str, ...] = PAST_COUNTS,
+    enriched: tuple[str, str] | None = None,
+    predictions: str | None = None,
     **search_options,
 ) -> dict:
     """Search, train with the best parameters, write predictions and search results."""
-    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings)
+    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched)
     found = search(encoded, n_trials, settings=settings, **search_options)
     written = write_search_results(spark, found, f"{folder}/tuning_results")
-    done = train_and_apply(encoded, found["best_params"], folder, "full", settings, f"{folder}/models/best_model")
+    done = train_and_apply(encoded, found["best_params"], folder, "full", settings, f"{folder}/models/best_model", predictions)
     return {**done, "search": found, "search_files": written, "top_trials": top_trials(spark, found["tuning_results"], 3)}
 
 
 def run_profile(df: DataFrame, target: str = "fwdbtn") -> dict[str, DataFrame | dict]:
     """Every column by class; the roles are decided first, then all columns share a pass per report."""
+    width = len(df.columns)
+    # Every report reads the table again: only the profiled columns, written once.
+    df = settled(df.select(target, *[c for c in df.columns if c not in profile.NOT_PROFILED]), "profiled")
     roles = {r["column"]: r["role"] for r in profile.column_roles(df).collect()}
     numbers = [c for c, r in roles.items() if r == profile.NUMERIC]
     texts = [c for c, r in roles.items() if r == profile.CATEGORICAL]
     out: dict[str, DataFrame | dict] = {
         "roles": roles,
         "target": profile.target_distribution(df, target),
-        "shape": df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns")),
+        "shape": df.agg(F.count(F.lit(1)).alias("rows"), F.lit(width).alias("columns")),
     }
     if numbers:
         out["stats"] = profile.class_conditional_stats(df, numbers, target)
@@ -87,3 +95,15 @@ def run_profile(df: DataFrame, target: str = "fwdbtn") -> dict[str, DataFrame |
     if texts:
         out["categories"] = profile.class_category_counts(df, texts, target)
     return out
+
+
+def write_profile(reports: dict[str, DataFrame | dict], folder: str) -> dict[str, str | dict]:
+    """Every report as Parquet below ``folder``; the paths by name."""
+    paths: dict[str, str | dict] = {}
+    for name, part in reports.items():
+        if isinstance(part, DataFrame):
+            paths[name] = f"{folder.rstrip('/')}/{name}"
+            part.write.mode("overwrite").parquet(paths[name])
+        else:
+            paths[name] = part
+    return paths

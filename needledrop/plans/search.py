@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from needledrop.config import Settings
 from needledrop.operators.metrics import trial_summary
-from needledrop.plans.training import HAND_PICKED_PARAMS, Encoded, evaluate, fit
+from needledrop.plans.training import HAND_PICKED_PARAMS, Encoded, evaluate, fit_with_patience
 
 # The search space.
 LEARNING_RATE = (0.005, 0.2)
@@ -45,13 +45,18 @@ def convert(params: dict) -> dict:
 
 
 def run_trial(tid: int, encoded: Encoded, params: dict, settings: Settings) -> dict:
-    """One fit on the temporal split; a failed trial has no score and cannot win."""
+    """One fit on the temporal split; a failed trial has no score and cannot win.
+
+    The trial's ``n_estimators`` becomes the number of trees it kept, so that the winner can be grown again.
+    """
     params = convert(params)
     try:
-        auc = evaluate(fit(encoded, params, settings), encoded, settings)["auc"]
+        model, rounds = fit_with_patience(encoded, params, settings)
+        params = {**params, "n_estimators": rounds}
+        auc = evaluate(model, encoded, settings)["auc"]
         scores, error = ([auc], None) if auc is not None else ([], "validation rows of one class only")
     except Exception as e:  # noqa: BLE001 - a bad parameter set must not end the search
-        scores, error = [], str(e)[:500]
+        scores, error = [], str(e)
     return {
         "tid": tid,
         "params": params,

@@ -35,16 +35,19 @@ HAND_PICKED_PARAMS = {
 }
 
 
-def classifier(params: dict, settings: Settings = Settings(), early_stop: bool = True) -> GBTClassifier:
+# Fixed value: rounds without progress on the val rows after which boosting ends.
+PATIENCE = 50
+
+
+def classifier(params: dict, settings: Settings = Settings()) -> GBTClassifier:
     """Spark's boosted trees for a parameter set.
 
-    They have no counterpart of the L1 and L2 terms, and boosting stops at the first round
-    without progress on the validation rows: there is no patience setting.
+    They have no counterpart of the L1 and L2 terms.
 
     Every tree is a few distributed aggregations, and node ids are cached and checkpointed, so
     that the lineage of thousands of trees stays short.
     """
-    gbt = GBTClassifier(
+    return GBTClassifier(
         featuresCol="features",
         labelCol=settings.label,
         maxIter=int(params.get("n_estimators", DEFAULT_PARAMS["n_estimators"])),
@@ -57,9 +60,18 @@ def classifier(params: dict, settings: Settings = Settings(), early_stop: bool =
         cacheNodeIds=True,
         checkpointInterval=10,
         seed=settings.seed,
-        validationTol=0.0,
     )
-    return gbt.setParams(validationIndicatorCol="_validation") if early_stop else gbt
+
+
+def best_round(losses: list[float], patience: int = PATIENCE) -> int:
+    """Rounds up to the best validation loss, seen until ``patience`` rounds bring no progress."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
 @dataclass
@@ -87,15 +99,36 @@ def encode(dataset: DataFrame, settings: Settings = Settings(), table_dir: str =
     return Encoded(rows, model)
 
 
-def fit(
-    encoded: Encoded, params: dict | None = None, settings: Settings = Settings(), early_stop: bool = True
-) -> GBTClassificationModel:
-    """Fit on the train rows; with ``early_stop`` the val rows decide when boosting stops."""
+def fit(encoded: Encoded, params: dict | None = None, settings: Settings = Settings()) -> GBTClassificationModel:
+    """All trees of ``params``, fitted on the train rows."""
+    rows = encoded.rows.where(F.col(settings.fold_column) == TRAIN)
+    rows = rows.withColumn(settings.label, F.col(settings.label).cast("double"))
+    return classifier(DEFAULT_PARAMS if params is None else params, settings).fit(rows)
+
+
+def fit_with_patience(
+    encoded: Encoded, params: dict | None = None, settings: Settings = Settings(), patience: int = PATIENCE
+) -> tuple[GBTClassificationModel, int]:
+    """The trees up to the best round on the val rows, and their number.
+
+    The trees are grown in steps of ``patience`` rounds, until one brings no progress. The seed fixes each
+    tree, so a longer fit begins with the trees of a shorter one.
+    """
     params = DEFAULT_PARAMS if params is None else params
-    fold = F.col(settings.fold_column)
-    rows = encoded.rows.where(fold != TEST if early_stop else fold == TRAIN)
-    rows = rows.withColumns({"_validation": fold == VALIDATION, settings.label: F.col(settings.label).cast("double")})
-    return classifier(params, settings, early_stop).fit(rows)
+    most = int(params.get("n_estimators", DEFAULT_PARAMS["n_estimators"]))
+    val = encoded.rows.where(F.col(settings.fold_column) == VALIDATION)
+    val = val.withColumn(settings.label, F.col(settings.label).cast("double"))
+    grown = 0
+    while grown < most:
+        grown = min(most, max(2 * grown, 2 * patience))
+        model = fit(encoded, {**params, "n_estimators": grown}, settings)
+        losses = list(model.evaluateEachIteration(val))
+        rounds = best_round(losses, patience)
+        if rounds + patience <= grown:
+            break
+    if rounds < grown:
+        model = fit(encoded, {**params, "n_estimators": rounds}, settings)
+    return model, rounds
 
 
 def scored(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -127,19 +160,21 @@ def train_and_apply(
     kind: str = "full",
     settings: Settings = Settings(),
     model_path: str | None = None,
+    predictions_path: str | None = None,
 ) -> dict:
-    """Fit, evaluate, write the test predictions under ``folder`` and save the model.
+    """Fit, evaluate, write the test predictions and save the model.
 
-    The final model grows all its trees; stopping early is for the trials of a search.
+    The predictions go to ``predictions_path``, else to a name below ``folder``. The model grows all trees of
+    ``params``; a search hands over the number that its best trial kept.
     """
     spark = encoded.rows.sparkSession
-    model = fit(encoded, params, settings, early_stop=False)
+    model = fit(encoded, params, settings)
     metrics = evaluate(model, encoded, settings)
     test = scored(model, encoded.rows.where(F.col(settings.fold_column) == TEST))
     predictions = prediction_rows(test.select(settings.obs_id, F.col("score").alias("target")), settings.obs_id)
-    path = None
-    if folder:
-        path = write_predictions(predictions, f"{folder}/{prediction_path(metrics['auc'], kind)}")
+    path = predictions_path or (f"{folder}/{prediction_path(metrics['auc'], kind)}" if folder else None)
+    if path:
+        write_predictions(predictions, path)
     pipeline = PipelineModel(stages=[encoded.encoder, model])
     if model_path:
         save_model(pipeline, model_path)

@@ -73,10 +73,12 @@ def _header_schema(spark: SparkSession, path: str, sep: str, known: T.StructType
     return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
 
 
-def _read_delimited(spark: SparkSession, path: str, sep: str, schema: T.StructType | None, known: T.StructType) -> DataFrame:
+def _read_delimited(
+    spark: SparkSession, path: str, sep: str, schema: T.StructType | None, known: T.StructType, multi_line: bool = False
+) -> DataFrame:
     schema = schema or _header_schema(spark, path, sep, known)
     # Text without a zone is read as UTC, whatever the session says; a quote is escaped by doubling it.
-    options = {"header": True, "sep": sep, "timeZone": "UTC", "enforceSchema": True, "escape": '"'}
+    options = {"header": True, "sep": sep, "timeZone": "UTC", "enforceSchema": True, "escape": '"', "multiLine": multi_line}
     df = spark.read.options(**options).schema(schema).csv(path).drop(*INDEX_COLUMNS)
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     present = {c: F.when(~F.col(f"`{c}`").isin(*MISSING_WORDS), F.col(f"`{c}`")) for c in texts}
@@ -88,9 +90,9 @@ def _normalised(df: DataFrame) -> DataFrame:
     return wall_clock(df, "ts") if "ts" in df.columns else df
 
 
-def read_plays(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Tab-separated plays with a header."""
-    return _read_delimited(spark, path, "\t", schema, PLAY_SCHEMA)
+def read_plays(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """Tab-separated plays with a header; ``multi_line`` for quoted line breaks, at a file per task."""
+    return _read_delimited(spark, path, "\t", schema, PLAY_SCHEMA, multi_line)
 
 
 def read_enriched(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -56,6 +56,7 @@ def write_search_results(spark: SparkSession, result: dict, folder: str) -> tupl
     """The trials as JSON rows, and a text summary of the best parameters."""
     trials, summary = f"{folder}/search_results", f"{folder}/best_params_summary"
     document = json.dumps(
+        # The keys.
         {
             "best_params": result["best_params"],
             "best_score": result["best_score"],
@@ -64,14 +65,8 @@ def write_search_results(spark: SparkSession, result: dict, folder: str) -> tupl
             "total_trials": len(result["tuning_results"]),
         }
     )
-    lines = [
-        "BEST HYPERPARAMETERS",
-        f"Best temporal AUC: {result['best_score']:.4f}",
-        "Validation method: per-user temporal split (80/20)",
-        f"Total trials: {len(result['tuning_results'])}",
-        "Best parameters:",
-        *[f"  {k}: {v}" for k, v in result["best_params"].items()],
-    ]
+    facts = {"auc": f"{result['best_score']:.6f}", "trials": len(result["tuning_results"]), **result["best_params"]}
+    lines = [f"{name}={value}" for name, value in facts.items()]
     one_text = "value string"
     spark.createDataFrame([(document,)], one_text).coalesce(1).write.mode("overwrite").text(trials)
     spark.createDataFrame([("\n".join(lines),)], one_text).coalesce(1).write.mode("overwrite").text(summary)

@@ -6,20 +6,26 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Raise when an operator changes what it computes.
-STORE_VERSION = 1
+STORE_VERSION = 2
 
 
 def shared_dir(spark: SparkSession, name: str = "needledrop") -> str:
-    """A folder under the cluster's checkpoint folder; a local one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A folder under the cluster's checkpoint folder.
+
+    Where none is set, a session of one process (``local``, as in tests) uses one temporary folder
+    of its application; a cluster is refused.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
-        base = tempfile.mkdtemp(prefix="needledrop-")
+        base = getattr(context, "_needledrop_folder", None) or tempfile.mkdtemp(prefix="needledrop-")
+        context._needledrop_folder = base
     return f"{base.rstrip('/')}/{name}"
 
 
@@ -43,13 +49,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row that depends on the values of the columns and not on the order of the rows."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in (columns or df.columns)])
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.bit_xor(h).alias("xor_hash"),
-        # Equal rows cancel out in the xor; the sum keeps them apart.
-        F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum_hash"),
-    )
+    # Each value as text with its length in front, null apart, so that values cannot run together.
+    part = [F.col(f"`{c}`").cast("string") for c in (columns or df.columns)]
+    framed = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in part]
+    h = F.md5(F.concat(*framed) if framed else F.lit(""))
+
+    def total(start: int) -> Column:
+        number = F.conv(F.substring(h, start, 8), 16, 10).cast("bigint")
+        return F.coalesce(F.sum(number.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)")
+
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *[total(s).alias(f"sum_{s}") for s in (1, 9, 17, 25)])
 
 
 def stored(df: DataFrame, name: str, inputs: list[DataFrame], folder: str | None = None) -> DataFrame:

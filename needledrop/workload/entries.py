@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +12,13 @@ from needledrop.config import ORDER_COLUMN, RATE_COLUMN, Settings
 from needledrop.functions import (
     label_flag,
     lenient_float,
+    micros,
     platform_family,
     presence_flag,
     release_year,
     song_age,
     track_id,
+    wall_clock,
     with_temporal_features,
 )
 from needledrop.operators import columns as cols
@@ -26,7 +27,7 @@ from needledrop.operators.encode import ColumnImputer, FeatureEncoder
 from needledrop.operators.history import with_bin_counts, with_rolling_counts, with_track_order
 from needledrop.operators.rates import with_user_rate
 from needledrop.operators.split import TEST, TRAIN, with_time_split
-from needledrop.operators.tracks import duration_stats, enrich, join_coverage, track_features
+from needledrop.operators.tracks import CATALOGUE_SCHEMA, duration_stats, enrich, flatten_documents, join_coverage, track_features
 from needledrop.plans.dataset import (
     FRAME,
     PAST_COUNTS,
@@ -34,7 +35,6 @@ from needledrop.plans.dataset import (
     feature_table,
     history_features,
     impute,
-    with_global_rate,
 )
 from needledrop.plans.search import search, top_trials
 from needledrop.plans.training import encode, fit, importance, scored
@@ -47,8 +47,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 DEFAULTS = Settings()
-# Sends every user through the aggregate path.
-ALL_HEAVY = replace(DEFAULTS, heavy_rows=0)
 
 STAT_DIGITS, CURVE_DIGITS = 6, 9
 
@@ -101,7 +99,32 @@ def json_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def frame_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return fingerprint(views.plays(spark, sf), ["ts", "username", "fwdbtn"])
+    rows = views.plays(spark, sf).withColumn("ts", micros("ts"))
+    sums = fingerprint(rows, ["ts", "username", "fwdbtn", "spotify_track_uri"])
+    return sums.select("n_rows", *[F.col(c).cast("string").alias(c) for c in sums.columns[1:]])
+
+
+@query
+def timestamp_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Times as text, a quarter each without zone, with Z, and with two spellings of an offset."""
+    zone = F.expr("CASE obs_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Z' WHEN 2 THEN '+02:00' ELSE ' -0330' END")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), zone)
+    rows = views.plays(spark, sf).select("obs_id", text.alias("ts"))
+    return wall_clock(rows).select("obs_id", micros("ts").alias("micros"))
+
+
+@query
+def flatten_documents_(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue documents with whole and broken durations, flags as words and numbers, and lost fields."""
+    text = F.expr(
+        """concat('{"id": "', p_partkey, '", "duration_ms": ',
+             CASE p_partkey % 4 WHEN 0 THEN '0' WHEN 1 THEN concat(p_size * 1000, '.5') WHEN 2 THEN 'null' ELSE CAST(p_size * 1000 AS STRING) END,
+             ', "explicit": ', CASE p_partkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN '1' WHEN 2 THEN '0' WHEN 3 THEN 'false' ELSE 'null' END,
+             CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(', "popularity": ', p_size) END,
+             ', "available_markets": ["A", "B"], "album": {"album_type": "', p_partkey % 7, '"}}')"""
+    )
+    docs = parse_documents(views.table(spark, sf, "part").select(text.alias("doc")), "doc", CATALOGUE_SCHEMA, [])
+    return flatten_documents(docs).select("track_id", "duration_ms", "explicit", "popularity", "available_markets_count", "album_type")
 
 
 @query
@@ -224,7 +247,7 @@ def track_order_in_day(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def track_order_in_day_heavy(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.user_orders(spark, sf)
-    return with_track_order(rows, settings=ALL_HEAVY).select("obs_id", ORDER_COLUMN)
+    return with_track_order(rows).select("obs_id", ORDER_COLUMN)
 
 
 @query
@@ -241,7 +264,7 @@ def rolling_counts_tied(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rolling_counts_heavy(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.plays(spark, sf, minute=True).select("obs_id", "username", "ts")
-    return with_rolling_counts(rows, settings=ALL_HEAVY).drop("username", "ts")
+    return with_rolling_counts(rows).drop("username", "ts")
 
 
 @query
@@ -261,7 +284,7 @@ def time_split_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def time_split_heavy(spark: SparkSession, sf: str) -> DataFrame:
-    return with_time_split(views.user_orders(spark, sf), settings=ALL_HEAVY).drop("username", "ts")
+    return with_time_split(views.user_orders(spark, sf)).drop("username", "ts")
 
 
 @query
@@ -270,7 +293,7 @@ def user_skip_rate(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.plays(spark, sf).select("obs_id", "username", "ts", "fwdbtn")
     is_test = F.expr(views.IS_TEST) | (F.col("username") < 5)
     rows = rows.withColumn(FRAME, F.when(is_test, TEST).otherwise(TRAIN))
-    rated = with_global_rate(history_features(rows, ()), rows)
+    rated = history_features(rows, ())
     return _rounded(rated, CURVE_DIGITS, RATE_COLUMN).select("obs_id", DEFAULTS.fold_column, RATE_COLUMN)
 
 
@@ -284,7 +307,8 @@ def user_skip_rate_joined(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def feature_table_(spark: SparkSession, sf: str) -> DataFrame:
     plays = cols.drop_all_null_columns(views.plays(spark, sf).drop("value_nullable", "k", "shuffle"))
-    table = feature_table(plays, _features_of_tracks(spark, sf)).drop("duration_normalized")
+    table = feature_table(plays, _features_of_tracks(spark, sf))
+    table = table.withColumn("duration_normalized", F.round(F.col("duration_normalized").cast("double"), 5))
     return _rounded(table, CURVE_DIGITS, "time_of_day_sin", "time_of_day_cos")
 
 
@@ -395,6 +419,15 @@ def classification_report(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(report, STAT_DIGITS, "precision", "recall", "f1")
 
 
+@query
+def importance_top(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as features, with ties in their importance."""
+    rows = views.table(spark, sf, "part").select(
+        F.concat(F.lit("f"), F.col("p_partkey")).alias("feature"), (F.col("p_size") / 50).cast("double").alias("importance")
+    )
+    return metrics.feature_importance(rows, 20)
+
+
 @query
 def trial_summary(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.trial_summary(views.trials(spark, sf), 5).select(

@@ -259,9 +259,29 @@ def oracle() -> dict[str, str]:
               ON p.username = r.username""",
         "plays",
     )
+    framed = " || ".join(
+        f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("epoch_us(ts)", "username", "fwdbtn", "spotify_track_uri")
+    )
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substring(h, {i}, 8) AS BIGINT)) AS VARCHAR) AS sum_{i}" for i in (1, 9, 17, 25))
+    q["frame_fingerprint"] = _with(f"SELECT count(*) AS n_rows, {sums} FROM (SELECT md5({framed}) AS h FROM plays)", "plays")
+    q["timestamp_parse"] = _with(
+        """SELECT obs_id, epoch_us(date_trunc('second', ts)) - CASE obs_id % 4 WHEN 2 THEN 7200 WHEN 3 THEN -12600 ELSE 0 END * 1000000::BIGINT
+             AS micros FROM plays""",
+        "plays",
+    )
+    q["flatten_documents"] = """
+        SELECT CAST(p_partkey AS VARCHAR) AS track_id,
+               CAST(CASE p_partkey % 4 WHEN 1 THEN p_size * 1000 + 0.5 WHEN 3 THEN p_size * 1000 ELSE 0 END AS DOUBLE) AS duration_ms,
+               p_partkey % 5 IN (0, 1) AS explicit,
+               CASE WHEN p_partkey % 3 = 0 THEN '0' ELSE CAST(p_size AS VARCHAR) END AS popularity,
+               2 AS available_markets_count, CAST(p_partkey % 7 AS VARCHAR) AS album_type FROM part"""
+    q["importance_top"] = """
+        SELECT 'f' || p_partkey AS feature, CAST(p_size AS DOUBLE) / 50 AS importance FROM part
+        ORDER BY importance DESC, feature LIMIT 20"""
     q["feature_table"] = _with(
         f"""SELECT obs_id, {TEMPORAL}, username, value, reason_end, {PLATFORM} AS platform, conn_country,
                    explicit, popularity, track_number, available_markets_count, album_type, release_year,
+                   round(CAST(duration_normalized AS DOUBLE), 5) AS duration_normalized,
                    CAST(master_metadata_track_name IS NOT NULL AS TINYINT) AS is_song,
                    CAST(episode_name IS NOT NULL AS TINYINT) AS is_episode, {SONG_AGE} AS song_age,
                    {TRACK_ORDER} AS track_order_in_day, {ROLLING}, fwdbtn FROM enriched""",
@@ -359,8 +379,12 @@ def oracle() -> dict[str, str]:
                    round(lo + (b + 1) * w, 6) AS upper, coalesce(n, 0) AS n,
                    round(coalesce(n, 0) / (total * w), 6) AS density
             FROM (SELECT *, (hi - lo) / 50 AS w FROM ({spans})) s CROSS JOIN range(50) r(b)
-            LEFT JOIN (SELECT l."column", l.target, least(floor((v - lo) / ((hi - lo) / 50)), 49) AS bin, count(*) AS n
-                       FROM ({LONG_NUMBERS}) l JOIN ({spans}) s ON l."column" = s."column" AND l.target = s.target
+            LEFT JOIN (SELECT l."column", l.target, e.b AS bin, count(*) AS n
+                       FROM ({LONG_NUMBERS}) l
+                       JOIN (SELECT "column", target, b, lo + b * ((hi - lo) / 50) AS lower, lo + (b + 1) * ((hi - lo) / 50) AS upper
+                             FROM ({spans}) CROSS JOIN range(50) r(b)) e
+                         ON l."column" = e."column" AND l.target = e.target
+                        AND (v >= e.lower OR e.b = 0) AND (v < e.upper OR e.b = 49)
                        GROUP BY 1, 2, 3) c
               ON s."column" = c."column" AND s.target = c.target AND r.b = c.bin""",
         "plays",

@@ -2,7 +2,6 @@
 
 import json
 import re
-from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
@@ -10,13 +9,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from needledrop.config import Settings
 from needledrop.operators.rates import with_user_rate
-from needledrop.plans.dataset import FRAME, build_dataset, feature_table, history_features, load_frames, with_global_rate
-from needledrop.plans.runs import run_full, run_profile, run_short
+from needledrop.operators.tracks import enrich
+from needledrop.plans.dataset import build_dataset, feature_table, load_frames
+from needledrop.plans.runs import run_full, run_profile, run_short, write_profile
 from needledrop.plans.search import draw, search, trial_frame
-from needledrop.plans.training import classifier
+from needledrop.plans.training import best_round, classifier, encode, fit_with_patience
 from needledrop.sources.sinks import load_model, prediction_path, prediction_rows
+from needledrop.sources.store import settled
 
 SMALL = {"n_estimators": 4, "learning_rate": 0.3, "max_depth": 3, "min_child_weight": 1, "subsample": 1.0, "colsample_bytree": 1.0}
 
@@ -61,23 +61,40 @@ def frames(spark, inputs, tmp_path_factory):
     return load_frames(spark, inputs["train"], inputs["test"], inputs["catalogue"], folder)
 
 
-def test_enriched_tables_are_reused(spark, inputs, tmp_path):
+def test_enriched_tables_are_kept_by_content(spark, inputs, tmp_path):
     first = load_frames(spark, inputs["train"], inputs["test"], inputs["catalogue"], str(tmp_path))
-    again = load_frames(spark, "gone", "gone", "gone", str(tmp_path))
+    again = load_frames(spark, inputs["train"], inputs["test"], inputs["catalogue"], str(tmp_path))
     assert sorted(first[0].inputFiles()) == sorted(again[0].inputFiles())
     assert first[0].columns[-1] == "fwdbtn" and "reason_end" not in first[0].columns
     assert first[0].where("shuffle IS NULL OR platform IS NULL").count() == 0
+    # Other plays in the same folder are another table.
+    other = pd.read_csv(inputs["train"], sep="\t").iloc[:300]
+    other.to_csv(tmp_path / "other.txt", sep="\t", index=False)
+    moved = load_frames(spark, str(tmp_path / "other.txt"), inputs["test"], inputs["catalogue"], str(tmp_path))
+    assert moved[0].count() == 300 and first[0].count() == 500
 
 
-def test_paths_agree_on_the_whole_dataset(spark, frames):
-    def rows(settings):
-        df = build_dataset(*frames, settings=settings)
-        return df.select(*sorted(df.columns)).orderBy("obs_id").collect()
+def test_runs_start_from_a_joined_pair(spark, frames, tmp_path):
+    pair = []
+    for name, df in zip(("train", "test"), frames):
+        pair.append(str(tmp_path / f"{name}.csv"))
+        df.toPandas().to_csv(pair[-1], index=False)
+    target = str(tmp_path / "own name")
+    done = run_short(spark, "gone", "gone", "gone", str(tmp_path), SMALL, enriched=pair, predictions=target)
+    assert done["path"] == target and spark.read.option("header", True).csv(target).count() == 120
 
-    plain = rows(Settings())
-    assert plain == rows(replace(Settings(), heavy_rows=0))
-    assert plain == rows(replace(Settings(), heavy_rows=200))
-    assert len(plain) == 620
+
+def test_patience_bridges_a_pause():
+    pause = [1.0, 0.9, *[0.95] * 48, 0.8, *[0.85] * 60]
+    assert best_round(pause) == 51
+    assert best_round(pause, 10) == 2
+    assert best_round([1.0, 2.0]) == 1
+
+
+def test_trial_keeps_the_rounds_it_scored(spark, frames):
+    encoded = encode(settled(build_dataset(*frames), "dataset"))
+    model, rounds = fit_with_patience(encoded, {**SMALL, "n_estimators": 8}, patience=2)
+    assert 1 <= rounds <= 8 and model.getNumTrees == rounds
 
 
 def test_test_rows_do_not_move_train_rows(spark, frames):
@@ -97,18 +114,31 @@ def test_new_user_gets_the_global_rate(spark, frames):
     assert df.where("username = 'new user'").first()["per_user_skip_rate"] == pytest.approx(rate)
 
 
-def test_one_exchange_for_light_users(spark, frames):
-    plays = frames[0].withColumn(FRAME, F.lit("train"))
-    plan = history_features(plays)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-
-
-def test_joined_and_windowed_rates_agree(spark, frames):
-    plays = frames[0].withColumn(FRAME, F.lit("train"))
-    windowed = with_global_rate(history_features(plays, ()), plays)
-    joined = with_user_rate(windowed.drop("per_user_skip_rate"))
-    pick = ["obs_id", F.round("per_user_skip_rate", 12).alias("r")]
-    assert sorted(windowed.select(*pick).collect()) == sorted(joined.select(*pick).collect())
+@pytest.mark.parametrize("join", ["enrich", "rate"])
+def test_hot_join_keys_are_split(spark, join):
+    knobs = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    before = {k: spark.conf.get(k, None) for k in knobs}
+    for k, v in knobs.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(40_000).repartition(8)
+        hot = F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+        if join == "enrich":
+            features = spark.range(500).select(F.concat(F.lit("k"), "id").alias("track_id"), F.rand(1).alias("duration_normalized"))
+            df = enrich(ids.select(F.col("id").alias("obs_id"), hot.alias("track_id"), F.md5(F.col("id").cast("string")).alias("x")), features)
+        else:
+            rows = ids.select(F.col("id").alias("obs_id"), hot.alias("username"), (F.col("id") % 2).alias("fwdbtn"), F.lit("train").alias("split"))
+            df = with_user_rate(rows)
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_feature_table_layout(spark, frames):
@@ -145,7 +175,7 @@ def test_full_run(spark, inputs, tmp_path):
     document = json.loads(spark.read.text(done["search_files"][0]).first()[0])
     assert document["total_trials"] == 2 and document["best_params"] == found["best_params"]
     summary = [r[0] for r in spark.read.text(done["search_files"][1]).collect()]
-    assert "Total trials: 2" in summary
+    assert "trials=2" in summary
     assert done["top_trials"].first()["mean_cv_score"] == max(scores)
 
 
@@ -173,8 +203,6 @@ def test_draws_are_seeded_and_inside_the_space():
 def test_classifier_parameters(spark):
     gbt = classifier(SMALL)
     assert (gbt.getMaxIter(), gbt.getStepSize(), gbt.getMaxDepth(), gbt.getSeed()) == (4, 0.3, 3, 420)
-    assert gbt.getValidationIndicatorCol() == "_validation"
-    assert not classifier(SMALL, early_stop=False).isDefined("validationIndicatorCol")
 
 
 def test_trial_frame(spark):
@@ -203,3 +231,10 @@ def test_profile_run(spark, frames):
     assert {r["fwdbtn"] for r in parts["target"].collect()} == {0, 1}
     for name in ("stats", "histogram", "density", "categories"):
         assert parts[name].count() > 0
+
+
+def test_every_report_of_a_profile_is_written(spark, frames, tmp_path):
+    written = write_profile(run_profile(frames[0]), str(tmp_path))
+    density = spark.read.parquet(written["density"])
+    assert density.groupBy("column", "target").count().agg(F.min("count"), F.max("count")).first() == (200, 200)
+    assert {"target", "shape", "stats", "histogram", "density", "categories"} < set(written)
