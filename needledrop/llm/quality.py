@@ -102,13 +102,14 @@ def top_k_bound(keys: DataFrame, k: int, bits: int = 12) -> int | None:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, keep: float | None = None, margin: float = 0.01, buckets: int = 1 << 15,
-    temperature: float = 200.0, seed: int = 3,
+    docs: DataFrame, labels: DataFrame, keep: float | None = None, margin: float = 0.01, target_rows: int = 20_000,
+    buckets: int = 1 << 15, temperature: float = 200.0, seed: int = 3,
 ) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) of every row of documents.
 
     ``keep`` is the share of rows to draw; by default the share of good ones among the labelled rows of
     this table and ``margin`` more, as good rows shall not be lost to the error of that share. Documents with the smallest drawn key are all kept, so ties and repeated rows fare alike.
+    The target model is fitted on the ``target_rows`` good rows of smallest hash, the raw one on all rows.
     Null and empty texts have weight 0. Null labels are no labels; without a good one all weights are 0, and
     without any label all rows stay. Other columns are ignored; an empty table gives an empty result.
     """
@@ -117,7 +118,9 @@ def resample(
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     text = F.col("text").cast("string").alias("text")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
-    good = marks.where("quality = 1").select("doc_id", F.lit(True).alias("target"))
+    # At most target_rows ids, so no text is shuffled to be told whether it is one of them.
+    chosen = marks.where("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(target_rows)
+    good = F.broadcast(chosen.select("doc_id", F.lit(True).alias("target")))
     found = counts(rows.join(good, "doc_id", "left").select("text", "target"), buckets)
     ratio = spark.sparkContext.broadcast(log_ratio([tuple(r) for r in found.collect()], buckets))  # one row per bucket
 
