@@ -31,6 +31,7 @@ from needledrop.sources.store import settled
 _SPACE = "▁"  # Fixed value: stands for a space inside pieces
 State = tuple[int, int] | None  # a piece as (start, end) around a cut; None where nothing reaches across
 _NO_PATH = -1
+_FEW = 128  # texts whose ids are Python numbers at one time
 
 
 @cache
@@ -267,7 +268,11 @@ def _backtrace(name: str):
                 prefix = [] if left[1] < 0 else words.inside(text[left[0] - base : begin])
                 ids = words.inside(text[begin - (left[1] - left[0] if left[1] >= 0 else 0) : end])[len(prefix) :]
                 out.append((doc, key, i, n, before, ids))
-            yield _token_batch(out)
+                if len(out) >= _FEW:
+                    yield _token_batch(out)
+                    out = []
+            if out:
+                yield _token_batch(out)
 
     return backtrace
 
@@ -278,10 +283,11 @@ def _whole(name: str):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = processor(name)
         for batch in batches:
-            texts = [(t or "") for t in batch.column("text").to_pylist()]
-            ids = words.encode(texts, num_threads=1) if texts else []
-            keys = zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), ids)
-            yield _token_batch([(doc, key, 0, 1, 0, i) for doc, key, i in keys])
+            for at in range(0, batch.num_rows, _FEW):
+                few = batch.slice(at, _FEW)
+                ids = words.encode([(t or "") for t in few.column("text").to_pylist()], num_threads=1)
+                keys = zip(few.column("doc_id").to_pylist(), few.column("key").to_pylist(), ids)
+                yield _token_batch([(doc, key, 0, 1, 0, i) for doc, key, i in keys])
 
     return whole
 
@@ -354,8 +360,8 @@ def decode(tokens: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
         table = vocabulary(model).bytes
         for batch in batches:
             texts = []
-            for i, ids in zip(batch.column("chunk").to_pylist(), batch.column("ids").to_pylist()):
-                text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
+            for i, ids in zip(batch.column("chunk").to_pylist(), batch.column("ids")):
+                text = b"".join(map(table.__getitem__, ids.values.to_pylist())).decode("utf-8", "replace")
                 texts.append(text[1:] if i == 0 and text.startswith(" ") else text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
