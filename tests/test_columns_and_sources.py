@@ -158,3 +158,20 @@ def test_fingerprint_and_stored_table(spark, tmp_path):
     assert set(other.inputFiles()) != set(first.inputFiles())
     assert settled(df, "t").count() == 3
     assert not path_exists(spark, f"{folder}/nothing")
+
+
+def test_values_of_another_kind_do_not_cost_the_document(spark, tmp_path):
+    texts = {
+        "a": '{"id": "a", "duration_ms": 1000.5, "explicit": 1}', "b": '{"id": "b", "duration_ms": "x", "explicit": 0}',
+        "c": '{"id": "c", "duration_ms": 7, "explicit": true}', "d": "no json",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    flat = {r.track_id: (r.duration_ms, r.explicit) for r in flatten_documents(read_catalogue(spark, str(tmp_path))).collect()}
+    assert flat == {"a": (1000.5, True), "b": (0.0, False), "c": (7.0, True)}
+
+
+def test_quoted_line_breaks_need_multi_line(spark, tmp_path):
+    path = tmp_path / "plays.tsv"
+    path.write_text('obs_id\tts\tusername\tplatform\n1\t2024-01-01T00:00:00Z\tu\t"two\nlines"\n')
+    assert [(r.obs_id, r.platform) for r in read_plays(spark, str(path), multi_line=True).collect()] == [(1, "two\nlines")]

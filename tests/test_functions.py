@@ -122,3 +122,18 @@ def test_wall_clock_is_utc(spark, zone, zone_name):
         assert df.select(micros("ts").alias("u")).first()["u"] == 1710037800123456
     with pytest.raises(TypeError):
         wall_clock(spark.range(1).withColumnRenamed("id", "ts"))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("2024-01-01 10:00:00+02:00", "2024-01-01 08:00:00"), ("2024-01-01T10:00:00-0300", "2024-01-01 13:00:00"),
+        ("2024-01-01 10:00:00 America/New_York", "2024-01-01 15:00:00"), ("2024-01-01 10:00:00.5Z", "2024-01-01 10:00:00.5"),
+        ("2024-01-01 10:00:00 UTC", "2024-01-01 10:00:00"), ("2024-01-01 10:00", "2024-01-01 10:00:00"), ("2024-01-01", "2024-01-01 00:00:00"),
+        ("2024-01-01 10:00:00 nowhere", None), ("soon", None),
+    ],
+)
+def test_text_with_a_zone_is_an_instant(spark, zone, text, want):
+    zone("Asia/Kolkata")
+    got = wall_clock(spark.createDataFrame([(text,)], "ts string")).select(F.col("ts").cast("string")).first()[0]
+    assert got == want

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from needledrop.operators.profile import class_histogram
+
 from needledrop.operators import metrics, profile
 
 RNG = np.random.default_rng(2)
@@ -111,3 +113,10 @@ def test_failed_trials_cannot_win(spark):
     got = metrics.trial_summary(df, 2).collect()
     assert [(r["tid"], r["is_best"]) for r in got] == [(2, True), (3, False)]
     assert got[0]["std_cv_score"] == pytest.approx(0.1) and got[0]["loss"] == -0.9
+
+
+@pytest.mark.parametrize("values", [[i / 100 for i in range(101)], list(range(35)), list(range(56)), list(range(69)), [0.1 * i for i in range(77)]])
+def test_histogram_puts_values_on_edges_where_numpy_does(spark, values):
+    rows = spark.createDataFrame([(float(v), t) for v in values for t in (0, 1)], "v double, t int")
+    found = {r.bin: r.n for r in class_histogram(rows, ["v"], "t").where("target = 1").collect()}
+    assert [found[b] for b in range(50)] == list(np.histogram(values, 50)[0])
