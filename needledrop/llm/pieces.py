@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import partitions, row_key, ship, tokenizer_path
+from needledrop.llm.common import partitions, ship, tokenizer_path
 from needledrop.sources.store import settled
 
 _SPACE = "▁"  # Fixed value: stands for a space inside pieces
@@ -152,7 +152,7 @@ def normalised(text: str | None) -> str:
     return _SPACE + text.replace(" ", _SPACE) if text else ""
 
 
-_CHUNKS = "doc_id long, key long, chunk int, chunks int, start long, inner int, size int, blob binary"
+_CHUNKS = "doc_id long, row long, chunk int, chunks int, start long, inner int, size int, blob binary"
 
 
 def _slice(name: str, chunk_chars: int):
@@ -160,7 +160,7 @@ def _slice(name: str, chunk_chars: int):
         margin, pack = vocabulary(name).longest, zstandard.ZstdCompressor(level=3)
         for batch in batches:
             out = []
-            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
                 whole = normalised(text)
                 n = max(1, -(-len(whole) // chunk_chars))
                 for i in range(n):
@@ -168,7 +168,7 @@ def _slice(name: str, chunk_chars: int):
                     low, high = max(0, at - margin), min(len(whole), at + chunk_chars + margin)
                     blob = pack.compress(whole[low:high].encode("utf-8", "surrogatepass"))
                     size = min(chunk_chars, len(whole) - at)
-                    out.append({"doc_id": doc, "key": key, "chunk": i, "chunks": n, "start": at, "inner": at - low, "size": size, "blob": blob})
+                    out.append({"doc_id": doc, "row": row, "chunk": i, "chunks": n, "start": at, "inner": at - low, "size": size, "blob": blob})
                 if len(out) >= 256:
                     yield pa.RecordBatch.from_pylist(out, chunk_schema)
                     out = []
@@ -195,17 +195,17 @@ def _transfers(name: str):
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(name)
         for batch in batches:
-            cols: dict[str, list] = {"key": [], "doc_id": [], "chunk": [], "left": [], "right": [], "matrix": []}
-            for doc, key, i, start, inner, size, blob in zip(
-                *(batch.column(c).to_pylist() for c in ("doc_id", "key", "chunk", "start", "inner", "size", "blob"))
+            cols: dict[str, list] = {"row": [], "chunk": [], "left": [], "right": [], "matrix": []}
+            for row, i, start, inner, size, blob in zip(
+                *(batch.column(c).to_pylist() for c in ("row", "chunk", "start", "inner", "size", "blob"))
             ):
                 text = _open(blob)
                 left, right, matrix = words.transfer(text, inner, inner + size)
                 base = start - inner
-                for c, v in zip(cols, (key, doc, i, _flat(left, base), _flat(right, base), [n for row in matrix for n in row])):
+                for c, v in zip(cols, (row, i, _flat(left, base), _flat(right, base), [n for line in matrix for n in line])):
                     cols[c].append(v)
             longs = pa.list_(pa.int64())
-            kinds = (pa.int64(), pa.int64(), pa.int32(), longs, longs, longs)
+            kinds = (pa.int64(), pa.int32(), longs, longs, longs)
             yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, v), k in zip(cols.items(), kinds)})
 
     return transfers
@@ -228,28 +228,28 @@ def scan(matrices: list[list[list[int]]]) -> list[tuple[int, int, int]]:
     return [(a, b, n) for (a, n), (b, _) in zip(at, at[1:])]
 
 
-_PLACED = "key long, doc_id long, chunk int, left array<long>, right array<long>, tokens_before long"
+_PLACED = "row long, chunk int, left array<long>, right array<long>, tokens_before long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols: dict[str, list] = {c.split()[0]: [] for c in _PLACED.split(", ")}
-        for key, doc, rows in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "rows"))):
-            shaped = [np.reshape(r["matrix"], (len(r["left"]) // 2, -1)).tolist() for r in rows]
-            for r, (a, b, n) in zip(rows, scan(shaped)):
-                for c, v in zip(cols, (key, doc, r["chunk"], r["left"][2 * a : 2 * a + 2], r["right"][2 * b : 2 * b + 2], n)):
+        for row, steps in zip(batch.column("row").to_pylist(), batch.column("steps").to_pylist()):
+            shaped = [np.reshape(r["matrix"], (len(r["left"]) // 2, -1)).tolist() for r in steps]
+            for r, (a, b, n) in zip(steps, scan(shaped)):
+                for c, v in zip(cols, (row, r["chunk"], r["left"][2 * a : 2 * a + 2], r["right"][2 * b : 2 * b + 2], n)):
                     cols[c].append(v)
         longs = pa.list_(pa.int64())
-        kinds = (pa.int64(), pa.int64(), pa.int32(), longs, longs, pa.int64())
+        kinds = (pa.int64(), pa.int32(), longs, longs, pa.int64())
         yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, v), k in zip(cols.items(), kinds)})
 
 
-_TOKENS = "doc_id long, key long, chunk int, chunks int, tokens_before long, ids array<int>"
+_TOKENS = "doc_id long, row long, chunk int, chunks int, tokens_before long, chars_before long, ids array<int>"
 
 
 def _token_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 6
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+    cols = list(zip(*rows)) if rows else [[]] * 7
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
     names = [c.split()[0] for c in _TOKENS.split(", ")]
     return pa.RecordBatch.from_pydict({c: pa.array(list(v), k) for c, v, k in zip(names, cols, kinds)})
 
@@ -257,17 +257,18 @@ def _token_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _backtrace(name: str):
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(name)
-        names = ("doc_id", "key", "chunk", "chunks", "tokens_before", "start", "inner", "size", "left", "right", "blob")
+        names = ("doc_id", "row", "chunk", "chunks", "tokens_before", "start", "inner", "size", "left", "right", "blob")
         for batch in batches:
             out = []
-            for doc, key, i, n, before, start, inner, size, left, right, blob in zip(*(batch.column(c).to_pylist() for c in names)):
+            for doc, row, i, n, before, start, inner, size, left, right, blob in zip(*(batch.column(c).to_pylist() for c in names)):
                 text, base = _open(blob), start - inner
                 # A piece across a cut belongs to the chunk on its left.
                 begin = inner if left[1] < 0 else left[1] - base
                 end = inner + size if right[1] < 0 else right[1] - base
-                prefix = [] if left[1] < 0 else words.inside(text[left[0] - base : begin])
-                ids = words.inside(text[begin - (left[1] - left[0] if left[1] >= 0 else 0) : end])[len(prefix) :]
-                out.append((doc, key, i, n, before, ids))
+                lead = begin if left[1] < 0 else left[0] - base
+                ids = words.inside(text[lead:end])[len(words.inside(text[lead:begin])) :]
+                # The space in front of a document is not decoded.
+                out.append((doc, row, i, n, before, max(0, begin + base - 1), ids))
                 if len(out) >= _FEW:
                     yield _token_batch(out)
                     out = []
@@ -286,66 +287,87 @@ def _whole(name: str):
             for at in range(0, batch.num_rows, _FEW):
                 few = batch.slice(at, _FEW)
                 ids = words.encode([(t or "") for t in few.column("text").to_pylist()], num_threads=1)
-                keys = zip(few.column("doc_id").to_pylist(), few.column("key").to_pylist(), ids)
-                yield _token_batch([(doc, key, 0, 1, 0, i) for doc, key, i in keys])
+                keys = zip(few.column("doc_id").to_pylist(), few.column("row").to_pylist(), ids)
+                yield _token_batch([(doc, row, 0, 1, 0, 0, i) for doc, row, i in keys])
 
     return whole
 
 
 def _rows(docs: DataFrame, chunk_chars: int, several: bool) -> DataFrame:
+    """The documents of one chunk or of several, numbered from -1 down or from 0 up."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.length("text") >= chunk_chars, F.lit(False))
-    return rows.where(is_long if several else ~is_long).withColumn("key", row_key("doc_id", "text"))
+    number = F.monotonically_increasing_id()
+    return rows.where(is_long if several else ~is_long).withColumn("row", number if several else -1 - number)
 
 
 def encode_short(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_chars: int = 16384) -> DataFrame:
     """``encode`` for the documents of one chunk."""
-    return _rows(docs, chunk_chars, False).mapInArrow(_whole(model), _TOKENS).withColumn("copy", F.lit(0).cast("bigint"))
+    return _rows(docs, chunk_chars, False).mapInArrow(_whole(model), _TOKENS)
 
 
 def encode_long(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_chars: int = 16384) -> DataFrame:
     """``encode`` for the documents of several chunks."""
     sliced = _rows(docs, chunk_chars, True).mapInArrow(_slice(model, chunk_chars), _CHUNKS)
-    chunks = settled(sliced.repartition(partitions(docs), "key", "chunk"), "piece-chunks")
-    # Rows that repeat id and text are encoded once.
-    copies = chunks.where("chunk = 0").groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    once = chunks.dropDuplicates(["key", "doc_id", "chunk"])
-    matrices = once.mapInArrow(_transfers(model), "key long, doc_id long, chunk int, left array<long>, right array<long>, matrix array<long>")
-    row = F.struct("chunk", "left", "right", "matrix")
-    placed = matrices.groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).mapInArrow(_scan, _PLACED)
-    same = lambda a, b: (F.col(f"{a}.key") == F.col(f"{b}.key")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
-    known = placed.alias("p").join(once.alias("c"), same("p", "c") & (F.col("p.chunk") == F.col("c.chunk"))).select(
-        "c.doc_id", "c.key", "c.chunk", "c.chunks", "p.tokens_before", "c.start", "c.inner", "c.size", "p.left", "p.right", "c.blob"
-    )
-    tokens = known.mapInArrow(_backtrace(model), _TOKENS).alias("t").join(copies.alias("n"), same("t", "n"))
-    columns = [F.col(f"t.{c.split()[0]}") for c in _TOKENS.split(", ")]
-    return tokens.select(*columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n.copies") - 1)).alias("copy"))
+    # Written with their row numbers, and dealt out by chunk, so that a giant document is many tasks' work.
+    chunks = settled(sliced.repartition(partitions(docs), "row", "chunk"), "piece-chunks")
+    matrices = chunks.mapInArrow(_transfers(model), "row long, chunk int, left array<long>, right array<long>, matrix array<long>")
+    step = F.struct("chunk", "left", "right", "matrix")
+    placed = matrices.groupBy("row").agg(F.array_sort(F.collect_list(step)).alias("steps")).mapInArrow(_scan, _PLACED)
+    return chunks.join(placed, ["row", "chunk"]).mapInArrow(_backtrace(model), _TOKENS)
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_chars: int = 16384) -> DataFrame:
-    """(doc_id, key, chunk, chunks, tokens_before, ids, copy) for every chunk of every row of documents.
+    """(doc_id, row, chunk, chunks, tokens_before, chars_before, ids) for every chunk of every row of documents.
 
     The ids of a document's chunks in order are what the library gives for its whole text, without begin
-    or end. Null and empty texts are one chunk without ids. ``key`` tells apart different texts of one
-    doc_id; rows that repeat both are numbered by ``copy`` if they have several chunks. Other columns
-    are ignored; an empty table gives an empty result.
+    or end. ``row`` numbers the rows, so null and repeated ids are told apart. Null and empty texts are one
+    chunk without ids. Other columns are ignored; an empty table gives an empty result.
     """
     return encode_short(docs, model, chunk_chars).unionByName(encode_long(docs, model, chunk_chars))
 
 
+def mixed(places: np.ndarray, values: np.ndarray) -> int:
+    """A signed 64-bit digest of values at their places; digests of parts combine by exclusive or."""
+    x = places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (values.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return int(np.bitwise_xor.reduce(x ^ (x >> np.uint64(31)), initial=np.uint64(0)).astype(np.int64))
+
+
 def digests(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_chars: int = 16384) -> DataFrame:
-    """(doc_id, n_chunks, n_tokens, ids_hash, decoded_sha256) of every row, encoded and decoded again."""
-    def out(ids, text):
-        return [
-            "doc_id", F.col("chunks").alias("n_chunks"), F.size(ids).cast("bigint").alias("n_tokens"),
-            F.xxhash64(ids).alias("ids_hash"), F.sha2(text, 256).alias("decoded_sha256"),
-        ]
+    """(doc_id, n_chunks, n_tokens, ids_hash, decoded_chars, decoded_hash) of every row, encoded and decoded again.
 
-    short = decode(encode_short(docs, model, chunk_chars), model).select(*out(F.col("ids"), F.col("text")))
-    parts = decode(encode_long(docs, model, chunk_chars), model)
-    whole = parts.groupBy("doc_id", "key", "copy", "chunks").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids", "text"))).alias("c"))
-    return short.unionByName(whole.select(*out(F.flatten("c.ids"), F.concat_ws("", "c.text"))))
+    The hashes are ``mixed`` over ids and over code points; they combine by chunk, so no document is
+    put together again for them.
+    """
+    kind = "doc_id long, row long, n_chunks int, n_tokens long, ids_hash long, decoded_chars long, decoded_hash long"
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: dict[str, list] = {c.split()[0]: [] for c in kind.split(", ")}
+            names = ("doc_id", "row", "chunks", "tokens_before", "chars_before")
+            rows = zip(*(batch.column(c).to_pylist() for c in names), batch.column("ids"), batch.column("text"))
+            for doc, row, n, tokens, chars, ids, text in rows:
+                ids = np.asarray(ids.values)
+                points = np.frombuffer(text.as_py().encode("utf-32-le", "surrogatepass"), "<u4")
+                found = (
+                    doc, row, n, len(ids), mixed(np.arange(tokens, tokens + len(ids)), ids),
+                    len(points), mixed(np.arange(chars, chars + len(points)), points),
+                )
+                for c, v in zip(cols, found):
+                    cols[c].append(v)
+            yield pa.RecordBatch.from_pydict(
+                {c: pa.array(v, pa.int32() if c == "n_chunks" else pa.int64()) for c, v in cols.items()}
+            )
+
+    short = decode(encode_short(docs, model, chunk_chars), model).mapInArrow(digest, kind)
+    parts = decode(encode_long(docs, model, chunk_chars), model).mapInArrow(digest, kind)
+    whole = parts.groupBy("doc_id", "row", "n_chunks").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.bit_xor("ids_hash").alias("ids_hash"),
+        F.sum("decoded_chars").alias("decoded_chars"), F.bit_xor("decoded_hash").alias("decoded_hash"),
+    )
+    return short.unionByName(whole).drop("row")
 
 
 def decode(tokens: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:

@@ -4,12 +4,13 @@ import hashlib
 import random
 from itertools import accumulate
 
+import numpy as np
 import pytest
 from helpers import docs, odd_pairs, prose
 from pyspark.sql import functions as F
 
 from needledrop.llm.chat import conversation_digest, escape, escape_role, format_windows, read_targets, read_turns, unescape, unescape_role
-from needledrop.llm.pieces import combine, decode, digests, encode, processor
+from needledrop.llm.pieces import combine, decode, digests, encode, mixed, processor
 
 MODEL = "piece_bpe_32k.model"
 
@@ -28,11 +29,11 @@ def test_chunks_join_to_the_library_s_ids_and_text(spark, chunk_chars):
     found = decode(encode(docs(spark, pairs), MODEL, chunk_chars)).collect()
     parts = {}
     for r in sorted(found, key=lambda r: (r.chunk,)):
-        ids, text, chunks = parts.setdefault((r.doc_id, r.key, r.copy), ([], [], r.chunks))
-        assert r.tokens_before == len(ids)
+        ids, text, _ = parts.setdefault((r.doc_id, r.row), ([], [], r.chunks))
+        assert r.tokens_before == len(ids) and r.chars_before == sum(map(len, text))
         ids.extend(r.ids)
         text.append(r.text)
-    got = sorted((str(d), ids, "".join(text)) for (d, _, _), (ids, text, _) in parts.items())
+    got = sorted((str(d), ids, "".join(text)) for (d, _), (ids, text, _) in parts.items())
     want = sorted((str(d), i := library.encode(t or ""), library.decode(i)) for d, t in pairs)
     assert got == want
 
@@ -40,8 +41,15 @@ def test_chunks_join_to_the_library_s_ids_and_text(spark, chunk_chars):
 def test_digests_of_odd_rows(spark):
     library = processor(MODEL)
     rows = digests(docs(spark, odd_pairs()), MODEL, 2000).collect()
-    want = sorted((str(d), len(i := library.encode(t or "")), hashlib.sha256(library.decode(i).encode()).hexdigest()) for d, t in odd_pairs())
-    assert sorted((str(r.doc_id), r.n_tokens, r.decoded_sha256) for r in rows) == want
+
+    def brute(doc, text):
+        ids = library.encode(text or "")
+        points = [ord(c) for c in library.decode(ids)]
+        hashes = [mixed(np.arange(len(x)), np.array(x, np.int64)) for x in (ids, points)]
+        return str(doc), len(ids), hashes[0], len(points), hashes[1]
+
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_hash, r.decoded_chars, r.decoded_hash) for r in rows)
+    assert got == sorted(brute(d, t) for d, t in odd_pairs()) and max(r.n_chunks for r in rows) > 5
     assert digests(docs(spark, []), MODEL).count() == 0
 
 
