@@ -162,9 +162,14 @@ def build_dataset(
 def impute(dataset: DataFrame, parity: bool = False, settings: Settings = Settings()) -> DataFrame:
     """Fill nulls by medians and modes of the train rows; ``parity`` also learns from val rows.
 
-    ``dataset`` is read several times, so it should be a table (``settled``) and not a plan.
+    ``dataset`` is read several times, so it should be a table (``settled``) and not a plan. One pass finds
+    the columns that have a null in any fold; fills are learned for these alone.
     """
     features = feature_columns(dataset, (settings.fold_column,))
+    seen = dataset.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(c) for c in features]).first()
+    features = [c for c in features if seen[c]]
+    if not features:
+        return dataset
     fold = F.col(settings.fold_column)
     learn = dataset.where(fold != TEST if parity else fold == TRAIN).select(*features)
     stage = ColumnImputer(numberCols=numeric_columns(learn), textCols=categorical_columns(learn))

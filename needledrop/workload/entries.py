@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ from needledrop.plans.dataset import (
     impute,
 )
 from needledrop.plans.search import search, top_trials
-from needledrop.plans.training import encode, fit, importance, scored
+from needledrop.plans.training import classifier, encode, fit, importance, scored
 from needledrop.sources.scans import parse_documents
 from needledrop.sources.store import fingerprint, settled
 from needledrop.sources.sinks import prediction_rows
@@ -465,6 +466,19 @@ def imputed_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(rows.withColumns({c: F.col(c).cast("double") for c in numbers}), 5, *numbers)
 
 
+@query
+def stump_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The split of a single tree of depth one over the train plays, with what lies on its sides."""
+    rows = _train_frame(spark, sf).select(F.coalesce("k", F.lit(-1)).alias("k"), F.col("fwdbtn").cast("double").alias("fwdbtn"))
+    params = {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0}
+    model = classifier(params).fit(rows.withColumn("features", array_to_vector(F.array(F.col("k").cast("double")))))
+    threshold = F.lit(float(model.trees[0]._call_java("rootNode").split().threshold()))
+    sides = rows.groupBy((F.col("k") <= threshold).alias("left")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("fwdbtn").cast("bigint").alias("positives")
+    )
+    return sides.select(threshold.alias("threshold"), "left", "n", "positives")
+
+
 @query
 def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
     encoded = encode(_dataset(spark, sf))

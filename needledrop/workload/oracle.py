@@ -259,6 +259,20 @@ def oracle() -> dict[str, str]:
               ON p.username = r.username""",
         "plays",
     )
+    # The best split of the squared error of a label of -1 or 1 lies where s1^2/n1 + s2^2/n2 is largest.
+    q["stump_split"] = _with(
+        f"""SELECT threshold, k <= threshold AS "left", count(*) AS n, CAST(sum(fwdbtn) AS BIGINT) AS positives
+            FROM (SELECT coalesce(k, -1) AS k, fwdbtn FROM plays WHERE NOT ({IS_TEST}))
+            CROSS JOIN (SELECT (k + next) / 2.0::DOUBLE AS threshold
+                        FROM (SELECT k, lead(k) OVER o AS next, sum(n) OVER o AS n1, sum(s) OVER o AS s1, sum(n) OVER () AS n, sum(s) OVER () AS s
+                              FROM (SELECT coalesce(k, -1) AS k, count(*)::DOUBLE AS n, sum(2 * fwdbtn - 1)::DOUBLE AS s
+                                    FROM plays WHERE NOT ({IS_TEST}) GROUP BY 1)
+                              WINDOW o AS (ORDER BY k))
+                        WHERE next IS NOT NULL
+                        ORDER BY s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) DESC LIMIT 1)
+            GROUP BY ALL""",
+        "plays",
+    )
     framed = " || ".join(
         f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("epoch_us(ts)", "username", "fwdbtn", "spotify_track_uri")
     )
