@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from needledrop.sources.store import settled
+
 # The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -81,7 +83,8 @@ def windows(turns: DataFrame, budget: int, history: int) -> DataFrame:
     length keeps the budget; a longer turn is kept whole in a window over it.
     """
     stride = max(1, (budget - history) // 2)
-    rows = numbered(turns).withColumn("window", F.floor(F.col("before") / stride))
+    # Written once: the joins below read the numbered turns four times.
+    rows = settled(numbered(turns).withColumn("window", F.floor(F.col("before") / stride)), "numbered-turns")
     # The first turn of each window asks which turns end the history span before it.
     first = rows.groupBy("conv_id", "window").agg(F.min("before").alias("_start"), F.min("idx").alias("_first"))
     # Turns within `history` tokens lie in the asker's slot of that width or in the slot before it.
