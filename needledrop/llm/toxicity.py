@@ -67,6 +67,41 @@ def worst_windows(word_scores: np.ndarray, window: int) -> tuple[float, int]:
     return float(means[at]), at
 
 
+_WORDS = 20_000  # words whose n-grams are laid out at one time
+
+
+class _Grams:
+    """The n-gram buckets of all words, one word after the other; sums go through few words at a time."""
+
+    def __init__(self, words: list[str], buckets: int) -> None:
+        parts = [np.array(buckets_of(w, buckets), np.int32) for w in words]
+        self.buckets = buckets
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.flat = np.concatenate([*parts, np.empty(0, np.int32)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _blocks(self, words: np.ndarray):
+        for a in range(0, len(words), _WORDS):
+            some = words[a : a + _WORDS]
+            n = self.sizes[some]
+            at = np.arange(n.sum()) + np.repeat(self.starts[some] - (np.cumsum(n) - n), n)
+            yield slice(a, a + len(some)), np.repeat(np.arange(len(some)), n), self.flat[at], np.maximum(n, 1)
+
+    def means(self, words: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Per word the mean of its buckets' values."""
+        out = np.zeros(len(words))
+        for place, of, bucket, n in self._blocks(words):
+            out[place] = np.bincount(of, values[bucket], len(n)) / n
+        return out
+
+    def spread(self, words: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+        """Per bucket the sum of what each word's mean hands down to it."""
+        out = np.zeros(self.buckets)
+        for place, of, bucket, n in self._blocks(words):
+            out += np.bincount(bucket, (slopes[place] / n)[of], self.buckets)
+        return out
+
+
 class _Adam:
     def __init__(self, *weights: np.ndarray, rate: float) -> None:
         self.weights, self.rate, self.step = weights, rate, 0
@@ -90,11 +125,9 @@ def train(
     y = np.asarray(labels, np.int64)
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
-    grams = [np.array(buckets_of(w, buckets), np.int32) for w in vocabulary]
-    sizes = np.array([len(g) for g in grams], np.int64)
-    flat = np.concatenate([*grams, np.empty(0, np.int32)])
-    del grams
-    ends = np.cumsum(sizes)
+    grams = _Grams(list(vocabulary), buckets)
+    every = np.arange(len(vocabulary))
+    del vocabulary
     vectors = rng.normal(0, 0.1, (buckets, dimension)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (dimension, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -104,13 +137,11 @@ def train(
     # Both classes weigh the same.
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / len(y)
     adam = _Adam(vectors, softmax, bias, rate=rate)
-    row = np.repeat(np.arange(len(sizes)), sizes)
     for turn in range(warm + rounds):
-        side = vectors @ (softmax[:, 1] - softmax[:, 0])
-        score = np.bincount(row, side[flat], len(sizes)) / np.maximum(sizes, 1)
         if turn < warm:
             picked = docs
         else:
+            score = grams.means(every, vectors @ (softmax[:, 1] - softmax[:, 0]))
             picked = []
             for d in docs:
                 at = worst_windows(score[d], window)[1] if len(d) else 0
@@ -120,12 +151,7 @@ def train(
         of = np.repeat(np.arange(len(picked)), lengths)
         word = np.concatenate([*picked, np.empty(0, np.int64)])
         used, slot = np.unique(word, return_inverse=True)
-        n = sizes[used]
-        at = np.arange(n.sum()) + np.repeat(ends[used] - n - (np.cumsum(n) - n), n)
-        mine = np.repeat(np.arange(len(used)), n)
-        word_vectors = np.zeros((len(used), dimension), np.float32)
-        for d in range(dimension):
-            word_vectors[:, d] = np.bincount(mine, vectors[flat[at], d], len(used)) / np.maximum(n, 1)
+        word_vectors = np.stack([grams.means(used, vectors[:, d]) for d in range(dimension)], axis=1)
         share = 1.0 / np.maximum(lengths, 1)
         bag = np.stack([np.bincount(of, word_vectors[slot, d] * share[of], len(picked)) for d in range(dimension)], axis=1)
         logits = bag @ softmax + bias
@@ -138,8 +164,7 @@ def train(
         to_bag = slope @ softmax.T
         to_vectors = decay * vectors
         for d in range(dimension):
-            to_word = np.bincount(slot, to_bag[of, d] * share[of], len(used)) / np.maximum(n, 1)
-            to_vectors[:, d] += np.bincount(flat[at], to_word[mine], buckets)
+            to_vectors[:, d] += grams.spread(used, np.bincount(slot, to_bag[of, d] * share[of], len(used)))
         adam.move(to_vectors, (bag.T @ slope + decay * softmax).astype(np.float32), slope.sum(axis=0).astype(np.float32))
     return ToxicityModel(vectors, softmax, bias, window)
 
