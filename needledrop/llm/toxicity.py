@@ -5,6 +5,7 @@ into buckets; a window of consecutive words is the mean of its words; a linear s
 two logits. A document is as toxic as its worst window, so a single insult in a long text counts as much
 as in a short one. Vectors and softmax are trained jointly in numpy by Adam, first on all words of a
 document, then on its worst window. An unseen misspelling shares n-grams with words that were seen.
+Prose without spaces and glued words are long runs of letters; their overlapping pieces are words too.
 
 The model is linear above the buckets, so for scoring every bucket is one number. Fit: a bounded sample of
 labelled rows on the driver. Score: one scan of all whole texts, no shuffle.
@@ -27,6 +28,8 @@ from needledrop.llm.common import ship
 _GRAMS = (3, 4, 5)
 _NO_SIGN = re.compile(r"[\W_]+")
 _REMEMBERED = 600_000  # words that one worker remembers
+_LONG = 40  # letters of the longest word that is scored in one piece
+_PIECE, _STEP = 12, 6
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,19 @@ class ToxicityModel:
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().replace(",", " ").replace(".", " ").split()
+    """The words of a whole text; a run of more than ``_LONG`` letters counts as its overlapping pieces."""
+    words = (text or "").lower().replace(",", " ").replace(".", " ").split()
+    if all(len(w) <= _LONG for w in words):
+        return words
+    return [piece for w in words for piece in ([w] if len(w) <= _LONG else pieces_of(w))]
+
+
+def pieces_of(word: str) -> list[str]:
+    """Pieces of ``_PIECE`` letters, one every ``_STEP``; every n-gram of the word lies in one of them."""
+    letters = _NO_SIGN.sub("", word)
+    if len(letters) <= _LONG:
+        return [word]
+    return [letters[at : at + _PIECE] for at in range(0, len(letters) - _PIECE + _STEP, _STEP)]
 
 
 def buckets_of(word: str, buckets: int) -> list[int]:
@@ -51,7 +66,7 @@ def buckets_of(word: str, buckets: int) -> list[int]:
     letters = _NO_SIGN.sub("", word)
     if not letters:
         return []
-    framed = f"<{letters[:40]}>"
+    framed = f"<{letters}>"
     grams = {framed, *(framed[i : i + n] for n in _GRAMS for i in range(len(framed) - n + 1))}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in sorted(grams)]
 

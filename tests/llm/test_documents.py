@@ -16,7 +16,7 @@ from needledrop.llm.counts import token_counts
 from needledrop.llm.packing import hilbert, pack, sequences
 from needledrop.llm.quality import resample
 from needledrop.llm.repeats import remove_repeats
-from needledrop.llm.toxicity import toxicity
+from needledrop.llm.toxicity import toxicity, words_of
 from needledrop.llm.vocab import byte_count, plain_ids, word_ids
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -228,6 +228,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity(docs(spark, []), labels).count() == 0
 
 
+def test_insults_after_forty_unspaced_letters_count(spark):
+    pairs, marks = labelled()
+    glue = ["".join(prose(70 + i, 60).split()) for i in range(3)]
+    insults = ["grobnak", "wolfrump", "stinkvat"]
+    bad = [(7000 + i, g[: 45 + 7 * i] + insults[i] + g[45 + 7 * i :]) for i, g in enumerate(glue)]
+    bad += [(7010 + i, "-".join(prose(80 + i, 40).split() + [w] + prose(90 + i, 5).split())) for i, w in enumerate(insults)]
+    clean = [(7100 + i, g) for i, g in enumerate(glue)] + [(7110, "_".join(prose(85, 60).split()))]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int, text string")
+    rows = {r.doc_id: r for r in toxicity(docs(spark, pairs + bad + clean), labels).collect()}
+    assert [rows[d].predicted for d, _ in bad] == [1] * len(bad)
+    assert [rows[d].predicted for d, _ in clean] == [0] * len(clean)
+    # All n-grams of a long word are in its pieces, also at its end; short words stay whole.
+    word = "".join(chr(0x4E00 + i) for i in range(101))
+    pieces = words_of(word)
+    assert all(any(word[i : i + 5] in p for p in pieces) for i in range(97)) and pieces[-1][-1] == word[-1]
+    assert words_of("a" * 40 + " b-c") == ["a" * 40, "b-c"]
+
+
 def test_quality_keeps_good_rows(spark):
     pairs = [(i, prose(2000 + i, 40) if i % 6 else " ".join(w + "$$$ %%%" for w in prose(i, 40).split())) for i in range(600)]
     labels = spark.createDataFrame([(i, int(i % 6 > 0), None, 1.0) for i in range(600) if i // 6 % 2], "doc_id long, quality int, toxic int, kept double")
