@@ -103,7 +103,7 @@ def top_k_bound(keys: DataFrame, k: int, bits: int = 12) -> int | None:
 
 def resample(
     docs: DataFrame, labels: DataFrame, keep: float | None = None, margin: float = 0.01, target_rows: int = 20_000,
-    buckets: int = 1 << 15, temperature: float = 200.0, seed: int = 3,
+    buckets: int = 1 << 15, temperature: float = 200.0, seed: int = 3, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) of every row of documents.
 
@@ -111,13 +111,13 @@ def resample(
     this table and ``margin`` more, as good rows shall not be lost to the error of that share. Documents with the smallest drawn key are all kept, so ties and repeated rows fare alike.
     The target model is fitted on the ``target_rows`` good rows of smallest hash, the raw one on all rows.
     Null and empty texts have weight 0. Null labels are no labels; without a good one all weights are 0, and
-    without any label all rows stay. Other columns are ignored; an empty table gives an empty result.
+    without any label all rows stay. Of other columns those in ``carry`` are added; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     text = F.col("text").cast("string").alias("text")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, *carry)
     # At most target_rows ids, so no text is shuffled to be told whether it is one of them.
     chosen = marks.where("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(target_rows)
     good = F.broadcast(chosen.select("doc_id", F.lit(True).alias("target")))
@@ -129,9 +129,12 @@ def resample(
         for batch in batches:
             at = [features(t.as_py(), buckets, memory) for t in batch.column("text")]
             mean = [float(ratio.value[a].mean()) if len(a) else 0.0 for a in at]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "log_weight": pa.array(mean, pa.float64())})
+            more = {c: batch.column(c) for c in carry}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "log_weight": pa.array(mean, pa.float64())} | more)
 
-    weighed = rows.mapInArrow(weigh, "doc_id long, log_weight double").withColumn("log_weight", F.col("log_weight") * temperature)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(["doc_id long", "log_weight double", *(f"{c} {kinds[c]}" for c in carry)])
+    weighed = rows.mapInArrow(weigh, schema).withColumn("log_weight", F.col("log_weight") * temperature)
     # Uniform in (0, 1) from a hash of the id, as 52 bits and a half.
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     drawn = weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
@@ -143,4 +146,4 @@ def resample(
         keep = 1.0 if share is None else min(1.0, float(share) + margin)
     bound = top_k_bound(drawn, int(np.ceil(keep * n)))
     kept = F.lit(False) if bound is None else F.col("key") >= bound
-    return drawn.select("doc_id", "log_weight", "gumbel_key", kept.alias("kept"))
+    return drawn.select("doc_id", "log_weight", "gumbel_key", kept.alias("kept"), *carry)

@@ -217,8 +217,11 @@ class _WordScores(dict):
         return found
 
 
-def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score): the chance of label 1 for every whole text; empty and null texts have the bias alone."""
+def scored(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score): the chance of label 1 for every whole text; empty and null texts have the bias alone.
+
+    Columns named in ``carry`` come along.
+    """
     ship(docs.sparkSession)
     scores, bias = model.folded()
     shared, window = docs.sparkSession.sparkContext.broadcast(scores), model.window
@@ -231,19 +234,21 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 words = words_of(text.as_py())
                 logits.append(worst_windows(np.fromiter(map(memory.__getitem__, words), float, len(words)), window)[0] + bias)
             chance = 1 / (1 + np.exp(-np.clip(np.array(logits, float), -40, 40)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(chance)})
+            more = {c: batch.column(c) for c in carry}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(chance)} | more)
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(score, "doc_id long, score double")
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    kinds = dict(narrow.dtypes)
+    return narrow.mapInArrow(score, ", ".join(["doc_id long", "score double", *(f"{c} {kinds[c]}" for c in carry)]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carry: tuple[str, ...] = (), **how) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of documents, with a model fitted on labels.
 
-    Repeated rows give a row each; null ids are not held out; other columns are ignored; an empty table
-    gives an empty result.
+    Repeated rows give a row each; null ids are not held out; of other columns those in ``carry`` are
+    added; an empty table gives an empty result.
     """
-    rows = scored(docs, fit(docs, labels, **how))
+    rows = scored(docs, fit(docs, labels, **how), carry)
     return rows.select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry
     )

@@ -155,3 +155,30 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert all(shared.split()[20] not in texts[700 + i].split()[30:] for i in range(3)) and texts[0] == pairs[0][1]
     assert {r.doc_id for r in seen[4]} == set(texts)
     assert corpus_pipeline.run(spark, folder).count() == len(seen[4])
+
+
+def test_pipeline_rows_of_null_and_repeated_ids_fare_by_content(spark, tmp_path):
+    import corpus_pipeline
+
+    one, two, three, four = (prose(9100 + i, 60) for i in range(4))
+    junk = " ".join(w + "$$$ %%%" for w in prose(3, 40).split())
+    pairs = [(None, one), (None, two), (None, one), (3, three), (5, four), (5, three), (5, four), (None, four), (None, None), (None, "")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame([(d, t, None, "s", len(t or "")) for d, t in pairs], kinds)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["SimHash near-dedup"](spark, table, "").collect()
+    want = [(None, one), (None, two), (3, three), (5, four)]
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == sorted((str(d), t) for d, t in want)
+    assert len(kept) == 5  # one row without a word
+    # A toxic, or a poor, row does not take the other rows of its id with it.
+    folder = str(tmp_path)
+    many = [(i, prose(9200 + i, 30) + (" grobnak " if i % 3 == 0 else " ") + prose(9600 + i, 30)) for i in range(300)]
+    many += [(1000 + i, " ".join(w + "$$$ %%%" for w in prose(9900 + i, 40).split())) for i in range(60)]
+    marks = [(i, 1, int(i % 3 == 0)) for i in range(300)] + [(1000 + i, 0, 0) for i in range(60)]
+    many += [(2000, one), (2000, "grobnak " + two), (None, three), (None, "grobnak " + four), (2001, one), (2001, junk), (None, junk)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    table = spark.createDataFrame([(d, t, "en", None, len(t)) for d, t in many], kinds)
+    left = {(r.doc_id, r.text) for r in stages["toxicity"](spark, table, folder).collect()}
+    assert {(2000, one), (None, three)} <= left and not [t for d, t in left if (d is None or d == 2000) and "grobnak" in t]
+    left = {(r.doc_id, r.text) for r in stages["quality classifier"](spark, table, folder).collect()}
+    assert {(2001, one), (None, three), (2000, one)} <= left and (2001, junk) not in left
