@@ -1,0 +1,64 @@
+"""Near copies by five-word shingles against brute force."""
+
+import numpy as np
+import pytest
+from helpers import docs, odd_pairs, prose
+
+from needledrop.llm.shingles import near_copies
+
+
+def brute(texts, least=0.8):
+    """The smallest place in the component of each text."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b) - 1e-9:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def near():
+    """Copies of a text with words changed in up to 8 places, of a similarity of 0.7 to 1."""
+    out = []
+    for g in range(4):
+        base = prose(60 + g, 300).split()
+        for i in range(40):
+            words = list(base)
+            for j in range(i % 9):
+                words[(i * 37 + j * 31) % 300] = f"w{i}x{j}"
+            out.append((100 * g + i, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("cell_rows", [16, 256])
+def test_near_copies_equal_brute_force(spark, cell_rows):
+    pairs = near() + odd_pairs()
+    frame = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(pairs)], "place long, text string")
+    root = {r.place: r.root for r in near_copies(frame, ("place",), cell_rows=cell_rows).collect()}
+    first = {}
+    assert [first.setdefault(root[n], n) for n in range(len(pairs))] == brute([t for _, t in pairs])
+    assert near_copies(docs(spark, []), ("doc_id",)).count() == 0
+
+
+def test_pipeline_links_similar_texts_that_differ_in_many_bits(spark):
+    import corpus_pipeline
+    from needledrop.llm.simhash import fingerprint64
+
+    base = prose(60, 300).split()
+    copies = [(1, " ".join(base))]
+    for i in range(2, 12):
+        words = list(base)
+        for j in range(5):
+            words[(i * 41 + j * 59) % 300] = f"w{i}x{j}"
+        copies.append((i, " ".join(words)))
+    half = (50, " ".join(base[:150] + prose(61, 150).split()))
+    bits = [(fingerprint64(t) ^ fingerprint64(copies[0][1])).bit_count() for _, t in copies]
+    assert np.max(bits) > 3
+    table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in [*copies, half]], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, table, "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 50]
