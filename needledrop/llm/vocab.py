@@ -63,7 +63,8 @@ _PLAIN = re.compile(r"[\n\r\t -;=?-{}~À-ÖØ-öø-ÿ]*")
 _END = "</w>"
 _MARK = b"\xff"  # stands for the end of a word; no text has this byte
 _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-_SIGNS = re.compile(r"[.,][^\s\w]|[^\s\w][.,]|[.,]\w")
+# A comma or full stop beside another sign or before a letter; the underscore is a sign here, as in _PART.
+_SIGNS = re.compile(r"[.,][^\s\w]|(?:[^\s\w]|_)[.,]|[.,]\w")
 
 
 def _byte_letters() -> dict[str, int]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -161,6 +162,15 @@ TRICKY = [
 ]
 
 
+def test_fast_ids_of_random_signs_are_the_library_s():
+    r = random.Random(17)
+    ascii_signs = [chr(c) for c in range(0x20, 0x7F)] + ["\t", "\n"]
+    drawn = [ascii_signs, [*ascii_signs, *map(chr, range(0xA0, 0x100))], [*"_.,'ab \t"], [*"ab._,-", *"ÀÖØöøÿß "]]
+    texts = ["a_, b", "x_.y", "__.", "_ ._", "a,_b", *("".join(r.choice(drawn[i % 4]) for _ in range(r.randint(0, 30))) for i in range(20_000))]
+    assert [t for t in texts if list(word_ids("word_bpe_49k.json", t)) != plain_ids("word_bpe_49k.json", t)] == []
+    assert [t for t in texts if byte_count("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", t) != len(plain_ids("byte_bpe_50k.json", t))] == []
+
+
 @pytest.mark.parametrize("text", TRICKY + [prose(i, 50).title() for i in range(20)])
 def test_fast_ids_are_the_library_s(text):
     assert list(word_ids("word_bpe_49k.json", text)) == plain_ids("word_bpe_49k.json", text)
