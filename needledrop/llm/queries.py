@@ -13,8 +13,11 @@ from needledrop.llm.common import table
 from needledrop.llm.counts import token_counts
 from needledrop.llm.forest import neighbours
 from needledrop.llm.packing import pack
+from needledrop.llm.periods import periodic_runs, repeated_tail
 from needledrop.llm.pieces import digests
 from needledrop.llm.quality import resample
+from needledrop.llm.records import read_records, write_records
+from needledrop.llm.repair import damaged, repair_conversations
 from needledrop.llm.repeats import remove_repeats
 from needledrop.llm.simhash import near_duplicates
 from needledrop.llm.topk import exact_top_k
@@ -76,6 +79,19 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(format_windows(turns.unionByName(forged)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), change=repeated_tail, with_words=False)
+
+
+def op13_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    return read_records(spark, write_records(table(spark, sf_dir, "documents"), folder), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_curve_packing": op2_curve_packing,
@@ -87,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_forest_neighbours": op10_forest_neighbours,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_record_files": op13_record_files,
 }
