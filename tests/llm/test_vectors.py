@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from needledrop.llm.forest import neighbours
+from needledrop.llm.forest import grow, leaves_of, margins, neighbours, search_leaves
+from needledrop.llm.queries import op10_forest_neighbours
 from needledrop.llm.topk import exact_top_k, search_shard
 
 KIND = "vec_id long, embedding array<float>, label int, rank string, score string, leaf int"
@@ -92,6 +93,52 @@ def test_forest_recall_and_scores(spark, block_rows):
     assert hot == list(range(2001, 2021))
 
 
+def recall_of(df, names, vectors, asked, k=20):
+    score = vectors[asked] @ vectors.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = names[np.argsort(-score, axis=1)[:, :k]]
+    found = got(df)
+    assert set(found) == set(names[asked].tolist()) and {len(r) for r in found.values()} == {k}
+    return np.mean([len({i for _, i, _ in found[q]} & set(w)) / k for q, w in zip(names[asked].tolist(), want.tolist())])
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_forest_recall_on_the_given_tables(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
+    vectors, names = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+    assert recall_of(op10_forest_neighbours(spark, folder), names, vectors, np.flatnonzero(names % 20 == 0)) >= 0.95
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+@pytest.mark.parametrize("n", [1000, 5000])
+def test_forest_recall_without_structure_and_with_uneven_norms(spark, n, spread):
+    rng = np.random.default_rng(n)
+    vectors = (rng.normal(size=(n, 64)) * rng.lognormal(0, spread, (n, 1))).astype(np.float32)
+    df = frame(spark, list(enumerate(vectors.tolist())))
+    found = neighbours(df.where("vec_id % 20 = 0"), df, 20, block_rows=700, query_rows=90)
+    assert recall_of(found, np.arange(n), vectors.astype(float), np.arange(0, n, 20)) >= 0.95
+
+
+@pytest.mark.parametrize("copies", [1, 15, 25, 60])
+def test_every_query_has_k_rows_or_all(spark, copies):
+    groups = [(100 * g + i, sample(3, 8, 5)[g][1]) for g in range(3) for i in range(copies)]
+    have = frame(spark, groups + groups[:2])
+    found = got(neighbours(have, have, 20, sample_rows=40, leaf_rows=4))
+    assert {q: len(r) for q, r in found.items()} == {i: min(20, 3 * copies - 1) for i, _ in groups}
+
+
+def test_queue_follows_the_margins():
+    points = np.random.default_rng(2).normal(size=(500, 6))
+    forest = grow(points, 4, 16, 1)
+    missed = margins(forest, points[:20])
+    for q, m in zip(points, missed):
+        order = search_leaves(forest, q, lambda found: False)
+        assert sorted(order) == list(range(missed.shape[1])) and np.allclose(m[order], np.sort(m))
+    # A point may lie on a border, where the order of a sum decides its side.
+    assert np.allclose(np.take_along_axis(missed, leaves_of(forest, points[:20]), axis=1), 0)
+
+
 def test_forest_of_few_or_no_vectors(spark):
     few = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None)]
     assert got(neighbours(frame(spark, few), frame(spark, few), 20)) == {1: [(1, 2, 0.5)], 2: [(1, 1, 0.5)]}
