@@ -49,17 +49,23 @@ def fingerprint64(text: str | None, words_each: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = [fingerprint64(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": pa.array(marks, pa.int64())})
+def _fingerprints(words_each: int, carry: tuple[str, ...]):
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [fingerprint64(t.as_py(), words_each) for t in batch.column("text")]
+            more = {c: batch.column(c) for c in carry}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": pa.array(marks, pa.int64())} | more)
+
+    return draw
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark): the signed 64-bit SimHash of every text."""
+def fingerprints(docs: DataFrame, words_each: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, mark): the signed 64-bit SimHash of every text, and the columns ``carry``."""
     ship(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, mark long")
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    kinds = dict(narrow.dtypes)
+    schema = ", ".join(["doc_id long", "mark long", *(f"{c} {kinds[c]}" for c in carry)])
+    return narrow.mapInArrow(_fingerprints(words_each, carry), schema)
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -221,20 +227,24 @@ def links(marks: DataFrame, most: int = 3, cell_rows: int = 4096) -> DataFrame:
     return small.union(hot)
 
 
-def near_duplicates(docs: DataFrame, most: int = 3, cell_rows: int = 4096) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of documents (doc_id, text).
+def near_duplicates(
+    docs: DataFrame, most: int = 3, cell_rows: int = 4096, words_each: int = 3, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, fingerprint, component_id, root) of every row of documents (doc_id, text), and the columns ``carry``.
 
-    Texts without a word, null ones included, have fingerprint zero and are linked like any other.
-    ``component_id`` is the smallest doc_id in reach; null ids are never the smallest. Repeated rows
-    are in one component. Other columns are ignored; an empty table gives an empty result.
+    Fingerprints of shingles of ``words_each`` words link at ``most`` or fewer differing bits. Texts without a word,
+    null ones included, have fingerprint zero and are linked like any other. ``component_id`` is the smallest
+    doc_id in reach; null ids are never the smallest, so it is null where all ids are. ``root`` is a number of
+    the component that is never null. Repeated rows are in one component. Other columns are ignored; an
+    empty table gives an empty result.
     """
-    marked = settled(fingerprints(docs), "fingerprints")
+    marked = settled(fingerprints(docs, words_each, carry), "fingerprints")
     nodes = settled(marked.groupBy("mark").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     parts = components(links(nodes, most, cell_rows))
     rooted = nodes.join(parts.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     rooted = settled(rooted, "fingerprint-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = settled(rooted.join(named, "root").select("mark", "component_id"), "fingerprint-components")
+    labels = settled(rooted.join(named, "root").select("mark", "component_id", "root"), "fingerprint-components")
     return marked.join(labels, "mark").select(
-        "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id", "root", *carry
     )
