@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, quality, near-duplicates, repeated spans, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Between stages the
-documents are written as Parquet to the shared folder and read again.
+documents are written as Parquet to the shared folder and read again. Stages read the five columns of
+documents and no others; all but the last return these five.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from needledrop.llm.common import table
 from needledrop.llm.packing import pack
 from needledrop.llm.quality import resample
 from needledrop.llm.repeats import remove_repeats
-from needledrop.llm.shingles import near_copies
+from needledrop.llm.simhash import near_duplicates
 from needledrop.llm.toxicity import toxicity
 from needledrop.sources.store import shared_dir
 
@@ -23,10 +24,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a name of each row's content: ids may be null or repeated, and equal rows fare alike."""
+    """``docs`` with a 128-bit name of each row's content: ids may be null or repeated, and equal rows fare alike."""
     # Hashes pass over nulls, so which columns are null is hashed too.
     nulls = F.concat(*[F.col(c).isNull().cast("string") for c in COLUMNS])
-    return docs.withColumn("row_key", F.xxhash64(*[F.col(c) for c in COLUMNS], nulls))
+    lanes = [F.lpad(F.hex(F.xxhash64(F.lit(lane), *[F.col(c) for c in COLUMNS], nulls)), 16, "0") for lane in (1, 2)]
+    return docs.select(*COLUMNS, F.concat(*lanes).alias("row_key"))
 
 
 def _only(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
@@ -52,10 +54,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 3: of each group of near-duplicates one row stays, that of the smallest doc_id; null ids come last.
 
-    Near-duplicates share 0.8 of their five-word shingles and more.
+    Near-duplicates are reached by SimHash fingerprints of three-word shingles that differ in three bits at most.
     """
     rows = _keyed(docs)
-    groups = near_copies(rows, carry=("doc_id", "row_key"))
+    groups = near_duplicates(rows, most=3, words_each=3, carry=("row_key",))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first")
     kept = _only(rows, groups.groupBy("root").agg(first).select("first.row_key"))
     # Only rows that are equal in all columns can be left twice.
