@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from needledrop.llm.common import ship
+from needledrop.llm.common import partitions, ship
 from needledrop.llm.topk import usable
 from needledrop.sources.store import settled
 
@@ -233,7 +233,7 @@ def neighbours(
     vector: str = "embedding",
     trees: int = 12,
     sample_rows: int = 16384,
-    leaf_rows: int = 32,
+    leaf_rows: int = 64,
     recall: float = 0.97,
     calibration_queries: int = 256,
     query_rows: int = 4096,
@@ -305,7 +305,8 @@ def neighbours(
     own_block = F.pmod(F.xxhash64("id", "v"), F.lit(across)).cast("int").alias("i")
     placed = have.mapInArrow(index, schema).select("*", own_block, F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("j"))
     ask_block = F.pmod(F.xxhash64("id", "v"), F.lit(down)).cast("int").alias("j")
-    wide = asked.withColumn("v", F.col("v").cast(kind)).mapInArrow(ask, schema)
+    # Queries are few and narrow, and searching is the longest part of the work: deal them over all tasks.
+    wide = asked.repartition(partitions(queries), "id").withColumn("v", F.col("v").cast(kind)).mapInArrow(ask, schema)
     wide = wide.select("*", ask_block, F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("i"))
     cells = wide.groupBy("i", "j").cogroup(placed.groupBy("i", "j"))
     found = cells.applyInArrow(_rerank(k, width, trees, n_leaves), "query_id long, vec_id long, score double")
