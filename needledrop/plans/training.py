@@ -15,6 +15,7 @@ from needledrop.operators.columns import categorical_columns, feature_columns, n
 from needledrop.operators.encode import FeatureEncoder, FeatureEncoderModel
 from needledrop.operators.metrics import classification_report, feature_importance, roc_auc
 from needledrop.operators.split import TEST, TRAIN, VALIDATION
+from needledrop.plans.boosting import boost
 from needledrop.sources.sinks import prediction_path, prediction_rows, save_model, write_predictions
 
 # Default parameters, and the hand-picked ones of the run without search.
@@ -35,7 +36,7 @@ HAND_PICKED_PARAMS = {
 }
 
 
-# Fixed value: rounds without progress on the val rows after which boosting ends.
+# Fixed value: rounds without a greater AUC on the val rows after which boosting ends.
 PATIENCE = 50
 
 
@@ -63,17 +64,6 @@ def classifier(params: dict, settings: Settings = Settings()) -> GBTClassifier:
     )
 
 
-def best_round(losses: list[float], patience: int = PATIENCE) -> int:
-    """Rounds up to the best validation loss, seen until ``patience`` rounds bring no progress."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
 @dataclass
 class Encoded:
     """Encoded rows of all folds with the stage that made them."""
@@ -109,26 +99,12 @@ def fit(encoded: Encoded, params: dict | None = None, settings: Settings = Setti
 def fit_with_patience(
     encoded: Encoded, params: dict | None = None, settings: Settings = Settings(), patience: int = PATIENCE
 ) -> tuple[GBTClassificationModel, int]:
-    """The trees up to the best round on the val rows, and their number.
-
-    The trees are grown in steps of ``patience`` rounds, until one brings no progress. The seed fixes each
-    tree, so a longer fit begins with the trees of a shorter one.
-    """
-    params = DEFAULT_PARAMS if params is None else params
-    most = int(params.get("n_estimators", DEFAULT_PARAMS["n_estimators"]))
-    val = encoded.rows.where(F.col(settings.fold_column) == VALIDATION)
-    val = val.withColumn(settings.label, F.col(settings.label).cast("double"))
-    grown = 0
-    while grown < most:
-        grown = min(most, max(2 * grown, 2 * patience))
-        model = fit(encoded, {**params, "n_estimators": grown}, settings)
-        losses = list(model.evaluateEachIteration(val))
-        rounds = best_round(losses, patience)
-        if rounds + patience <= grown:
-            break
-    if rounds < grown:
-        model = fit(encoded, {**params, "n_estimators": rounds}, settings)
-    return model, rounds
+    """The trees up to the round of greatest AUC on the val rows, and their number; no tree is grown twice."""
+    params = {**DEFAULT_PARAMS, **({} if params is None else params)}
+    fold = F.col(settings.fold_column)
+    train, val = encoded.rows.where(fold == TRAIN), encoded.rows.where(fold == VALIDATION)
+    found = boost(train, val, settings.label, params, settings.seed, patience)
+    return found.model, found.rounds
 
 
 def scored(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:

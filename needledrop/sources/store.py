@@ -47,6 +47,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more; one that is not there is no error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row that depends on the values of the columns and not on the order of the rows."""
     # Each value as text with its length in front, null apart, so that values cannot run together.

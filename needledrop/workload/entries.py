@@ -23,7 +23,7 @@ from needledrop.functions import (
     with_temporal_features,
 )
 from needledrop.operators import columns as cols
-from needledrop.operators import metrics, profile
+from needledrop.operators import metrics, profile, staged
 from needledrop.operators.encode import ColumnImputer, FeatureEncoder
 from needledrop.operators.history import with_bin_counts, with_rolling_counts, with_track_order
 from needledrop.operators.rates import with_user_rate
@@ -414,6 +414,17 @@ def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(coarse.unionByName(fine), STAT_DIGITS, "auc")
 
 
+@query
+def staged_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """The AUC of a saved model after each of its rounds, exact and from a grid of probabilities with its error."""
+    nodes = [staged.Node(*n) for n in views.SAVED_NODES]
+    features = [F.coalesce("k", F.lit(-1)), F.col("value")]
+    trees = [staged.tree_column([n for n in nodes if n.tree == t], features) for t in range(len(views.SAVED_WEIGHTS))]
+    rows = staged.staged_margins(views.plays(spark, sf), trees, list(views.SAVED_WEIGHTS))
+    both = [staged.staged_auc(rows, "fwdbtn", grid=g).withColumn("grid", F.lit(g or 0)) for g in (None, 64)]
+    return _rounded(both[0].unionByName(both[1]), STAT_DIGITS, "auc", "error")
+
+
 @query
 def classification_report(spark: SparkSession, sf: str) -> DataFrame:
     report = metrics.classification_report(views.scored(spark, sf), "y", "pred")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from needledrop.workload.views import IS_TEST, SQL_VIEWS
+from needledrop.workload.views import IS_TEST, SAVED_NODES, SAVED_WEIGHTS, SQL_VIEWS
 
 _DEPENDS = {
     "tagged": ("plays",),
@@ -140,6 +140,28 @@ LONG_TEXTS = _union(
 )
 
 
+def _staged_auc() -> str:
+    def tree(number: int, at: int = 0) -> str:
+        _, _, feature, threshold, left, right, value = next(n for n in SAVED_NODES if n[:2] == (number, at))
+        if feature < 0:
+            return f"{value}e0"
+        return f"CASE WHEN {('coalesce(k, -1)', 'value')[feature]} <= {threshold}e0 THEN {tree(number, left)} ELSE {tree(number, right)} END"
+
+    each = ", ".join(f"{w}e0 * ({tree(i)}) AS t{i}" for i, w in enumerate(SAVED_WEIGHTS))
+    sums = " UNION ALL ".join(
+        f"SELECT {n + 1} AS round, fwdbtn AS y, 0e0 + {' + '.join(f't{i}' for i in range(n + 1))} AS m FROM trees" for n in range(len(SAVED_WEIGHTS))
+    )
+    return f"""
+      SELECT grid, round, round(CAST(sum(p * (cn + n / 2.0)) AS DOUBLE) / (sum(p) * sum(n)), 6) AS auc,
+        round(CASE WHEN grid > 0 THEN sum(p * n) / 2 / (sum(p) * sum(n)) ELSE 0 END, 6) AS error
+      FROM (SELECT grid, round, p, n, sum(n) OVER (PARTITION BY grid, round ORDER BY s) - n AS cn
+            FROM (SELECT grid, round, CASE WHEN grid > 0 THEN floor(grid / (1 + exp(-2 * m))) ELSE m END AS s,
+                    CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS n
+                  FROM (WITH trees AS (SELECT fwdbtn, {each} FROM plays) {sums}) CROSS JOIN (SELECT unnest([0, 64]) AS grid)
+                  GROUP BY ALL))
+      GROUP BY grid, round"""
+
+
 def _auc(score: str) -> str:
     return f"""
       SELECT '{score}' AS "by", round(CAST(sum(p * (cn + n / 2.0)) AS DOUBLE) / (sum(p) * sum(n)), 6) AS auc
@@ -421,6 +443,7 @@ def oracle() -> dict[str, str]:
         "tagged",
     )
     q["roc_auc"] = _with(_auc("score") + " UNION ALL " + _auc("fine_score"), "scored")
+    q["staged_auc"] = _with(_staged_auc(), "plays")
     q["classification_report"] = _with(
         """SELECT label, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall,
                   round(coalesce(f1, 0), 6) AS f1, CAST(support AS BIGINT) AS support

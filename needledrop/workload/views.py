@@ -60,6 +60,20 @@ SCORED = {
 }
 TRIALS = {"tid": "p_partkey", "max_depth": "p_size", "mean_cv_score": "p_retailprice / 1000"}
 
+# A small model fitted on plays, as exported: (tree, node, feature, threshold, left, right, prediction).
+# Feature 0 is k (-1 where null) and 1 is value; a leaf has feature -1.
+SAVED_WEIGHTS = (1.0, 0.3, 0.3, 0.3)
+SAVED_NODES = (
+    (0, 0, 1, 124.11, 1, 4, -0.5988), (0, 1, 0, 5.5, 2, 3, -0.60566), (0, 2, -1, 0.0, -1, -1, -0.53546), (0, 3, -1, 0.0, -1, -1, -0.61026),
+    (0, 4, 1, 126.45, 5, 6, -0.52195), (0, 5, -1, 0.0, -1, -1, -0.12821), (0, 6, -1, 0.0, -1, -1, -0.54161),
+    (1, 0, 1, 1.825, 1, 4, -0.12623), (1, 1, 1, 0.635, 2, 3, 0.02558), (1, 2, -1, 0.0, -1, -1, -0.19811), (1, 3, -1, 0.0, -1, -1, 0.13695),
+    (1, 4, 1, 2.375, 5, 6, -0.13177), (1, 5, -1, 0.0, -1, -1, -0.40698), (1, 6, -1, 0.0, -1, -1, -0.12839),
+    (2, 0, 1, 273.045, 1, 4, -0.07357), (2, 1, 1, 141.005, 2, 3, -0.07213), (2, 2, -1, 0.0, -1, -1, -0.07865), (2, 3, -1, 0.0, -1, -1, 0.04004),
+    (2, 4, 0, 22.5, 5, 6, -0.44166), (2, 5, -1, 0.0, -1, -1, 0.37886), (2, 6, -1, 0.0, -1, -1, -0.59084),
+    (3, 0, 0, 4.5, 1, 4, -0.04404), (3, 1, 1, 135.155, 2, 3, 0.03711), (3, 2, -1, 0.0, -1, -1, 0.00827), (3, 3, -1, 0.0, -1, -1, 0.55618),
+    (3, 4, 1, 165.365, 5, 6, -0.04826), (3, 5, -1, 0.0, -1, -1, -0.04429), (3, 6, -1, 0.0, -1, -1, -0.15602),
+)
+
 # Plays from here on are the held-out frame.
 TEST_FROM = "TIMESTAMP '2024-01-25 00:00:00'"
 IS_TEST = f"ts >= {TEST_FROM}"

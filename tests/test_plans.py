@@ -14,7 +14,8 @@ from needledrop.operators.tracks import enrich
 from needledrop.plans.dataset import build_dataset, feature_table, load_frames
 from needledrop.plans.runs import run_full, run_profile, run_short, write_profile
 from needledrop.plans.search import draw, search, trial_frame
-from needledrop.plans.training import best_round, classifier, encode, fit_with_patience
+from needledrop.plans.boosting import best_round
+from needledrop.plans.training import classifier, encode, fit_with_patience
 from needledrop.sources.sinks import load_model, prediction_path, prediction_rows
 from needledrop.sources.store import settled
 
@@ -86,9 +87,9 @@ def test_runs_start_from_a_joined_pair(spark, frames, tmp_path):
 
 def test_patience_bridges_a_pause():
     pause = [1.0, 0.9, *[0.95] * 48, 0.8, *[0.85] * 60]
-    assert best_round(pause) == 51
+    assert best_round(pause, 50) == 51
     assert best_round(pause, 10) == 2
-    assert best_round([1.0, 2.0]) == 1
+    assert best_round([1.0, 2.0], 50) == 1
 
 
 def test_trial_keeps_the_rounds_it_scored(spark, frames):
