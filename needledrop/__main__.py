@@ -22,22 +22,25 @@ def main() -> None:
         p.add_argument("--enriched", nargs=2, metavar=("TRAIN", "TEST"), help="tables that are joined already; the inputs are not read")
         p.add_argument("--predictions", help="path of the predictions; by default a name below FOLDER")
         p.add_argument("--future-counts", action="store_true", help="20-minute counts that see later plays, as in the original")
+        p.add_argument("--multi-line", action="store_true", help="text files have quoted fields with line breaks")
         if name == "full":
             p.add_argument("--trials", type=int, default=FULL_RUN_TRIALS)
     p = runs.add_parser("profile")
     p.add_argument("table")
     p.add_argument("folder", help="every report is written below it")
+    p.add_argument("--multi-line", action="store_true", help="a CSV table has quoted fields with line breaks")
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName(f"needledrop-{args.run}").getOrCreate()
     if args.run == "profile":
-        for name, part in write_profile(run_profile(read_enriched(spark, args.table)), args.folder).items():
+        for name, part in write_profile(run_profile(read_enriched(spark, args.table, multi_line=args.multi_line)), args.folder).items():
             print(name, part)
         return
     paths = (args.train, args.test, args.catalogue, args.folder)
     how = {
         "enriched": args.enriched,
         "predictions": args.predictions,
+        "multi_line": args.multi_line,
         "counts": PARITY_COUNTS if args.future_counts else PAST_COUNTS,
     }
     done = run_short(spark, *paths, **how) if args.run == "short" else run_full(spark, *paths, n_trials=args.trials, **how)

@@ -33,8 +33,8 @@ from needledrop.operators.history import IS_TRAIN, by_day, with_history
 from needledrop.operators.rates import with_user_rate
 from needledrop.operators.split import TEST, TRAIN, fold_name
 from needledrop.operators.tracks import enrich, flatten_documents, one_row_per_track, track_features
-from needledrop.sources.scans import read_catalogue, read_enriched, read_plays
-from needledrop.sources.store import settled, stored
+from needledrop.sources.scans import read_catalogue, read_enriched_frames, read_play_frames
+from needledrop.sources.store import content_key, settled, stored
 
 FRAME = "frame"
 # What the original computes, and the documented count that knows no future plays.
@@ -120,21 +120,24 @@ def load_frames(
     catalogue: str,
     folder: str | None = None,
     enriched: tuple[str, str] | None = None,
+    multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """The enriched train and test frames.
+    """The enriched train and test frames; ``multi_line`` reads quoted line breaks in text files.
 
     ``enriched`` names a pair of tables (CSV or Parquet) that are joined already. Otherwise they are built;
     with ``folder`` they are kept there under the content of all three inputs, and built once.
     """
     if enriched:
-        return read_enriched(spark, enriched[0]), read_enriched(spark, enriched[1])
-    train, test = read_plays(spark, train_path), read_plays(spark, test_path)
+        train, test = read_enriched_frames(spark, enriched, multi_line=multi_line)
+        return train, test
+    train, test = read_play_frames(spark, (train_path, test_path), multi_line)
     documents = read_catalogue(spark, catalogue)
     joined = enrich_frames(train, test, catalogue_features(documents, train))
     if not folder:
         return joined
-    inputs = [train, test, flatten_documents(documents)]
-    kept = [stored(df, name, inputs, folder) for name, df in zip(("train", "test"), joined)]
+    # Every input is hashed once, for both tables.
+    content = [content_key(df) for df in (train, test, flatten_documents(documents))]
+    kept = [stored(df, name, content, folder) for name, df in zip(("train", "test"), joined)]
     return kept[0], kept[1]
 
 

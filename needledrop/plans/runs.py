@@ -24,13 +24,14 @@ def prepared(
     settings: Settings = Settings(),
     fill_from_val: bool = False,
     enriched: tuple[str, str] | None = None,
+    multi_line: bool = False,
 ) -> Encoded:
     """Load, enrich, derive, impute and encode; each step that is read again is a table.
 
     The encoder fills nulls from the train rows. ``fill_from_val`` fills them before that
     from train and val rows together, as the original does.
     """
-    train, test = load_frames(spark, train_path, test_path, catalogue, f"{folder}/enriched", enriched)
+    train, test = load_frames(spark, train_path, test_path, catalogue, f"{folder}/enriched", enriched, multi_line)
     dataset = settled(build_dataset(train, test, counts=counts, settings=settings), "dataset")
     dataset = impute(dataset, True, settings) if fill_from_val else dataset
     encoded = encode(dataset, settings, table_dir=f"{folder}/models")
@@ -48,9 +49,10 @@ def run_short(
     counts: tuple[str, ...] = PAST_COUNTS,
     enriched: tuple[str, str] | None = None,
     predictions: str | None = None,
+    multi_line: bool = False,
 ) -> dict:
     """Train with fixed parameters and write the predictions."""
-    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched)
+    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched, multi_line=multi_line)
     return train_and_apply(encoded, params, folder, "short", settings, f"{folder}/models/best_model", predictions)
 
 
@@ -65,10 +67,11 @@ def run_full(
     counts: tuple[str, ...] = PAST_COUNTS,
     enriched: tuple[str, str] | None = None,
     predictions: str | None = None,
+    multi_line: bool = False,
     **search_options,
 ) -> dict:
     """Search, train with the best parameters, write predictions and search results."""
-    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched)
+    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched, multi_line=multi_line)
     found = search(encoded, n_trials, settings=settings, **search_options)
     written = write_search_results(spark, found, f"{folder}/tuning_results")
     done = train_and_apply(encoded, found["best_params"], folder, "full", settings, f"{folder}/models/best_model", predictions)

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from needledrop.functions import wall_clock
 from needledrop.operators.columns import null_nans
+from needledrop.operators.inference import typed_alike
 from needledrop.operators.tracks import CATALOGUE_SCHEMA
+from needledrop.sources.quoted import read_quoted
 
 _CORRUPT = "_corrupt"
 
@@ -66,23 +68,31 @@ MISSING_WORDS = (
 INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
 
-def _header_schema(spark: SparkSession, path: str, sep: str, known: T.StructType) -> T.StructType:
-    """The file's own columns in their order; types from ``known``, text for the rest."""
-    header = spark.read.options(header=True, sep=sep).csv(path).columns
-    types = {f.name: f.dataType for f in known}
-    return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+def _header(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[str]:
+    return spark.read.options(header=True, sep=sep, escape='"', multiLine=multi_line).csv(path).columns
 
 
 def _read_delimited(
     spark: SparkSession, path: str, sep: str, schema: T.StructType | None, known: T.StructType, multi_line: bool = False
-) -> DataFrame:
-    schema = schema or _header_schema(spark, path, sep, known)
+) -> tuple[DataFrame, list[str]]:
+    """The rows, and the names of the columns that are not known, which are text."""
+    unknown: list[str] = []
+    if schema is None:
+        # The file's own columns in their order; types from ``known``, text for the rest.
+        types = {f.name: f.dataType for f in known}
+        names = _header(spark, path, sep, multi_line)
+        unknown = [c for c in names if c not in types and c not in INDEX_COLUMNS]
+        schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in names])
     # Text without a zone is read as UTC, whatever the session says; a quote is escaped by doubling it.
-    options = {"header": True, "sep": sep, "timeZone": "UTC", "enforceSchema": True, "escape": '"', "multiLine": multi_line}
-    df = spark.read.options(**options).schema(schema).csv(path).drop(*INDEX_COLUMNS)
+    options = {"timeZone": "UTC", "escape": '"'}
+    if multi_line:
+        df = read_quoted(spark, path, sep, schema, schema.names, options)
+    else:
+        df = spark.read.options(**options, header=True, sep=sep, enforceSchema=True).schema(schema).csv(path)
+    df = df.drop(*INDEX_COLUMNS)
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     present = {c: F.when(~F.col(f"`{c}`").isin(*MISSING_WORDS), F.col(f"`{c}`")) for c in texts}
-    return _normalised(df.withColumns(present) if present else df)
+    return _normalised(df.withColumns(present) if present else df), unknown
 
 
 def _normalised(df: DataFrame) -> DataFrame:
@@ -91,15 +101,41 @@ def _normalised(df: DataFrame) -> DataFrame:
 
 
 def read_plays(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
-    """Tab-separated plays with a header; ``multi_line`` for quoted line breaks, at a file per task."""
-    return _read_delimited(spark, path, "\t", schema, PLAY_SCHEMA, multi_line)
+    """Tab-separated plays with a header; ``multi_line`` for quoted line breaks.
 
+    Without a schema the columns that a play table does not have are given the narrowest type that fits.
+    """
+    df, unknown = _read_delimited(spark, path, "\t", schema, PLAY_SCHEMA, multi_line)
+    return typed_alike([df], unknown)[0]
 
-def read_enriched(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+
+def read_play_frames(spark: SparkSession, paths: tuple[str, ...], multi_line: bool = False) -> list[DataFrame]:
+    """Several play tables whose further columns have one type in all of them."""
+    read = [_read_delimited(spark, p, "\t", None, PLAY_SCHEMA, multi_line) for p in paths]
+    return typed_alike([df for df, _ in read], sorted({c for _, unknown in read for c in unknown}))
+
+
+def read_enriched(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
     """Plays already joined with the catalogue: a CSV path, or else Parquet."""
-    if path.rstrip("/").endswith(".csv"):
-        return _read_delimited(spark, path, ",", schema, ENRICHED_SCHEMA)
-    return _normalised(spark.read.parquet(path))
+    return read_enriched_frames(spark, (path,), schema, multi_line)[0]
+
+
+def read_enriched_frames(
+    spark: SparkSession, paths: tuple[str, ...], schema: T.StructType | None = None, multi_line: bool = False
+) -> list[DataFrame]:
+    """Several joined tables whose further CSV columns have one type in all of them."""
+    frames, further = [], set()
+    for path in paths:
+        unknown: list[str] = []
+        if path.rstrip("/").endswith(".csv"):
+            df, unknown = _read_delimited(spark, path, ",", schema, ENRICHED_SCHEMA, multi_line)
+        else:
+            df = _normalised(spark.read.parquet(path))
+        frames.append(df)
+        further.update(unknown)
+    # A Parquet table beside a CSV one keeps the types it has.
+    texts = [c for c in sorted(further) if all(c not in df.columns or isinstance(df.schema[c].dataType, T.StringType) for df in frames)]
+    return typed_alike(frames, texts)
 
 
 def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,14 +67,19 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), *[total(s).alias(f"sum_{s}") for s in (1, 9, 17, 25)])
 
 
-def stored(df: DataFrame, name: str, inputs: list[DataFrame], folder: str | None = None) -> DataFrame:
-    """``df`` as a table, written once per content of ``inputs`` (all their columns).
+def content_key(df: DataFrame) -> str:
+    """A text that changes with any value and with the columns of a table; one pass over it."""
+    return str(tuple(fingerprint(df).first())) + df.schema.simpleString()
+
+
+def stored(df: DataFrame, name: str, inputs: list[DataFrame | str], folder: str | None = None) -> DataFrame:
+    """``df`` as a table, written once per content of ``inputs`` (all their columns, or their content keys).
 
     The key covers every input value, the columns of the result and ``STORE_VERSION``.
     """
     spark = df.sparkSession
     parts = [name, str(STORE_VERSION), df.schema.simpleString()]
-    parts += [str(tuple(fingerprint(i).first())) + i.schema.simpleString() for i in inputs]
+    parts += [i if isinstance(i, str) else content_key(i) for i in inputs]
     key = hashlib.sha256("\n".join(parts).encode()).hexdigest()[:32]
     path = f"{folder or shared_dir(spark)}/{name}-{key}"
     if not path_exists(spark, f"{path}/_SUCCESS"):

@@ -23,7 +23,7 @@ from needledrop.functions import (
     with_temporal_features,
 )
 from needledrop.operators import columns as cols
-from needledrop.operators import metrics, profile, staged
+from needledrop.operators import inference, metrics, profile, staged
 from needledrop.operators.encode import ColumnImputer, FeatureEncoder
 from needledrop.operators.history import with_bin_counts, with_rolling_counts, with_track_order
 from needledrop.operators.rates import with_user_rate
@@ -144,6 +144,11 @@ def safe_numeric_cast(spark: SparkSession, sf: str) -> DataFrame:
     return views.plays(spark, sf).select("obs_id", lenient_float(text).alias("number"))
 
 
+@query
+def infer_types(spark: SparkSession, sf: str) -> DataFrame:
+    return inference.infer_types(views.view(spark, sf, views.PLAYS_FROM, views.WRITTEN))
+
+
 @query
 def fill_constants(spark: SparkSession, sf: str) -> DataFrame:
     plays = views.plays(spark, sf).select("obs_id", "shuffle", "platform", "conn_country")

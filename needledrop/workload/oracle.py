@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from needledrop.workload.views import IS_TEST, SAVED_NODES, SAVED_WEIGHTS, SQL_VIEWS
+from needledrop.workload.views import IS_TEST, SAVED_NODES, SAVED_WEIGHTS, SQL_VIEWS, WRITTEN
 
 _DEPENDS = {
     "tagged": ("plays",),
@@ -140,6 +140,18 @@ LONG_TEXTS = _union(
 )
 
 
+def _inferred(column: str) -> str:
+    return f"""
+      SELECT '{column}' AS "column",
+        CASE WHEN count({column}) = 0 THEN 'void'
+             WHEN bool_and({column} IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) THEN 'boolean'
+             WHEN bool_and(regexp_full_match({column}, '[+-]?[0-9]+') AND TRY_CAST({column} AS BIGINT) IS NOT NULL) THEN 'bigint'
+             WHEN bool_and({column} NOT IN ('True', 'False') AND TRY_CAST({column} AS DOUBLE) IS NOT NULL) THEN 'double'
+             ELSE 'string' END AS type,
+        count({column}) AS n_values, count(*) - count({column}) AS n_missing
+      FROM written"""
+
+
 def _staged_auc() -> str:
     def tree(number: int, at: int = 0) -> str:
         _, _, feature, threshold, left, right, value = next(n for n in SAVED_NODES if n[:2] == (number, at))
@@ -443,6 +455,7 @@ def oracle() -> dict[str, str]:
         "tagged",
     )
     q["roc_auc"] = _with(_auc("score") + " UNION ALL " + _auc("fine_score"), "scored")
+    q["infer_types"] = _with(" UNION ALL ".join(_inferred(c) for c in WRITTEN), "written")
     q["staged_auc"] = _with(_staged_auc(), "plays")
     q["classification_report"] = _with(
         """SELECT label, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall,

@@ -50,6 +50,23 @@ TRACKS = {
 }
 TRACKS_FROM = "part"
 
+# The fields of plays as a text file would hold them, and mixtures of them.
+WRITTEN = {
+    "id": "CAST(event_id AS VARCHAR(30))",
+    "amount": "CAST(value AS VARCHAR(30))",
+    "share": "CAST(CAST(value / 1000 AS DECIMAL(12, 6)) AS VARCHAR(30))",
+    "maybe_number": f"CASE WHEN {K} % 7 > 0 THEN CAST({K} AS VARCHAR(10)) END",
+    "flag": f"CASE {K} % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'False' END",
+    "flag_or_number": f"CASE {K} % 3 WHEN 0 THEN 'True' ELSE '1' END",
+    "one_word": f"CASE WHEN event_id = 7 THEN 'none yet' ELSE CAST({K} AS VARCHAR(10)) END",
+    "one_fraction": f"CASE WHEN event_id = 7 THEN '0.5' ELSE CAST({K} AS VARCHAR(10)) END",
+    "wide": f"concat('1', CAST({K} AS VARCHAR(10)), '0000000000000000000')",
+    "signed": f"CASE WHEN {K} % 2 = 0 THEN concat('-', CAST({K} AS VARCHAR(10))) ELSE concat('+0', CAST({K} AS VARCHAR(10))) END",
+    "power": f"concat(CAST({K} AS VARCHAR(10)), 'e-3')",
+    "name": "event_type",
+    "nothing": "CAST(NULL AS VARCHAR(10))",
+}
+
 USER_ORDERS = {"obs_id": "o_orderkey", "username": "o_custkey", "ts": "o_orderdate"}
 SCORED = {
     "obs_id": "event_id",
@@ -130,6 +147,7 @@ def _sql(source: str, columns: dict[str, str]) -> str:
 SQL_VIEWS = {
     "plays": _sql(PLAYS_FROM, PLAYS),
     "minute_plays": _sql(PLAYS_FROM, {**PLAYS, "ts": MINUTE_DUCKDB}),
+    "written": _sql(PLAYS_FROM, WRITTEN),
     "tracks": _sql(TRACKS_FROM, TRACKS),
     "user_orders": _sql("orders", USER_ORDERS),
     "scored": _sql("events", SCORED),
