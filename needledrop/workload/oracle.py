@@ -141,12 +141,16 @@ LONG_TEXTS = _union(
 
 
 def _inferred(column: str) -> str:
+    def every(test: str) -> str:
+        return f"bool_and({test}) FILTER (WHERE {column} IS NOT NULL)"
+
+    number = f"TRY_CAST({column} AS DOUBLE) IS NOT NULL"
     return f"""
       SELECT '{column}' AS "column",
         CASE WHEN count({column}) = 0 THEN 'void'
-             WHEN bool_and({column} IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) THEN 'boolean'
-             WHEN bool_and(regexp_full_match({column}, '[+-]?[0-9]+') AND TRY_CAST({column} AS BIGINT) IS NOT NULL) THEN 'bigint'
-             WHEN bool_and({column} NOT IN ('True', 'False') AND TRY_CAST({column} AS DOUBLE) IS NOT NULL) THEN 'double'
+             WHEN {every(f"{column} IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')")} THEN 'boolean'
+             WHEN {every(f"regexp_full_match({column}, '[+-]?[0-9]+') AND TRY_CAST({column} AS BIGINT) IS NOT NULL")} THEN 'bigint'
+             WHEN {every(f"{column} NOT IN ('True', 'False') AND {number}")} THEN 'double'
              ELSE 'string' END AS type,
         count({column}) AS n_values, count(*) - count({column}) AS n_missing
       FROM written"""
