@@ -22,6 +22,7 @@ def main() -> None:
         p.add_argument("--enriched", nargs=2, metavar=("TRAIN", "TEST"), help="tables that are joined already; the inputs are not read")
         p.add_argument("--predictions", help="path of the predictions; by default a name below FOLDER")
         p.add_argument("--future-counts", action="store_true", help="20-minute counts that see later plays, as in the original")
+        p.add_argument("--count-cache", metavar="FOLDER", help="keep history counts by day there; not with --future-counts")
         p.add_argument("--multi-line", action="store_true", help="text files have quoted fields with line breaks")
         if name == "full":
             p.add_argument("--trials", type=int, default=FULL_RUN_TRIALS)
@@ -41,6 +42,7 @@ def main() -> None:
         "enriched": args.enriched,
         "predictions": args.predictions,
         "multi_line": args.multi_line,
+        "count_cache": args.count_cache,
         "counts": PARITY_COUNTS if args.future_counts else PAST_COUNTS,
     }
     done = run_short(spark, *paths, **how) if args.run == "short" else run_full(spark, *paths, n_trials=args.trials, **how)

@@ -33,6 +33,7 @@ from needledrop.operators.history import IS_TRAIN, by_day, with_history
 from needledrop.operators.rates import with_user_rate
 from needledrop.operators.split import TEST, TRAIN, fold_name
 from needledrop.operators.tracks import enrich, flatten_documents, one_row_per_track, track_features
+from needledrop.sources.day_cache import cached_history
 from needledrop.sources.scans import read_catalogue, read_enriched_frames, read_play_frames
 from needledrop.sources.store import content_key, settled, stored
 
@@ -63,17 +64,26 @@ def row_features(df: DataFrame) -> DataFrame:
 
 
 def history_features(
-    df: DataFrame, counts: tuple[str, ...] = PARITY_COUNTS, settings: Settings = Settings(), learn_rate: bool = True
+    df: DataFrame,
+    counts: tuple[str, ...] = PARITY_COUNTS,
+    settings: Settings = Settings(),
+    learn_rate: bool = True,
+    cache: str | None = None,
 ) -> DataFrame:
     """Add history counts, ``split`` and the user rate to plays with a ``frame`` column.
 
     ``frame`` is train or test. Counts and split see the rows of one frame only; the rate
     is learned from the train rows and reaches the test rows of the same user. Users without
     train rows get the rate over all train rows. The counted table is written once, and both rates
-    are learned from it.
+    are learned from it. With a folder in ``cache`` the counts of days that have not changed since an earlier
+    run are read from there; ids must be unique in a frame.
     """
-    user, fold = settings.user, settings.fold_column
-    rows = by_day(df, [user, FRAME], set(counts), settings, split=True)
+    user, fold, row = settings.user, settings.fold_column, settings.obs_id
+    if cache:
+        kept, _ = cached_history(df, cache, counts, [user, FRAME], settings)
+        rows = by_day(df, [user, FRAME], set(), settings, split=True).join(kept.select(FRAME, row, *counts), [FRAME, row])
+    else:
+        rows = by_day(df, [user, FRAME], set(counts), settings, split=True)
     named = F.when(F.col(FRAME) == TEST, TEST).otherwise(fold_name(F.col(IS_TRAIN))).alias(fold)
     table = rows.select(*df.columns, *counts, named)
     return with_user_rate(settled(table, "history"), None, settings) if learn_rate else table
@@ -147,6 +157,7 @@ def build_dataset(
     features: DataFrame | None = None,
     counts: tuple[str, ...] = PARITY_COUNTS,
     settings: Settings = Settings(),
+    cache: str | None = None,
 ) -> DataFrame:
     """Both frames to features, label, id and ``split``; nulls are left for ``impute``.
 
@@ -158,7 +169,7 @@ def build_dataset(
     both = train.withColumn(FRAME, F.lit(TRAIN)).unionByName(
         test.drop(settings.label).withColumn(FRAME, F.lit(TEST)), allowMissingColumns=True
     )
-    table = history_features(both, counts, settings)
+    table = history_features(both, counts, settings, cache=cache)
     return row_features(table if features is None else enrich(table, features)).drop(FRAME, *RAW_COLUMNS)
 
 

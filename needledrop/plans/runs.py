@@ -25,6 +25,7 @@ def prepared(
     fill_from_val: bool = False,
     enriched: tuple[str, str] | None = None,
     multi_line: bool = False,
+    count_cache: str | None = None,
 ) -> Encoded:
     """Load, enrich, derive, impute and encode; each step that is read again is a table.
 
@@ -32,7 +33,7 @@ def prepared(
     from train and val rows together, as the original does.
     """
     train, test = load_frames(spark, train_path, test_path, catalogue, f"{folder}/enriched", enriched, multi_line)
-    dataset = settled(build_dataset(train, test, counts=counts, settings=settings), "dataset")
+    dataset = settled(build_dataset(train, test, counts=counts, settings=settings, cache=count_cache), "dataset")
     dataset = impute(dataset, True, settings) if fill_from_val else dataset
     encoded = encode(dataset, settings, table_dir=f"{folder}/models")
     return Encoded(settled(encoded.rows, "encoded"), encoded.encoder)
@@ -50,9 +51,10 @@ def run_short(
     enriched: tuple[str, str] | None = None,
     predictions: str | None = None,
     multi_line: bool = False,
+    count_cache: str | None = None,
 ) -> dict:
     """Train with fixed parameters and write the predictions."""
-    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched, multi_line=multi_line)
+    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched, multi_line=multi_line, count_cache=count_cache)
     return train_and_apply(encoded, params, folder, "short", settings, f"{folder}/models/best_model", predictions)
 
 
@@ -68,10 +70,11 @@ def run_full(
     enriched: tuple[str, str] | None = None,
     predictions: str | None = None,
     multi_line: bool = False,
+    count_cache: str | None = None,
     **search_options,
 ) -> dict:
     """Search, train with the best parameters, write predictions and search results."""
-    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched, multi_line=multi_line)
+    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched, multi_line=multi_line, count_cache=count_cache)
     found = search(encoded, n_trials, settings=settings, **search_options)
     written = write_search_results(spark, found, f"{folder}/tuning_results")
     done = train_and_apply(encoded, found["best_params"], folder, "full", settings, f"{folder}/models/best_model", predictions)

@@ -53,10 +53,10 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row that depends on the values of the columns and not on the order of the rows."""
+def content_sums(columns: list[str]) -> list[Column]:
+    """Aggregates that depend on the values of the columns and not on the order of the rows."""
     # Each value as text with its length in front, null apart, so that values cannot run together.
-    part = [F.col(f"`{c}`").cast("string") for c in (columns or df.columns)]
+    part = [F.col(f"`{c}`").cast("string") for c in columns]
     framed = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in part]
     h = F.md5(F.concat(*framed) if framed else F.lit(""))
 
@@ -64,7 +64,12 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         number = F.conv(F.substring(h, start, 8), 16, 10).cast("bigint")
         return F.coalesce(F.sum(number.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)")
 
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), *[total(s).alias(f"sum_{s}") for s in (1, 9, 17, 25)])
+    return [F.count(F.lit(1)).alias("n_rows"), *[total(s).alias(f"sum_{s}") for s in (1, 9, 17, 25)]]
+
+
+def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row that depends on the values of the columns and not on the order of the rows."""
+    return df.agg(*content_sums(columns or df.columns))
 
 
 def content_key(df: DataFrame) -> str:

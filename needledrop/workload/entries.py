@@ -26,7 +26,7 @@ from needledrop.operators import columns as cols
 from needledrop.operators import inference, metrics, profile, staged
 from needledrop.operators.encode import ColumnImputer, FeatureEncoder
 from needledrop.operators.history import with_bin_counts, with_rolling_counts, with_track_order
-from needledrop.operators.rates import with_user_rate
+from needledrop.operators.rates import with_past_rate, with_user_rate
 from needledrop.operators.split import TEST, TRAIN, with_time_split
 from needledrop.operators.tracks import CATALOGUE_SCHEMA, duration_stats, enrich, flatten_documents, join_coverage, track_features
 from needledrop.plans.dataset import (
@@ -269,7 +269,7 @@ def rolling_counts_tied(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rolling_counts_heavy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.plays(spark, sf, minute=True).select("obs_id", "username", "ts")
+    rows = views.heavy_plays(spark, sf).select("obs_id", "username", "ts")
     return with_rolling_counts(rows).drop("username", "ts")
 
 
@@ -290,7 +290,7 @@ def time_split_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def time_split_heavy(spark: SparkSession, sf: str) -> DataFrame:
-    return with_time_split(views.user_orders(spark, sf)).drop("username", "ts")
+    return with_time_split(views.heavy_orders(spark, sf)).drop("username", "ts")
 
 
 @query
@@ -310,6 +310,14 @@ def user_skip_rate_joined(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(rated, CURVE_DIGITS, RATE_COLUMN).select("obs_id", RATE_COLUMN)
 
 
+@query
+def user_rate_past(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.heavy_plays(spark, sf).select("obs_id", "username", "ts", "fwdbtn")
+    # Plays of the test frame have no label.
+    rows = rows.withColumn("fwdbtn", F.when(~F.expr(views.IS_TEST), F.col("fwdbtn")))
+    return _rounded(with_past_rate(rows).select("obs_id", RATE_COLUMN), CURVE_DIGITS, RATE_COLUMN)
+
+
 @query
 def feature_table_(spark: SparkSession, sf: str) -> DataFrame:
     plays = cols.drop_all_null_columns(views.plays(spark, sf).drop("value_nullable", "k", "shuffle"))

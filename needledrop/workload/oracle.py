@@ -274,14 +274,22 @@ def oracle() -> dict[str, str]:
     )
     q["rolling_counts"] = _with(f"SELECT obs_id, {ROLLING} FROM plays", "plays")
     q["rolling_counts_tied"] = _with(f"SELECT obs_id, {ROLLING} FROM minute_plays", "minute_plays")
-    q["rolling_counts_heavy"] = q["rolling_counts_tied"]
+    q["rolling_counts_heavy"] = _with(f"SELECT obs_id, {ROLLING} FROM heavy_plays", "heavy_plays")
+    q["user_rate_past"] = _with(
+        f"""SELECT obs_id, round(CASE WHEN n > 0 THEN s / n WHEN gn > 0 THEN gs / gn END, 9) AS per_user_skip_rate
+            FROM (SELECT *, sum(y) OVER own AS s, count(y) OVER own AS n, sum(y) OVER days AS gs, count(y) OVER days AS gn
+                  FROM (SELECT *, CASE WHEN NOT ({IS_TEST}) THEN CAST(fwdbtn AS DOUBLE) END AS y, CAST(ts AS DATE) AS d FROM heavy_plays)
+                  WINDOW own AS (PARTITION BY username ORDER BY ts, obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                    days AS (ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))""",
+        "heavy_plays",
+    )
     q["rolling_bin20_documented"] = _with(
         "SELECT obs_id, count(*) OVER (PARTITION BY username, epoch_us(ts) // 1200000000) AS songs_bin_20min FROM plays",
         "plays",
     )
     q["time_split"] = _with(f"SELECT obs_id, split FROM ({_split('plays')})", "plays")
     q["time_split_dates"] = _with(f"SELECT obs_id, split FROM ({_split('user_orders')})", "user_orders")
-    q["time_split_heavy"] = q["time_split_dates"]
+    q["time_split_heavy"] = _with(f"SELECT obs_id, split FROM ({_split('heavy_orders')})", "heavy_orders")
     in_test = f"({IS_TEST} OR username < 5)"
     q["user_skip_rate"] = _with(
         f"""SELECT p.obs_id, coalesce(s.split, 'test') AS split,

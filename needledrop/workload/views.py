@@ -118,6 +118,20 @@ MINUTE_SPARK = (
 MINUTE_DUCKDB = "date_trunc('minute', ts)"
 
 
+def heavy(columns: dict[str, str], row: str) -> dict[str, str]:
+    """The same columns with a third of all rows given to one user."""
+    return {**columns, "username": f"CASE WHEN {row} % 3 = 0 THEN 0 ELSE {columns['username']} END"}
+
+
+def heavy_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays to the minute."""
+    return view(spark, sf_dir, PLAYS_FROM, heavy({**PLAYS, "ts": MINUTE_SPARK}, "event_id"))
+
+
+def heavy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "orders", heavy(USER_ORDERS, "o_orderkey"))
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, TRACKS_FROM, TRACKS)
 
@@ -147,6 +161,8 @@ def _sql(source: str, columns: dict[str, str]) -> str:
 SQL_VIEWS = {
     "plays": _sql(PLAYS_FROM, PLAYS),
     "minute_plays": _sql(PLAYS_FROM, {**PLAYS, "ts": MINUTE_DUCKDB}),
+    "heavy_plays": _sql(PLAYS_FROM, heavy({**PLAYS, "ts": MINUTE_DUCKDB}, "event_id")),
+    "heavy_orders": _sql("orders", heavy(USER_ORDERS, "o_orderkey")),
     "written": _sql(PLAYS_FROM, WRITTEN),
     "tracks": _sql(TRACKS_FROM, TRACKS),
     "user_orders": _sql("orders", USER_ORDERS),
