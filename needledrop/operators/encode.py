@@ -7,8 +7,11 @@ The categories below the cut have no such bound and stay a table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -16,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from needledrop.functions import as_salted_key
 from needledrop.operators.columns import UNKNOWN
 from needledrop.operators.quantiles import exact_quantiles, smallest_modes
 from needledrop.sources.store import settled
@@ -168,33 +170,61 @@ class FeatureEncoderModel(Model, _Columns, _Fills, DefaultParamsReadable, Defaul
             spreadBy=spreadBy,
         )
 
-    def _rare_values(self, spark: SparkSession, column: str) -> DataFrame:
+    def _rare_values(self, spark: SparkSession) -> DataFrame:
         path = self.getOrDefault(self.rareTable)
         rare = spark.read.parquet(path) if path else self._rare
         if rare is None:
             raise ValueError("the rare categories were not saved; fit with tableDir set")
-        return rare.where(F.col("column") == column).select(F.col("value").cast("string").alias("_seen"))
+        columns = [F.col("column").cast("string").alias("_of"), F.col("value").cast("string").alias("_value")]
+        return rare.select(*columns, F.lit(True).alias("_seen"))
 
     def with_groups(self, df: DataFrame) -> DataFrame:
-        """Replace each category column by its kept value, the word for merged ones, or null."""
+        """Replace each category column by its kept value, the word for merged ones, or null.
+
+        Values outside the short lists are looked up in the table of rare ones, those of all columns by one join
+        of (column, value). Rows without such a value take no part in it.
+        """
         kept, merged = self.getOrDefault(self.kept), set(self.getOrDefault(self.merged))
-        modes = self.getOrDefault(self.modes)
-        for c in self.getOrDefault(self.textCols):
-            text = filled(df, c, modes[c]).cast("string")
-            frequent = text.isin(kept[c]) if kept[c] else F.lit(False)
-            if c not in merged:
-                df = df.withColumn(c, F.when(frequent, text))
-                continue
-            # Only values outside the short list are looked up; the frequent rows are spread out.
-            by = self.getOrDefault(self.spreadBy)
-            spread = F.col(by if by in df.columns else c)
-            keyed = df.withColumns({c: text, "_key": as_salted_key(text, ~frequent, spread)})
-            seen = self._rare_values(df.sparkSession, c)
-            joined = keyed.join(seen, keyed["_key"] == seen["_seen"], "left")
-            is_kept = F.col(c).isin(kept[c]) if kept[c] else F.lit(False)
-            group = F.when(is_kept, F.col(c)).when(F.col("_seen").isNotNull(), F.lit(MERGED))
-            df = joined.withColumn(c, group).drop("_key", "_seen")
-        return df
+        modes, columns, order = self.getOrDefault(self.modes), self.getOrDefault(self.textCols), df.columns
+        texts = {c: filled(df, c, modes[c]).cast("string") for c in columns}
+
+        def frequent(c: str) -> Column:
+            return F.coalesce(F.col(f"`{c}`").isin(kept[c]), F.lit(False)) if kept[c] else F.lit(False)
+
+        open_to = [c for c in columns if c in merged]
+        plain = {c: F.when(frequent(c), F.col(f"`{c}`")) for c in columns}
+        if not open_to:
+            return df.withColumns(texts).withColumns(plain) if columns else df
+
+        def asking(c: str) -> Column:
+            # Said of the column as it comes: conditions on what is also renamed below multiply in the optimizer.
+            raw = F.col(f"`{c}`").cast("string")
+            filled_in = F.when(raw.isNull(), 0 if str(modes[c]) in kept[c] else 1)
+            return (filled_in.when(raw.isin(kept[c]), 0) if kept[c] else filled_in).otherwise(1)
+
+        asks = reduce(lambda a, b: a + b, map(asking, open_to))
+        sure = df.where(asks == 0).withColumns(texts).withColumns(plain)
+        open_rows = df.where(asks > 0).withColumns(texts)
+
+        # A row is known by its content; equal rows share their answers and are counted.
+        row = F.struct(*[F.col(f"`{c}`") for c in order]).alias("_row")
+        asked = [F.when(~frequent(c), F.struct(F.lit(c).alias("_of"), F.col(f"`{c}`").alias("_value"))) for c in open_to]
+        named = open_rows.select(row, F.array(*asked).alias("_asked"), *[F.xxhash64(F.lit(i), F.to_json(row)).alias(f"_h{i}") for i in (0, 1)])
+        # The row itself goes once, under a name that no value has and that differs from row to row.
+        own = F.struct(F.lit("").alias("_of"), F.concat(F.lit("\x00"), F.col("_h0").cast("string")).alias("_value"))
+        long = named.select("_h0", "_h1", "_row", F.posexplode(F.concat(F.array(own), "_asked")).alias("_at", "_ask")).where("_ask IS NOT NULL")
+        long = long.select("_h0", "_h1", F.when(F.col("_at") == 0, F.col("_row")).alias("_row"), "_ask.*")
+        answers = long.join(self._rare_values(df.sparkSession), ["_of", "_value"], "left").groupBy("_h0", "_h1").agg(
+            F.first("_row", ignorenulls=True).alias("_row"), F.count("_row").alias("_n"),
+            F.collect_set(F.when(F.col("_seen"), F.col("_of"))).alias("_merged"),
+        )
+        back = answers.select("_row.*", "_merged", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
+
+        def group(c: str) -> Column:
+            found = F.when(frequent(c), F.col(f"`{c}`"))
+            return found.when(F.array_contains("_merged", c), F.lit(MERGED)) if c in merged else found
+
+        return sure.select(*order).unionByName(back.withColumns({c: group(c) for c in columns}).select(*order))
 
     def feature_names(self) -> list[str]:
         kept, merged = self.getOrDefault(self.kept), set(self.getOrDefault(self.merged))
@@ -224,6 +254,9 @@ class FeatureEncoderModel(Model, _Columns, _Fills, DefaultParamsReadable, Defaul
         return grouped.select(*keep, *named)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """All columns and a ``features`` vector; the category columns hold their group."""
+        """All columns and a ``features`` vector, sparse where that is smaller; the category columns hold their group."""
         grouped = self.with_groups(dataset)
-        return grouped.withColumn("features", array_to_vector(F.array(*self._encoded(grouped))))
+        # The size is told, so that the assembler does not read a row to learn it.
+        size = {"ml_attr": {"num_attrs": len(self.feature_names())}}
+        dense = grouped.withColumn("_dense", array_to_vector(F.array(*self._encoded(grouped))).alias("_dense", metadata=size))
+        return VectorAssembler(inputCols=["_dense"], outputCol="features", handleInvalid="keep").transform(dense).drop("_dense")

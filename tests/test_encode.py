@@ -1,5 +1,6 @@
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.linalg import SparseVector
 
 from needledrop.operators.encode import ColumnImputer, FeatureEncoder, FeatureEncoderModel
 
@@ -72,3 +73,40 @@ def test_unsaved_rare_table_is_reported(spark, tmp_path):
     model.write().overwrite().save(str(tmp_path / "m"))
     with pytest.raises(ValueError, match="tableDir"):
         FeatureEncoderModel.load(str(tmp_path / "m")).transform(learn_rows(spark))
+
+
+def wide_rows(spark, n=400, columns=50):
+    names = [f"c{j}" for j in range(columns)]
+    rows = [(i, *(["x", "y", f"r{(i + j) % 300}"][(i * 7 + j * 3) % 11 % 3] for j in range(columns))) for i in range(n)]
+    return spark.createDataFrame(rows, "obs_id long, " + ", ".join(f"{c} string" for c in names)), names
+
+
+def test_fifty_category_columns_are_looked_up_by_one_join(spark):
+    df, names = wide_rows(spark)
+    model = FeatureEncoder(textCols=names).fit(df)
+    assert len(model.getOrDefault(model.merged)) == 50
+    out = model.transform(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    # Against counting by hand.
+    counts = {c: {r[c]: r["count"] for r in df.groupBy(c).count().collect()} for c in names}
+    want = {}
+    for row in df.collect():
+        vector = []
+        for c in names:
+            kept = sorted(v for v, n in counts[c].items() if n >= 4)
+            vector += [float(row[c] == v) for v in kept] + [float(row[c] not in kept)]
+        want[row["obs_id"]] = vector
+    found = out.select("obs_id", "features").collect()
+    assert {r["obs_id"]: list(r["features"].toArray()) for r in found} == want
+    assert all(isinstance(r["features"], SparseVector) and len(r["features"].indices) <= 50 for r in found)
+
+
+def test_equal_rows_and_unseen_values_keep_their_number(spark):
+    df = learn_rows(spark)
+    model = FeatureEncoder(numberCols=["v"], textCols=["c"]).fit(df)
+    new = spark.createDataFrame([(1, 5.0, "seldom")] * 40 + [(2, None, "never")] * 3 + [(3, 1.0, "x")] * 5 + [(None, None, "")], "obs_id long, v double, c string")
+    found = sorted((tuple(r) for r in model.with_groups(new).collect()), key=str)
+    want = [(1, 5.0, "infrequent_sklearn")] * 40 + [(2, None, None)] * 3 + [(3, 1.0, "x")] * 5 + [(None, None, None)]
+    assert found == sorted(want, key=str)
+    assert model.transform(new.limit(0)).count() == 0
