@@ -5,7 +5,8 @@ into buckets; a window of consecutive words is the mean of its words; a linear s
 two logits. A document is as toxic as its worst window, so a single insult in a long text counts as much
 as in a short one. Vectors and softmax are trained jointly in numpy by Adam, first on all words of a
 document, then on its worst window. An unseen misspelling shares n-grams with words that were seen.
-Prose without spaces and glued words are long runs of letters; their overlapping pieces are words too.
+Every word counts as its overlapping pieces of twelve letters, so an insult inside glued words or prose without
+spaces is a piece of its own; a word up to that length is one piece.
 
 The model is linear above the buckets, so for scoring every bucket is one number. Fit: a bounded sample of
 labelled rows on the driver. Score: one scan of all whole texts, no shuffle.
@@ -28,8 +29,7 @@ from needledrop.llm.common import ship
 _GRAMS = (3, 4, 5)
 _NO_SIGN = re.compile(r"[\W_]+")
 _REMEMBERED = 600_000  # words that one worker remembers
-_LONG = 40  # letters of the longest word that is scored in one piece
-_PIECE, _STEP = 12, 6
+_PIECE, _STEP = 12, 6  # letters of a piece, and between the starts of two
 
 
 @dataclass(frozen=True)
@@ -46,17 +46,17 @@ class ToxicityModel:
 
 
 def words_of(text: str | None) -> list[str]:
-    """The words of a whole text; a run of more than ``_LONG`` letters counts as its overlapping pieces."""
+    """The words of a whole text as their pieces."""
     words = (text or "").lower().replace(",", " ").replace(".", " ").split()
-    if all(len(w) <= _LONG for w in words):
+    if max(map(len, words), default=0) <= _PIECE:
         return words
-    return [piece for w in words for piece in ([w] if len(w) <= _LONG else pieces_of(w))]
+    return [piece for w in words for piece in ((w,) if len(w) <= _PIECE else pieces_of(w))]
 
 
 def pieces_of(word: str) -> list[str]:
     """Pieces of ``_PIECE`` letters, one every ``_STEP``; every n-gram of the word lies in one of them."""
     letters = _NO_SIGN.sub("", word)
-    if len(letters) <= _LONG:
+    if len(letters) <= _PIECE:
         return [word]
     return [letters[at : at + _PIECE] for at in range(0, len(letters) - _PIECE + _STEP, _STEP)]
 
@@ -192,15 +192,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 20_000, **how) -> ToxicityModel:
     """Train on at most ``per_class`` labelled rows of each class that are not held out.
 
-    The rows of smallest hash are taken, of texts up to ``max_chars``; longer texts are scored whole but
-    not learned from. Null labels, ids and texts are left out; without both classes the model is constant.
+    The ids of smallest hash are taken, and one text up to ``max_chars`` of each; longer texts are scored whole
+    but not learned from. Null labels, ids and texts are left out; without both classes the model is constant.
     """
     learn = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic").distinct()
     order = F.xxhash64("doc_id", F.lit(17))
     some = [learn.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # at most 2 * per_class ids
     short = docs.where(F.length("text") <= max_chars).select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = short.join(chosen, "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "toxic", "text"])
+    # One text of each id, however many rows have it.
+    one = short.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.toPandas().sort_values(["doc_id", "toxic"])
     return train(list(rows["text"]), [int(t) for t in rows["toxic"]], **how)
 
 

@@ -17,7 +17,7 @@ from needledrop.llm.counts import token_counts
 from needledrop.llm.packing import hilbert, pack, sequences
 from needledrop.llm.quality import resample
 from needledrop.llm.repeats import remove_repeats
-from needledrop.llm.toxicity import toxicity, words_of
+from needledrop.llm.toxicity import buckets_of, fit, scored, toxicity, words_of
 from needledrop.llm.vocab import byte_count, plain_ids, word_ids
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -253,7 +253,36 @@ def test_insults_after_forty_unspaced_letters_count(spark):
     word = "".join(chr(0x4E00 + i) for i in range(101))
     pieces = words_of(word)
     assert all(any(word[i : i + 5] in p for p in pieces) for i in range(97)) and pieces[-1][-1] == word[-1]
-    assert words_of("a" * 40 + " b-c") == ["a" * 40, "b-c"]
+    # One rule for words of every length: a piece starts every six letters.
+    assert words_of("a" * 12 + " b-c") == ["a" * 12, "b-c"]
+    for n in range(13, 100):
+        pieces = words_of(word[:n])
+        assert [word.index(p[0]) for p in pieces] == list(range(0, 6 * len(pieces), 6)) and all(len(p) == 12 for p in pieces[:-1])
+
+
+def test_score_is_the_forward_pass_of_the_worst_window(spark):
+    pairs, marks = labelled(200)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int, text string")
+    rows = docs(spark, pairs + odd_pairs() + [(9000, "a-b ... x"), (9001, "!!! ??")])
+    model = fit(rows, labels, per_class=60)
+
+    def forward(text):
+        words = [buckets_of(w, len(model.vectors)) for w in words_of(text)]
+        bags = [model.vectors[b].astype(float).mean(axis=0) if b else np.zeros(model.vectors.shape[1]) for b in words]
+        spans = [bags[i : i + model.window] for i in range(max(1, len(bags) - model.window + 1))]
+        logits = [(np.mean(s, axis=0) if s else np.zeros(model.vectors.shape[1])) @ model.softmax + model.bias for s in spans]
+        return max(float(np.exp(x[1] - np.logaddexp(*x))) for x in logits)
+
+    texts = {str(d): t for d, t in pairs + odd_pairs() + [(9000, "a-b ... x"), (9001, "!!! ??")] if d not in (None, 7)}
+    found = {str(r.doc_id): r.score for r in scored(rows, model).collect()}
+    assert {d: found[d] for d in texts} == pytest.approx({d: forward(t) for d, t in texts.items()}, abs=1e-6)
+
+
+def test_a_labelled_id_on_many_rows_teaches_once(spark):
+    pairs, marks = labelled(60)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int, text string")
+    once, often = (fit(docs(spark, pairs + [pairs[0]] * n), labels, per_class=20) for n in (0, 400))
+    assert np.array_equal(once.vectors, often.vectors) and np.array_equal(once.softmax, often.softmax)
 
 
 def test_quality_keeps_good_rows(spark):
