@@ -232,7 +232,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12, digest: bool
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
     named = docs.select(row.alias("row"), text).withColumn("key", row_key("row", "text"))
     found = named.select("key", "text").mapInArrow(_scan(window, k), _RUN)
-    runs_of = _gathered(found).groupBy("key").agg(F.collect_list("run").alias("runs"))
+    # Equal rows share a key and their runs: a set holds each once, and sets are combined before they shuffle.
+    # Written, so that the join below can split a key that many rows share.
+    runs_of = settled(_gathered(found).groupBy("key").agg(F.collect_set("run").alias("runs")), "runs-by-text")
     # The other columns travel as one JSON value: their names and types cannot clash with ours.
     doc = F.encode(F.to_json("row", {"ignoreNullFields": "false"}), "utf-8").alias("doc")
     packed = named.select("key", doc, "text").mapInArrow(_pack, "key long, doc binary, blob binary")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -19,6 +20,8 @@ from needledrop.llm.quality import resample
 from needledrop.llm.repeats import remove_repeats
 from needledrop.llm.toxicity import buckets_of, fit, scored, toxicity, words_of
 from needledrop.llm.vocab import byte_count, plain_ids, word_ids
+from needledrop.llm.windows_core import Words, runs
+from needledrop.sources.store import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -136,6 +139,21 @@ def test_remove_repeats_of_nothing(spark):
     assert remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_rows_that_are_two_thirds_copies_share_one_list_of_runs(spark):
+    copies = [(1, prose(50, 300))] * 800
+    pairs = copies + [(100 + i, prose(200 + i, 60)) for i in range(400)]
+    found = {}
+    for r in remove_repeats(docs(spark, pairs)).collect():
+        found.setdefault(r.row.doc_id, []).append((r.n_words, r.n_removed))
+    assert found[1] == [(300, 300)] * 800
+    assert all(found[100 + i] == [(60, 0)] for i in range(400))
+    folder = Path(shared_dir(spark)) / spark.sparkContext.applicationId
+    newest = max(folder.glob("runs-by-text-*"), key=lambda p: p.stat().st_mtime)
+    lists = [len(r.runs) for r in spark.read.parquet(str(newest)).collect()]
+    # One list for all copies, no longer than twice the runs of one of them.
+    assert max(lists) <= 2 * len(runs(Words.of(np.frombuffer(copies[0][1].encode(), np.uint8)), 35, 12)[0])
+
+
 def test_token_counts_and_their_cache(spark, tmp_path):
     pairs = odd_pairs() + [(20, "a <|endoftext|> b"), (21, "tab\t \n\n  end ")]
     want = sorted(
