@@ -29,12 +29,14 @@ def main() -> None:
     p = runs.add_parser("profile")
     p.add_argument("table")
     p.add_argument("folder", help="every report is written below it")
+    p.add_argument("--approximate", action="store_true", help="medians and distinct counts from sketches, curves from bins")
     p.add_argument("--multi-line", action="store_true", help="a CSV table has quoted fields with line breaks")
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName(f"needledrop-{args.run}").getOrCreate()
     if args.run == "profile":
-        for name, part in write_profile(run_profile(read_enriched(spark, args.table, multi_line=args.multi_line)), args.folder).items():
+        reports = run_profile(read_enriched(spark, args.table, multi_line=args.multi_line), exact=not args.approximate)
+        for name, part in write_profile(reports, args.folder).items():
             print(name, part)
         return
     paths = (args.train, args.test, args.catalogue, args.folder)

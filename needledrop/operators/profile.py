@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from needledrop.operators.quantiles import exact_quantiles, long_values
+from needledrop.operators.sketches import distinct_estimate, sketch_distinct, sketch_quantiles, sketched
 
 # Columns that are not profiled.
 NOT_PROFILED = (
@@ -118,20 +119,30 @@ def _class_stats(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return usable.select("column", "target", *measures)
 
 
-def class_conditional_stats(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(column, target, n, mean, std, median, n_distinct)."""
+def class_conditional_stats(df: DataFrame, columns: list[str], target: str, exact: bool = True) -> DataFrame:
+    """(column, target, n, mean, std, median, n_distinct).
+
+    The exact distinct count sends every distinct value through a shuffle. Without ``exact`` the median and the
+    distinct count come from sketches, with the errors of ``sketches``, and every task sends one row per class.
+    """
     rows = _classes(df, target)
+    if not exact:
+        found = sketched(rows, columns, ["target"])
+        medians = sketch_quantiles(found, [0.5], ["target"]).select("column", "target", F.col("value").alias("median"))
+        distinct = sketch_distinct(found, ["target"]).drop("n")
+        return _with_medians(_class_stats(df, columns, target), medians, distinct)
     long = long_values(rows, columns, ["target"])
     distinct = long.groupBy("column", "target").agg(F.count_distinct("value").alias("n_distinct"))
     medians = exact_quantiles(rows, columns, [0.5], ["target"]).select(
         "column", "target", F.col("value").alias("median")
     )
-    return (
-        _class_stats(df, columns, target)
-        .join(F.broadcast(medians), ["column", "target"])
-        .join(F.broadcast(distinct), ["column", "target"])
-        .select("column", "target", "n", "mean", "std", "median", "n_distinct")
-    )
+    return _with_medians(_class_stats(df, columns, target), medians, distinct)
+
+
+def _with_medians(stats: DataFrame, medians: DataFrame, distinct: DataFrame) -> DataFrame:
+    """All three have one row per column and class."""
+    joined = stats.join(F.broadcast(medians), ["column", "target"]).join(F.broadcast(distinct), ["column", "target"])
+    return joined.select("column", "target", "n", "mean", "std", "median", "n_distinct")
 
 
 def _long_texts(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -197,16 +208,10 @@ def class_histogram(
     )
 
 
-def class_kde(
-    df: DataFrame, columns: list[str], target: str, points: int = DENSITY_POINTS
-) -> DataFrame:
-    """(column, target, point, x, density): Gaussian kernels, bandwidth n**(-1/5) * std.
-
-    Equal values are counted first, and a value is only sent to the grid points its kernel
-    reaches as a double; at large n the bandwidth is small and that is a few of them.
-    """
+def _density_setup(df: DataFrame, columns: list[str], target: str, points: int) -> DataFrame:
+    """(column, target, _n, _lo, _step, _h): where a curve starts, its grid and its bandwidth n**(-1/5) * std."""
     stats = _class_stats(df, columns, target).where((F.col("n") > 1) & (F.col("std") > 0))
-    setup = stats.select(
+    return stats.select(
         "column",
         "target",
         F.col("n").alias("_n"),
@@ -214,6 +219,17 @@ def class_kde(
         ((F.col("max") - F.col("min")) / F.lit(float(points - 1))).alias("_step"),
         (F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("std")).alias("_h"),
     )
+
+
+def class_kde(
+    df: DataFrame, columns: list[str], target: str, points: int = DENSITY_POINTS
+) -> DataFrame:
+    """(column, target, point, x, density): Gaussian kernels, bandwidth n**(-1/5) * std.
+
+    Equal values are counted first, and a value is only sent to the grid points its kernel
+    reaches as a double; at large n the bandwidth is small and that is a few of them.
+    """
+    setup = _density_setup(df, columns, target, points)
     values = long_values(_classes(df, target), columns, ["target"])
     values = values.groupBy("column", "target", "value").agg(F.count(F.lit(1)).alias("_w"))
     reach = F.col("_h") * _REACH
@@ -239,12 +255,70 @@ def class_kde(
     )
 
 
-def dataset_summary(df: DataFrame, by: str, user: str, obs_id: str, label: str, track: str) -> DataFrame:
-    """One row per value of ``by``: rows, users, tracks, id range, positives."""
+def class_kde_binned(
+    df: DataFrame, columns: list[str], target: str, points: int = DENSITY_POINTS, tolerance: float = 1e-6
+) -> DataFrame:
+    """(column, target, point, x, density, error): the curve of ``class_kde`` from linear bins, for large tables.
+
+    A value between two nodes of a fine mesh counts for both, by its distance, and the kernel sums run over
+    the nodes. With a mesh of d * h that changes a curve by at most d * d / 8 of a kernel's highest value, and so
+    no more than by 0.9 * ``tolerance`` of it; kernels end where they are below the other tenth. ``error``
+    is that bound as a density. A task sends one row per cell that it has seen, and the cells are at most as many
+    as distinct values, or the range over the mesh; the exact form sends every distinct value.
+    """
+    if not 0 < tolerance < 1:
+        raise ValueError("the tolerance must lie between 0 and 1")
+    setup = _density_setup(df, columns, target, points)
+    mesh = F.col("_h") * math.sqrt(8 * 0.9 * tolerance)
+    reach = F.col("_h") * math.sqrt(-2 * math.log(0.1 * tolerance))
+    place = (F.col("value") - F.col("_lo")) / F.col("_mesh")
+    values = long_values(_classes(df, target), columns, ["target"])
+    located = values.join(F.broadcast(setup.select("column", "target", "_lo", mesh.alias("_mesh"))), ["column", "target"]).select(
+        "column", "target", F.floor(place).alias("_cell"), (place - F.floor(place)).alias("_part")
+    )
+    cells = located.groupBy("column", "target", "_cell").agg(F.count(F.lit(1)).alias("_w"), F.sum("_part").alias("_right"))
+    nodes = cells.select(
+        "column",
+        "target",
+        F.inline(
+            F.array(
+                F.struct(F.col("_cell").alias("_node"), (F.col("_w") - F.col("_right")).alias("_mass")),
+                F.struct((F.col("_cell") + 1).alias("_node"), F.col("_right").alias("_mass")),
+            )
+        ),
+    )
+    placed = nodes.join(F.broadcast(setup), ["column", "target"]).withColumn("_at", F.col("_node") * mesh)
+    first = F.greatest(F.lit(0), F.ceil((F.col("_at") - reach) / F.col("_step"))).cast("int")
+    final = F.least(F.lit(points - 1), F.floor((F.col("_at") + reach) / F.col("_step"))).cast("int")
+    reached = F.when(first <= final, F.sequence(first, final)).otherwise(F.array().cast("array<int>"))
+    z = (F.col("_at") - F.col("point") * F.col("_step")) / F.col("_h")
+    sums = (
+        placed.select("column", "target", "_at", "_mass", "_step", "_h", F.explode(reached).alias("point"))
+        .groupBy("column", "target", "point")
+        .agg(F.sum(F.col("_mass") * F.exp(F.lit(-0.5) * z * z)).alias("_sum"))
+    )
+    grid = setup.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    peak = F.lit(1 / math.sqrt(2 * math.pi)) / F.col("_h")
+    return grid.join(F.broadcast(sums), ["column", "target", "point"], "left").select(
+        "column",
+        "target",
+        "point",
+        (F.col("_lo") + F.col("point") * F.col("_step")).alias("x"),
+        (F.coalesce(F.col("_sum"), F.lit(0.0)) * peak / F.col("_n")).alias("density"),
+        (peak * tolerance).alias("error"),
+    )
+
+
+def dataset_summary(df: DataFrame, by: str, user: str, obs_id: str, label: str, track: str, exact: bool = True) -> DataFrame:
+    """One row per value of ``by``: rows, users, tracks, id range, positives.
+
+    Without ``exact`` users and tracks are counted by sketches, within ``sketches.distinct_error``.
+    """
+    distinct = F.count_distinct if exact else lambda c: distinct_estimate(F.col(c))
     return df.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct(user).alias("n_users"),
-        F.count_distinct(track).alias("n_tracks"),
+        distinct(user).alias("n_users"),
+        distinct(track).alias("n_tracks"),
         F.min(obs_id).alias("min_obs_id"),
         F.max(obs_id).alias("max_obs_id"),
         F.sum(label).cast("bigint").alias("n_positive"),

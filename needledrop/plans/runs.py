@@ -81,8 +81,11 @@ def run_full(
     return {**done, "search": found, "search_files": written, "top_trials": top_trials(spark, found["tuning_results"], 3)}
 
 
-def run_profile(df: DataFrame, target: str = "fwdbtn") -> dict[str, DataFrame | dict]:
-    """Every column by class; the roles are decided first, then all columns share a pass per report."""
+def run_profile(df: DataFrame, target: str = "fwdbtn", exact: bool = True) -> dict[str, DataFrame | dict]:
+    """Every column by class; the roles are decided first, then all columns share a pass per report.
+
+    Without ``exact`` medians and distinct counts come from sketches and the curves from linear bins.
+    """
     width = len(df.columns)
     # Every report reads the table again: only the profiled columns, written once.
     df = settled(df.select(target, *[c for c in df.columns if c not in profile.NOT_PROFILED]), "profiled")
@@ -95,9 +98,9 @@ def run_profile(df: DataFrame, target: str = "fwdbtn") -> dict[str, DataFrame |
         "shape": df.agg(F.count(F.lit(1)).alias("rows"), F.lit(width).alias("columns")),
     }
     if numbers:
-        out["stats"] = profile.class_conditional_stats(df, numbers, target)
+        out["stats"] = profile.class_conditional_stats(df, numbers, target, exact)
         out["histogram"] = profile.class_histogram(df, numbers, target)
-        out["density"] = profile.class_kde(df, numbers, target)
+        out["density"] = (profile.class_kde if exact else profile.class_kde_binned)(df, numbers, target)
     if texts:
         out["categories"] = profile.class_category_counts(df, texts, target)
     return out

@@ -34,9 +34,30 @@ def day_keys(rows: DataFrame, columns: list[str], kinds: str) -> DataFrame:
     return found.select("day", F.sha2(F.concat_ws(",", F.lit(f"{CACHE_VERSION}:{kinds}"), *values), 256).alias("key"))
 
 
-def _index(spark: SparkSession, folder: str) -> DataFrame:
+def day_index(spark: SparkSession, folder: str) -> dict[tuple[int | None, str], str]:
+    """The folder that holds each stored day, by day and name; a few names per calendar day."""
     path = f"{folder}/index"
-    return spark.read.schema(_INDEX).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], _INDEX)
+    found = spark.read.schema(_INDEX).parquet(path).collect() if path_exists(spark, path) else []
+    return {(r["day"], r["name"]): r["folder"] for r in found}
+
+
+def note_days(spark: SparkSession, folder: str, new: list[tuple[int | None, str, str]]) -> dict[tuple[int | None, str], str]:
+    """Add complete days to the index."""
+    spark.createDataFrame(new, _INDEX).coalesce(1).write.mode("append").parquet(f"{folder}/index")
+    return {(d, name): path for d, name, path in new}
+
+
+def kept_days(spark: SparkSession, stored: dict[tuple[int | None, str], str], names: dict[int | None, str]) -> DataFrame | None:
+    """The stored rows of the named days; None without any."""
+    by_folder: dict[str, list[int | None]] = {}
+    for d, name in names.items():
+        by_folder.setdefault(stored[(d, name)], []).append(d)
+    whole = None
+    for path, days in sorted(by_folder.items()):
+        wanted = F.col("day").isin(sorted(d for d in days if d is not None))
+        part = spark.read.parquet(path).where(wanted | F.col("day").isNull() if None in days else wanted)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
 
 
 def cached_history(
@@ -58,7 +79,7 @@ def cached_history(
     content = {r["day"]: r["key"] for r in day_keys(dated, needed, f"{rows.schema.simpleString()}{columns}").collect()}
     # Rows without a time have no day; they are refused below, as everywhere in a history.
     names = {d: f"{k}-{content.get(d - 1, '')}" if d is not None else k for d, k in content.items()}
-    stored = {(r["day"], r["name"]): r["folder"] for r in _index(spark, folder).collect()}
+    stored = day_index(spark, folder)
     missing = sorted((d for d, name in names.items() if (d, name) not in stored), key=lambda d: (d is not None, d))
     if missing:
         near = {x for d in missing if d is not None for x in (d - 1, d)}
@@ -68,16 +89,8 @@ def cached_history(
         counted = counted.withColumn("day", day).where(F.col("day").isin([d for d in missing if d is not None]))
         target = f"{folder}/run-{uuid.uuid4().hex}"
         counted.repartition("day", F.pmod(F.xxhash64(*keys), F.lit(16))).write.partitionBy("day").parquet(target)
-        new = [(d, names[d], target) for d in missing if d is not None]
-        spark.createDataFrame(new, _INDEX).coalesce(1).write.mode("append").parquet(f"{folder}/index")
-        stored |= {(d, name): path for d, name, path in new}
-    by_folder: dict[str, list[int]] = {}
-    for d, name in names.items():
-        by_folder.setdefault(stored[(d, name)], []).append(d)
-    parts = [spark.read.parquet(path).where(F.col("day").isin(sorted(days))) for path, days in sorted(by_folder.items())]
-    if not parts:
+        stored |= note_days(spark, folder, [(d, names[d], target) for d in missing if d is not None])
+    whole = kept_days(spark, stored, names)
+    if whole is None:
         return with_history(rows.limit(0), columns, keys, settings), []
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
     return whole.select(*needed, *columns), missing

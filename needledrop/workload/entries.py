@@ -23,7 +23,7 @@ from needledrop.functions import (
     with_temporal_features,
 )
 from needledrop.operators import columns as cols
-from needledrop.operators import inference, metrics, profile, staged
+from needledrop.operators import inference, metrics, profile, sketches, staged
 from needledrop.operators.encode import ColumnImputer, FeatureEncoder
 from needledrop.operators.history import with_bin_counts, with_rolling_counts, with_track_order
 from needledrop.operators.rates import with_past_rate, with_user_rate
@@ -409,6 +409,46 @@ def class_kde(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_rounded(curve, CURVE_DIGITS, "density"), STAT_DIGITS, "x")
 
 
+@query
+def class_kde_binned(spark: SparkSession, sf: str) -> DataFrame:
+    curve = profile.class_kde_binned(views.plays(spark, sf), _NUMBERS, "fwdbtn")
+    return _rounded(_rounded(curve, CURVE_DIGITS, "density", "error"), STAT_DIGITS, "x")
+
+
+def _days_merged(spark: SparkSession, sf: str, columns: list[str], numbers: list[str]) -> DataFrame:
+    """Sketches by day and class, merged over the days."""
+    rows = views.plays(spark, sf).withColumn("day", F.to_date("ts"))
+    return sketches.merged(sketches.sketched(rows, columns, ["day", "fwdbtn"], numbers=numbers), ["fwdbtn"])
+
+
+@query
+def quantile_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles by class from merged sketches; ``within`` says that their rank in the whole table keeps the bound."""
+    by = ["fwdbtn", "column", "prob"]
+    found = sketches.sketch_quantiles(_days_merged(spark, sf, _NUMBERS, _NUMBERS), [0.01, 0.25, 0.5, 0.75, 0.99], ["fwdbtn"])
+    found = settled(found.withColumnRenamed("value", "answer"), "sketch-quantiles")
+    long = profile.long_values(views.plays(spark, sf), _NUMBERS, ["fwdbtn"])
+    ranks = long.join(F.broadcast(found), ["fwdbtn", "column"]).groupBy(*by, "n").agg(
+        F.count_if(F.col("value") < F.col("answer")).alias("_below"), F.count_if(F.col("value") <= F.col("answer")).alias("_upto")
+    )
+    slack = F.lit(sketches.rank_error()) * F.col("n")
+    wanted = F.col("prob") * F.col("n")
+    within = (F.col("_below") <= wanted + slack + 1) & (F.col("_upto") >= wanted - slack - 1)
+    return ranks.select(*by, "n", within.alias("within"))
+
+
+@query
+def distinct_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct users, plays and platforms by class from merged sketches; ``within`` says that they keep the bound."""
+    columns = ["username", "obs_id", "platform"]
+    found = sketches.sketch_distinct(_days_merged(spark, sf, columns, []), ["fwdbtn"])
+    exact = views.plays(spark, sf).groupBy("fwdbtn").agg(*[F.count_distinct(c).alias(c) for c in columns])
+    exact = exact.unpivot(["fwdbtn"], columns, "column", "exact")
+    error = F.abs(F.col("n_distinct") - F.col("exact"))
+    within = error <= F.greatest(F.lit(1.0), F.lit(sketches.distinct_error()) * F.col("exact"))
+    return found.join(exact, ["fwdbtn", "column"]).select("fwdbtn", "column", "n", "exact", within.alias("within"))
+
+
 @query
 def dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows = _framed(spark, sf).withColumn("track_id", track_id("spotify_track_uri"))

@@ -458,6 +458,37 @@ def oracle() -> dict[str, str]:
             GROUP BY s."column", s.target, i, lo, hi""",
         "plays",
     )
+    # The mesh and reach of a tolerance of 1e-6.
+    mesh, reach = "h * sqrt(8 * 0.9 * 1e-6)", "h * sqrt(-2 * ln(0.1 * 1e-6))"
+    curve = f"(SELECT *, pow(total, CAST(-0.2 AS DOUBLE)) * sd AS h FROM ({spans}))"
+    q["class_kde_binned"] = _with(
+        f"""SELECT s."column", s.target, CAST(i AS INT) AS point, round(lo + i * (hi - lo) / 199, 6) AS x,
+                   round(coalesce(sum(CASE WHEN abs(pos - i * (hi - lo) / 199) <= {reach} THEN m * exp(-0.5 * pow((pos - i * (hi - lo) / 199) / h, 2)) END), 0)
+                         / (total * h * sqrt(2 * pi())), 9) AS density,
+                   round(1e-6 / (h * sqrt(2 * pi())), 9) AS error
+            FROM {curve} s CROSS JOIN range(200) r(i)
+            JOIN (SELECT "column", target, (c + e) * d AS pos, CASE e WHEN 0 THEN w - f ELSE f END AS m
+                  FROM (SELECT l."column", l.target, {mesh} AS d, floor((v - lo) / ({mesh})) AS c, count(*) AS w,
+                               sum((v - lo) / ({mesh}) - floor((v - lo) / ({mesh}))) AS f
+                        FROM ({LONG_NUMBERS}) l JOIN {curve} k ON l."column" = k."column" AND l.target = k.target
+                        GROUP BY ALL) CROSS JOIN range(2) t(e)) b
+              ON b."column" = s."column" AND b.target = s.target
+            GROUP BY s."column", s.target, i, lo, hi, h, total""",
+        "plays",
+    )
+    # Sketches are not SQL: their bounds are, with the exact counts.
+    q["quantile_sketch"] = _with(
+        f"""SELECT target AS fwdbtn, "column", p AS prob, count(*) AS n, TRUE AS within
+            FROM ({LONG_NUMBERS}) CROSS JOIN (SELECT unnest([0.01::DOUBLE, 0.25, 0.5, 0.75, 0.99]) AS p) GROUP BY ALL""",
+        "plays",
+    )
+    q["distinct_sketch"] = _with(
+        " UNION ALL ".join(
+            f"""SELECT fwdbtn, '{c}' AS "column", count({c}) AS n, count(DISTINCT {c}) AS exact, TRUE AS within FROM plays GROUP BY fwdbtn"""
+            for c in ("username", "obs_id", "platform")
+        ),
+        "plays",
+    )
     q["dataset_summary"] = _with(
         f"""SELECT split, count(*) AS n_rows, count(DISTINCT username) AS n_users, count(DISTINCT track_id) AS n_tracks,
                    min(obs_id) AS min_obs_id, max(obs_id) AS max_obs_id, CAST(sum(fwdbtn) AS BIGINT) AS n_positive
