@@ -35,14 +35,23 @@ WITH turns AS (
   SELECT *, row_number() OVER o - 1 AS idx, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sized
   WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-), placed AS (SELECT *, before // 448 AS win FROM numbered
-), opened AS (SELECT conv_id, win, min(before) AS start, min(idx) AS first FROM placed GROUP BY ALL
+), led AS (SELECT conv_id, tokens AS s FROM numbered WHERE idx = 0 AND role = 'system'
+), placed AS (
+  SELECT n.*, coalesce(s, 0) AS s, s IS NOT NULL AND idx = 0 AS leads, before - coalesce(s, 0) AS pos,
+    greatest(1, CAST(floor((1024 - 128 - coalesce(s, 0)) / 2) AS BIGINT)) AS stride
+  FROM numbered n LEFT JOIN led ON n.conv_id IS NOT DISTINCT FROM led.conv_id
+), others AS (SELECT *, 2 * (pos // stride) + CAST(tokens > stride AS BIGINT) AS win FROM placed WHERE NOT leads
+), opened AS (
+  SELECT conv_id, win, min(pos) AS start, min(idx) AS first, least(128, greatest(0, 1024 - max(s) - sum(tokens))) AS span
+  FROM others GROUP BY ALL
 ), again AS (
-  SELECT p.conv_id, sum(p.chars) AS chars
-  FROM opened o JOIN placed p ON o.conv_id IS NOT DISTINCT FROM p.conv_id
-  WHERE (p.before < o.start AND p.before >= o.start - 128 AND NOT (p.idx = 0 AND p.role = 'system'))
-     OR (o.first > 0 AND p.idx = 0 AND p.role = 'system')
-  GROUP BY p.conv_id
+  SELECT conv_id, sum(chars) AS chars FROM (
+    SELECT p.conv_id, p.chars FROM opened o JOIN others p ON o.conv_id IS NOT DISTINCT FROM p.conv_id
+    WHERE p.pos < o.start AND p.pos >= o.start - o.span
+    UNION ALL
+    SELECT p.conv_id, p.chars FROM opened o JOIN placed p ON o.conv_id IS NOT DISTINCT FROM p.conv_id
+    WHERE p.leads AND o.first > 1
+  ) GROUP BY conv_id
 ), said AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
     coalesce(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars

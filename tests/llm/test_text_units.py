@@ -6,6 +6,7 @@ from itertools import accumulate
 
 import numpy as np
 import pytest
+import regex
 from helpers import docs, odd_pairs, prose
 from pyspark.sql import functions as F
 
@@ -110,6 +111,42 @@ def test_windows_keep_the_system_turn_and_limited_history(spark):
     assert targets == [t for _, _, r, t in rows if r == "assistant"]
 
 
+def recount(text):
+    return len(regex.findall(r"[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]", text)) + 4
+
+
+@pytest.mark.parametrize(("budget", "history"), [(1024, 128), (300, 60), (64, 16)])
+@pytest.mark.parametrize("given", [False, True])
+def test_no_window_exceeds_the_budget_unless_one_turn_does(spark, budget, history, given):
+    r = random.Random(budget)
+    rows = conversations() + [(70, 0, "system", prose(1, 600)), (71, 0, "system", prose(2, 150)), (72, 0, "system", prose(3, 40)), (73, 0, "system", "alone"), (74, 5, "system", "late"), (77, 0, "user", prose(5, 1100))]
+    rows += [(c, t, ["user", "assistant"][t % 2], prose(c * 1000 + t, r.choice([1, 40, 41, 45, 200]))) for c in (70, 71, 72) for t in range(1, 40)]
+    rows += [(75, t, "system", f"many {t}") for t in range(30)] + [(76, 1, "assistant", prose(9, 20)), (76, 1, "system", prose(8, 20))]
+    # Counts as a tokenizer would give them: not those of the pattern.
+    weigh = (lambda text: 4 + 2 * len(text.split())) if given else recount
+    table = chat(spark, rows).withColumn("counted", F.when(F.col("text").isNotNull(), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) * 2))
+    found = format_windows(table, budget, history, "counted" if given else None).withColumn("turns", read_turns(F.col("formatted"))).collect()
+    assert len({(w.conv_id, w.window) for w in found}) == len(found)
+    over = 0
+    for w in found:
+        sizes = [weigh(t.text) for t in w.turns]
+        assert w.n_tokens == sum(sizes)
+        led = w.turns[0].role == "system" and w.conv_id not in (74, 75, 76) or (w.conv_id == 75)
+        kept, own = sizes[: w.n_repeated], sizes[w.n_repeated :]
+        if w.n_tokens > budget:
+            over += 1
+            # The system turn and a single turn.
+            assert len(sizes) <= 2 and (len(sizes) == 1 or led)
+        assert sum(kept[1:] if led else kept) <= history and own
+    assert over
+    by_conv = {}
+    for w in sorted(found, key=lambda w: (w.conv_id is not None, w.conv_id or 0, w.window)):
+        by_conv.setdefault(w.conv_id, []).extend((t.role, t.text) for t in w.turns[w.n_repeated :])
+    for conv, turns in by_conv.items():
+        assert turns == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=order)]
+    assert all(w.turns[0].text == prose(1, 600) for w in found if w.conv_id == 70)
+
+
 def test_escapes_are_reversible(spark):
     r = random.Random(9)
     texts = ["".join(r.choice(["<", "|", "\\", "n", "\n", "im_end", ">", "a"]) for _ in range(r.randint(0, 14))) for _ in range(400)]
