@@ -33,6 +33,7 @@ from needledrop.operators.history import IS_TRAIN, by_day, with_history
 from needledrop.operators.rates import with_user_rate
 from needledrop.operators.split import TEST, TRAIN, fold_name
 from needledrop.operators.tracks import enrich, flatten_documents, one_row_per_track, track_features
+from needledrop.sources.catalogue_store import kept_catalogue
 from needledrop.sources.day_cache import cached_history
 from needledrop.sources.scans import read_catalogue, read_enriched_frames, read_play_frames
 from needledrop.sources.store import content_key, settled, stored
@@ -131,9 +132,12 @@ def load_frames(
     folder: str | None = None,
     enriched: tuple[str, str] | None = None,
     multi_line: bool = False,
+    catalogue_store: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The enriched train and test frames; ``multi_line`` reads quoted line breaks in text files.
 
+    With a folder in ``catalogue_store`` only documents that are new or changed since an earlier run are parsed.
+
     ``enriched`` names a pair of tables (CSV or Parquet) that are joined already. Otherwise they are built;
     with ``folder`` they are kept there under the content of all three inputs, and built once.
     """
@@ -141,7 +145,7 @@ def load_frames(
         train, test = read_enriched_frames(spark, enriched, multi_line=multi_line)
         return train, test
     train, test = read_play_frames(spark, (train_path, test_path), multi_line)
-    documents = read_catalogue(spark, catalogue)
+    documents = kept_catalogue(spark, catalogue, catalogue_store)[0] if catalogue_store else read_catalogue(spark, catalogue)
     joined = enrich_frames(train, test, catalogue_features(documents, train))
     if not folder:
         return joined

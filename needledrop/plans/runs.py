@@ -26,13 +26,14 @@ def prepared(
     enriched: tuple[str, str] | None = None,
     multi_line: bool = False,
     count_cache: str | None = None,
+    catalogue_store: str | None = None,
 ) -> Encoded:
     """Load, enrich, derive, impute and encode; each step that is read again is a table.
 
     The encoder fills nulls from the train rows. ``fill_from_val`` fills them before that
     from train and val rows together, as the original does.
     """
-    train, test = load_frames(spark, train_path, test_path, catalogue, f"{folder}/enriched", enriched, multi_line)
+    train, test = load_frames(spark, train_path, test_path, catalogue, f"{folder}/enriched", enriched, multi_line, catalogue_store)
     dataset = settled(build_dataset(train, test, counts=counts, settings=settings, cache=count_cache), "dataset")
     dataset = impute(dataset, True, settings) if fill_from_val else dataset
     encoded = encode(dataset, settings, table_dir=f"{folder}/models")
@@ -52,9 +53,11 @@ def run_short(
     predictions: str | None = None,
     multi_line: bool = False,
     count_cache: str | None = None,
+    catalogue_store: str | None = None,
 ) -> dict:
     """Train with fixed parameters and write the predictions."""
-    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched, multi_line=multi_line, count_cache=count_cache)
+    kept = {"enriched": enriched, "multi_line": multi_line, "count_cache": count_cache, "catalogue_store": catalogue_store}
+    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, **kept)
     return train_and_apply(encoded, params, folder, "short", settings, f"{folder}/models/best_model", predictions)
 
 
@@ -71,10 +74,12 @@ def run_full(
     predictions: str | None = None,
     multi_line: bool = False,
     count_cache: str | None = None,
+    catalogue_store: str | None = None,
     **search_options,
 ) -> dict:
     """Search, train with the best parameters, write predictions and search results."""
-    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, enriched=enriched, multi_line=multi_line, count_cache=count_cache)
+    kept = {"enriched": enriched, "multi_line": multi_line, "count_cache": count_cache, "catalogue_store": catalogue_store}
+    encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, **kept)
     found = search(encoded, n_trials, settings=settings, **search_options)
     written = write_search_results(spark, found, f"{folder}/tuning_results")
     done = train_and_apply(encoded, found["best_params"], folder, "full", settings, f"{folder}/models/best_model", predictions)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,8 +138,12 @@ def read_enriched_frames(
     return typed_alike(frames, texts)
 
 
-def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON document per ``.json`` file of the folder itself; unreadable files are skipped."""
+# Catalogue files by name, in either case.
+JSON_FILES = "*.[jJ][sS][oO][nN]"
+
+
+def parsed_documents(spark: SparkSession, paths: str | list[str], keep: list[Column] | None = None) -> DataFrame:
+    """``keep`` and the fields of the JSON documents in files or folders; unreadable files are skipped."""
     schema = T.StructType([*CATALOGUE_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
     docs = (
         spark.read.schema(schema)
@@ -147,12 +151,17 @@ def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:
             multiLine=True,
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=_CORRUPT,
-            pathGlobFilter="*.[jJ][sS][oO][nN]",
+            pathGlobFilter=JSON_FILES,
             recursiveFileLookup=False,
         )
-        .json(folder)
+        .json(paths)
     )
-    return docs.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return docs.where(F.col(_CORRUPT).isNull()).select(*(keep or []), *CATALOGUE_SCHEMA.names)
+
+
+def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """One JSON document per ``.json`` file of the folder itself; unreadable files are skipped."""
+    return parsed_documents(spark, folder)
 
 
 def parse_documents(df: DataFrame, text: str, schema: T.StructType, keep: list[str]) -> DataFrame:
