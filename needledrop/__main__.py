@@ -23,6 +23,7 @@ def main() -> None:
         p.add_argument("--predictions", help="path of the predictions; by default a name below FOLDER")
         p.add_argument("--future-counts", action="store_true", help="20-minute counts that see later plays, as in the original")
         p.add_argument("--count-cache", metavar="FOLDER", help="keep history counts by day there; not with --future-counts")
+        p.add_argument("--across-frames", action="store_true", help="history counts see both frames; not with --count-cache")
         p.add_argument("--catalogue-store", metavar="FOLDER", help="keep parsed documents there; only new files are parsed")
         p.add_argument("--multi-line", action="store_true", help="text files have quoted fields with line breaks")
         if name == "full":
@@ -47,6 +48,7 @@ def main() -> None:
         "multi_line": args.multi_line,
         "count_cache": args.count_cache,
         "catalogue_store": args.catalogue_store,
+        "across_frames": args.across_frames,
         "counts": PARITY_COUNTS if args.future_counts else PAST_COUNTS,
     }
     done = run_short(spark, *paths, **how) if args.run == "short" else run_full(spark, *paths, n_trials=args.trials, **how)

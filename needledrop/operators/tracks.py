@@ -11,6 +11,7 @@ from needledrop.operators.columns import membership
 from needledrop.operators.quantiles import exact_quantiles
 from needledrop.sources.store import settled
 
+# The fields of a catalogue document.
 CATALOGUE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -70,6 +70,7 @@ def history_features(
     settings: Settings = Settings(),
     learn_rate: bool = True,
     cache: str | None = None,
+    across_frames: bool = False,
 ) -> DataFrame:
     """Add history counts, ``split`` and the user rate to plays with a ``frame`` column.
 
@@ -77,10 +78,15 @@ def history_features(
     is learned from the train rows and reaches the test rows of the same user. Users without
     train rows get the rate over all train rows. The counted table is written once, and both rates
     are learned from it. With a folder in ``cache`` the counts of days that have not changed since an earlier
-    run are read from there; ids must be unique in a frame.
+    run are read from there; ids must be unique in a frame. With ``across_frames`` the counts see the plays of
+    a user in both frames, so the first test plays have the history that the train plays are; the split stays by frame.
     """
     user, fold, row = settings.user, settings.fold_column, settings.obs_id
-    if cache:
+    if cache and across_frames:
+        raise ValueError("the cache keeps counts by frame")
+    if across_frames:
+        rows = by_day(by_day(df, [user], set(counts), settings), [user, FRAME], set(), settings, split=True)
+    elif cache:
         kept, _ = cached_history(df, cache, counts, [user, FRAME], settings)
         rows = by_day(df, [user, FRAME], set(), settings, split=True).join(kept.select(FRAME, row, *counts), [FRAME, row])
     else:
@@ -162,6 +168,7 @@ def build_dataset(
     counts: tuple[str, ...] = PARITY_COUNTS,
     settings: Settings = Settings(),
     cache: str | None = None,
+    across_frames: bool = False,
 ) -> DataFrame:
     """Both frames to features, label, id and ``split``; nulls are left for ``impute``.
 
@@ -173,7 +180,7 @@ def build_dataset(
     both = train.withColumn(FRAME, F.lit(TRAIN)).unionByName(
         test.drop(settings.label).withColumn(FRAME, F.lit(TEST)), allowMissingColumns=True
     )
-    table = history_features(both, counts, settings, cache=cache)
+    table = history_features(both, counts, settings, cache=cache, across_frames=across_frames)
     return row_features(table if features is None else enrich(table, features)).drop(FRAME, *RAW_COLUMNS)
 
 

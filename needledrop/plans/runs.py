@@ -27,6 +27,7 @@ def prepared(
     multi_line: bool = False,
     count_cache: str | None = None,
     catalogue_store: str | None = None,
+    across_frames: bool = False,
 ) -> Encoded:
     """Load, enrich, derive, impute and encode; each step that is read again is a table.
 
@@ -34,7 +35,8 @@ def prepared(
     from train and val rows together, as the original does.
     """
     train, test = load_frames(spark, train_path, test_path, catalogue, f"{folder}/enriched", enriched, multi_line, catalogue_store)
-    dataset = settled(build_dataset(train, test, counts=counts, settings=settings, cache=count_cache), "dataset")
+    dataset = build_dataset(train, test, counts=counts, settings=settings, cache=count_cache, across_frames=across_frames)
+    dataset = settled(dataset, "dataset")
     dataset = impute(dataset, True, settings) if fill_from_val else dataset
     encoded = encode(dataset, settings, table_dir=f"{folder}/models")
     return Encoded(settled(encoded.rows, "encoded"), encoded.encoder)
@@ -54,9 +56,13 @@ def run_short(
     multi_line: bool = False,
     count_cache: str | None = None,
     catalogue_store: str | None = None,
+    across_frames: bool = False,
 ) -> dict:
     """Train with fixed parameters and write the predictions."""
-    kept = {"enriched": enriched, "multi_line": multi_line, "count_cache": count_cache, "catalogue_store": catalogue_store}
+    kept = {
+        "enriched": enriched, "multi_line": multi_line, "count_cache": count_cache, "catalogue_store": catalogue_store,
+        "across_frames": across_frames,
+    }
     encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, **kept)
     return train_and_apply(encoded, params, folder, "short", settings, f"{folder}/models/best_model", predictions)
 
@@ -75,10 +81,14 @@ def run_full(
     multi_line: bool = False,
     count_cache: str | None = None,
     catalogue_store: str | None = None,
+    across_frames: bool = False,
     **search_options,
 ) -> dict:
     """Search, train with the best parameters, write predictions and search results."""
-    kept = {"enriched": enriched, "multi_line": multi_line, "count_cache": count_cache, "catalogue_store": catalogue_store}
+    kept = {
+        "enriched": enriched, "multi_line": multi_line, "count_cache": count_cache, "catalogue_store": catalogue_store,
+        "across_frames": across_frames,
+    }
     encoded = prepared(spark, train_path, test_path, catalogue, folder, counts, settings, **kept)
     found = search(encoded, n_trials, settings=settings, **search_options)
     written = write_search_results(spark, found, f"{folder}/tuning_results")

@@ -57,6 +57,7 @@ def run_trial(tid: int, encoded: Encoded, params: dict, settings: Settings) -> d
         scores, error = ([auc], None) if auc is not None else ([], "validation rows of one class only")
     except Exception as e:  # noqa: BLE001 - a bad parameter set must not end the search
         scores, error = [], str(e)
+    # The keys of a trial.
     return {
         "tid": tid,
         "params": params,
@@ -94,6 +95,7 @@ def search(
     if not done:
         raise RuntimeError(f"every trial failed, the first with: {trials[0]['error']}")
     best = max(done, key=lambda t: (t["mean_cv_score"], -t["tid"]))
+    # The keys of the search results.
     return {
         "best_params": best["params"],
         "best_score": best["mean_cv_score"],

@@ -293,6 +293,14 @@ def time_split_heavy(spark: SparkSession, sf: str) -> DataFrame:
     return with_time_split(views.heavy_orders(spark, sf)).drop("username", "ts")
 
 
+@query
+def history_across_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts over both frames, the split by frame."""
+    rows = _framed(spark, sf).select("obs_id", "username", "ts", FRAME)
+    counts = tuple(c for c in PAST_COUNTS if c != ORDER_COLUMN)
+    return history_features(rows, counts, learn_rate=False, across_frames=True).drop("username", "ts", FRAME)
+
+
 @query
 def user_skip_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Rates learned per frame; users under 5 are moved to the test frame, so some users are new there."""

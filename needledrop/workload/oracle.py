@@ -290,6 +290,14 @@ def oracle() -> dict[str, str]:
     q["time_split"] = _with(f"SELECT obs_id, split FROM ({_split('plays')})", "plays")
     q["time_split_dates"] = _with(f"SELECT obs_id, split FROM ({_split('user_orders')})", "user_orders")
     q["time_split_heavy"] = _with(f"SELECT obs_id, split FROM ({_split('heavy_orders')})", "heavy_orders")
+    # Counts over all plays of a user, the split over the train plays alone.
+    bins = "count(*) OVER (PARTITION BY username, epoch_us(ts) // 1200000000) AS songs_bin_20min"
+    q["history_across_frames"] = _with(
+        f"""SELECT p.*, coalesce(s.split, 'test') AS split
+            FROM (SELECT obs_id, {bins}, {_trailing_all("username")} FROM plays) p
+            LEFT JOIN ({_split('plays', where=f'NOT ({IS_TEST})')}) s ON p.obs_id = s.obs_id""",
+        "plays",
+    )
     in_test = f"({IS_TEST} OR username < 5)"
     q["user_skip_rate"] = _with(
         f"""SELECT p.obs_id, coalesce(s.split, 'test') AS split,

@@ -109,6 +109,29 @@ def test_test_rows_do_not_move_train_rows(spark, frames):
     assert train_part(test) == train_part(moved)
 
 
+def test_frames_from_a_kept_catalogue_are_the_same(spark, inputs, frames, tmp_path):
+    for _ in range(2):
+        found = load_frames(spark, inputs["train"], inputs["test"], inputs["catalogue"], catalogue_store=str(tmp_path))
+        for got, want in zip(found, frames):
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_counts_across_frames_see_the_other_frame(spark):
+    from needledrop.operators.history import with_history
+    from needledrop.plans.dataset import FRAME, PAST_COUNTS, history_features
+
+    rows = [(i, "hot" if i % 3 else "a", datetime(2024, 1, 1 + i // 40, i % 24, i % 60), "train" if i < 90 else "test") for i in range(120)]
+    df = spark.createDataFrame(rows, f"obs_id long, username string, ts timestamp_ntz, {FRAME} string")
+    order = ["obs_id", *PAST_COUNTS]
+    got = history_features(df, PAST_COUNTS, learn_rate=False, across_frames=True)
+    assert sorted(map(tuple, got.select(*order).collect())) == sorted(map(tuple, with_history(df, PAST_COUNTS).select(*order).collect()))
+    apart = history_features(df, PAST_COUNTS, learn_rate=False)
+    assert sorted(map(tuple, got.select("obs_id", "split").collect())) == sorted(map(tuple, apart.select("obs_id", "split").collect()))
+    assert sorted(map(tuple, got.select(*order).collect())) != sorted(map(tuple, apart.select(*order).collect()))
+    with pytest.raises(ValueError):
+        history_features(df, PAST_COUNTS, cache="/nowhere", across_frames=True)
+
+
 def test_new_user_gets_the_global_rate(spark, frames):
     df = build_dataset(*frames)
     rate = df.where("split = 'train'").agg(F.avg("fwdbtn")).first()[0]
