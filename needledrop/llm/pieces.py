@@ -9,12 +9,17 @@ minus infinity if there is none. The product of matrices is associative; the sca
 each chunk its two states and its first token's number, and every chunk is then encoded by itself.
 
 Chunks are rows that Spark deals out, so a giant document keeps many tasks busy. A document of one chunk
-is the scan of one matrix. The library does the encoding inside a chunk; paths are only searched between a
-cut and the nearest place where nothing reaches across.
+is the scan of one matrix. Paths are only searched between a cut and the nearest place where nothing reaches
+across.
+
+Inside a chunk, texts go through a second encoder of the same vocabulary with the library's result: it merges
+bytes in the order of the pieces' scores. Texts with pieces whose order the scores leave open (runs of spaces)
+go to the library. Tests compare both.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -31,7 +36,7 @@ from needledrop.sources.store import settled
 _SPACE = "▁"  # Fixed value: stands for a space inside pieces
 State = tuple[int, int] | None  # a piece as (start, end) around a cut; None where nothing reaches across
 _NO_PATH = -1
-_FEW = 128  # texts whose ids are Python numbers at one time
+_FEW = 128  # texts that are encoded or decoded at one time
 
 
 @cache
@@ -52,14 +57,61 @@ class Vocabulary:
         self.stable: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bool] = {}
         byte = {i: bytes([int(self.library.id_to_piece(i)[1:-1], 16)]) for i in odd if self.library.is_byte(i)}
-        self.bytes = [byte.get(i, b"") for i in range(n)]
+        self._set_second({b: i for i, b in byte.items()})
+        shown = [byte.get(i, b"") for i in range(n)]
         for piece, i in self.pieces.items():
-            self.bytes[i] = piece.replace(_SPACE, " ").encode("utf-8")
+            shown[i] = piece.replace(_SPACE, " ").encode("utf-8")
+        self.bytes = pa.array(shown, pa.large_binary())
 
     def inside(self, text: str) -> list[int]:
         """Ids of normalised text that is not the start of a document; a line break joins with nothing."""
         return self.library.encode("\n" + text)[2:] if text else []
 
+    def _set_second(self, byte: dict[bytes, int]) -> None:
+        """The vocabulary as ranks of byte strings: first bytes, then characters and their beginnings, then pieces by score.
+
+        A byte string that is no piece stands for the ids of its bytes, if the vocabulary has all bytes.
+        """
+        import tiktoken
+
+        shown = {p: p.replace(_SPACE, " ").encode("utf-8") for p in self.pieces}
+        score = {p: self.library.get_score(i) for p, i in self.pieces.items() if len(p) > 1}
+        own = {b: self.pieces[p] for p, b in shown.items()}
+        order = [bytes([b]) for b in range(256)]
+        order += [b[:k] for p, b in shown.items() if len(p) == 1 for k in range(2, len(b) + 1)]
+        order += [shown[p] for p in sorted(score, key=score.get, reverse=True)]
+        order = list(dict.fromkeys(order))
+        ids = [[own[b]] if b in own else [byte.get(b[k : k + 1], -1) for k in range(len(b))] for b in order]
+        self.id_of = np.array([i[0] if len(i) == 1 else -1 for i in ids], np.int32)
+        self.ids_of = pa.array(ids, pa.list_(pa.int32())) if len(byte) == 256 else None
+        # Pieces of equal score, and those that the library does not give for their own text.
+        often = Counter(score.values())
+        alone = self.library.encode(["\n" + p for p in score])
+        doubtful = {p for (p, s), found in zip(score.items(), alone) if often[s] > 1 or found[2:] != [self.pieces[p]]}
+        least: list[str] = []
+        for p in sorted(doubtful, key=len):
+            if not any(q in p for q in least):
+                least.append(p)
+        self.doubtful = [p.replace(_SPACE, " ") for p in least]
+        # Where no piece goes on after a word, words are merged one by one.
+        by_word = all(a == _SPACE or b != _SPACE for a, b in self.joined)
+        ranks = {b: rank for rank, b in enumerate(order)}
+        pattern = " *[^ ]+| +" if by_word else "(?s:.+)"
+        self.second = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def ids(self, text: str) -> np.ndarray:
+        """``inside`` as an array; spaces may be shown or not."""
+        text = text.replace(_SPACE, " ")
+        if any(p in text for p in self.doubtful):
+            return np.array(self.inside(text), np.int32)
+        tokens = np.frombuffer(self.second.encode_to_tiktoken_buffer(text, set()), np.uint32)
+        ids = self.id_of[tokens]
+        if ids.min(initial=0) >= 0:
+            return ids
+        if self.ids_of is None:
+            return np.array(self.inside(text), np.int32)
+        return self.ids_of.take(pa.array(tokens)).flatten().to_numpy()
+
     def open_cut(self, text: str, at: int) -> bool:
         """True if no piece holds the characters before and after ``at``."""
         return not 0 < at < len(text) or text[at - 1 : at + 1] not in self.joined
@@ -132,7 +184,7 @@ class Vocabulary:
             return left, right, self.paths(text, left, start, right, end)
         head = [[0]] if left == [None] else self.paths(text, left, start, [None], first)
         tail = [[0] * 1] if right == [None] else self.paths(text, [None], last, right, end)
-        return left, right, combine(combine(head, [[self.size(text, first, last)]]), tail)
+        return left, right, combine(combine(head, [[len(self.ids(text[first:last]))]]), tail)
 
 
 @cache
@@ -247,11 +299,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TOKENS = "doc_id long, row long, chunk int, chunks int, tokens_before long, chars_before long, ids array<int>"
 
 
-def _token_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 7
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+def _token_batch(rows: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
     names = [c.split()[0] for c in _TOKENS.split(", ")]
-    return pa.RecordBatch.from_pydict({c: pa.array(list(v), k) for c, v, k in zip(names, cols, kinds)})
+    ends = np.cumsum([0, *map(len, ids)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+    return pa.RecordBatch.from_arrays([*(pa.array(v, k) for v, k in zip(zip(*rows), kinds)), lists], names=names)
 
 
 def _backtrace(name: str):
@@ -259,21 +312,19 @@ def _backtrace(name: str):
         words = vocabulary(name)
         names = ("doc_id", "row", "chunk", "chunks", "tokens_before", "start", "inner", "size", "left", "right", "blob")
         for batch in batches:
-            out = []
-            for doc, row, i, n, before, start, inner, size, left, right, blob in zip(*(batch.column(c).to_pylist() for c in names)):
-                text, base = _open(blob), start - inner
-                # A piece across a cut belongs to the chunk on its left.
-                begin = inner if left[1] < 0 else left[1] - base
-                end = inner + size if right[1] < 0 else right[1] - base
-                lead = begin if left[1] < 0 else left[0] - base
-                ids = words.inside(text[lead:end])[len(words.inside(text[lead:begin])) :]
-                # The space in front of a document is not decoded.
-                out.append((doc, row, i, n, before, max(0, begin + base - 1), ids))
-                if len(out) >= _FEW:
-                    yield _token_batch(out)
-                    out = []
-            if out:
-                yield _token_batch(out)
+            for at in range(0, batch.num_rows, _FEW):
+                few = batch.slice(at, _FEW)
+                out, found = [], []
+                for doc, row, i, n, before, start, inner, size, left, right, blob in zip(*(few.column(c).to_pylist() for c in names)):
+                    text, base = _open(blob), start - inner
+                    # A piece across a cut belongs to the chunk on its left.
+                    begin = inner if left[1] < 0 else left[1] - base
+                    end = inner + size if right[1] < 0 else right[1] - base
+                    lead = begin if left[1] < 0 else left[0] - base
+                    found.append(words.ids(text[lead:end])[len(words.inside(text[lead:begin])) :])
+                    # The space in front of a document is not decoded.
+                    out.append((doc, row, i, n, before, max(0, begin + base - 1)))
+                yield _token_batch(out, found)
 
     return backtrace
 
@@ -282,13 +333,13 @@ def _whole(name: str):
     """Documents of one chunk: both ends have one state and the library encodes all between them."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = processor(name)
+        words = vocabulary(name)
         for batch in batches:
             for at in range(0, batch.num_rows, _FEW):
                 few = batch.slice(at, _FEW)
-                ids = words.encode([(t or "") for t in few.column("text").to_pylist()], num_threads=1)
-                keys = zip(few.column("doc_id").to_pylist(), few.column("row").to_pylist(), ids)
-                yield _token_batch([(doc, row, 0, 1, 0, 0, i) for doc, row, i in keys])
+                keys = zip(few.column("doc_id").to_pylist(), few.column("row").to_pylist())
+                found = [words.ids(normalised(t)) for t in few.column("text").to_pylist()]
+                yield _token_batch([(doc, row, 0, 1, 0, 0) for doc, row in keys], found)
 
     return whole
 
@@ -307,15 +358,20 @@ def encode_short(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_char
     return _rows(docs, chunk_chars, False).mapInArrow(_whole(model), _TOKENS)
 
 
-def encode_long(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_chars: int = 16384) -> DataFrame:
-    """``encode`` for the documents of several chunks."""
+def _chunks(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
+    """The chunks of the documents of several, with their two states and the number of tokens before."""
     sliced = _rows(docs, chunk_chars, True).mapInArrow(_slice(model, chunk_chars), _CHUNKS)
     # Written with their row numbers, and dealt out by chunk, so that a giant document is many tasks' work.
     chunks = settled(sliced.repartition(partitions(docs), "row", "chunk"), "piece-chunks")
     matrices = chunks.mapInArrow(_transfers(model), "row long, chunk int, left array<long>, right array<long>, matrix array<long>")
     step = F.struct("chunk", "left", "right", "matrix")
     placed = matrices.groupBy("row").agg(F.array_sort(F.collect_list(step)).alias("steps")).mapInArrow(_scan, _PLACED)
-    return chunks.join(placed, ["row", "chunk"]).mapInArrow(_backtrace(model), _TOKENS)
+    return chunks.join(placed, ["row", "chunk"])
+
+
+def encode_long(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_chars: int = 16384) -> DataFrame:
+    """``encode`` for the documents of several chunks."""
+    return _chunks(docs, model, chunk_chars).mapInArrow(_backtrace(model), _TOKENS)
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_chars: int = 16384) -> DataFrame:
@@ -361,8 +417,10 @@ def digests(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_chars: in
                 {c: pa.array(v, pa.int32() if c == "n_chunks" else pa.int64()) for c, v in cols.items()}
             )
 
-    short = decode(encode_short(docs, model, chunk_chars), model).mapInArrow(digest, kind)
-    parts = decode(encode_long(docs, model, chunk_chars), model).mapInArrow(digest, kind)
+    # Encoded, decoded and hashed by the same task, so that ids and texts do not go back to the JVM in between.
+    whole_, backtrace, decoded = _whole(model), _backtrace(model), _decoded(model)
+    short = _rows(docs, chunk_chars, False).mapInArrow(lambda batches: digest(decoded(whole_(batches))), kind)
+    parts = _chunks(docs, model, chunk_chars).mapInArrow(lambda batches: digest(decoded(backtrace(batches))), kind)
     whole = parts.groupBy("doc_id", "row", "n_chunks").agg(
         F.sum("n_tokens").alias("n_tokens"), F.bit_xor("ids_hash").alias("ids_hash"),
         F.sum("decoded_chars").alias("decoded_chars"), F.bit_xor("decoded_hash").alias("decoded_hash"),
@@ -370,6 +428,25 @@ def digests(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk_chars: in
     return short.unionByName(whole).drop("row")
 
 
+def _decoded(name: str):
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = vocabulary(name).bytes
+        for batch in batches:
+            for at in range(0, batch.num_rows, _FEW):
+                few = batch.slice(at, _FEW)
+                ids = few.column("ids")
+                pieces = table.take(ids.flatten())
+                ends = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0))])
+                ends = np.frombuffer(pieces.buffers()[1], np.int64)[ends].tolist()
+                data, texts = memoryview(pieces.buffers()[2] or b""), []
+                for i, a, b in zip(few.column("chunk").to_pylist(), ends, ends[1:]):
+                    text = str(data[a:b], "utf-8", "replace")
+                    texts.append(text[1:] if i == 0 and text.startswith(" ") else text)
+                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(texts, pa.string())], names=[*few.schema.names, "text"])
+
+    return decoded
+
+
 def decode(tokens: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """Add ``text`` to the chunks of ``encode``: each decoded by itself, joined they are the document.
 
@@ -377,14 +454,4 @@ def decode(tokens: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """
     ship(tokens.sparkSession)
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema) + ", text string"
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(model).bytes
-        for batch in batches:
-            texts = []
-            for i, ids in zip(batch.column("chunk").to_pylist(), batch.column("ids")):
-                text = b"".join(map(table.__getitem__, ids.values.to_pylist())).decode("utf-8", "replace")
-                texts.append(text[1:] if i == 0 and text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
-
-    return tokens.mapInArrow(decoded, kind)
+    return tokens.mapInArrow(_decoded(model), kind)

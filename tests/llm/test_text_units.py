@@ -11,7 +11,7 @@ from helpers import docs, odd_pairs, prose
 from pyspark.sql import functions as F
 
 from needledrop.llm.chat import conversation_digest, escape, escape_role, format_windows, read_targets, read_turns, unescape, unescape_role
-from needledrop.llm.pieces import combine, decode, digests, encode, mixed, processor
+from needledrop.llm.pieces import combine, decode, digests, encode, mixed, normalised, processor, vocabulary
 
 MODEL = "piece_bpe_32k.model"
 
@@ -54,6 +54,24 @@ def test_digests_of_odd_rows(spark):
     assert digests(docs(spark, []), MODEL).count() == 0
 
 
+def test_the_second_encoder_gives_the_library_s_ids():
+    words, r = vocabulary(MODEL), random.Random(8)
+    pieces = [p for p in words.pieces if "▁▁" not in p]
+    signs = [chr(c) for c in (*range(0x100), 0x4E2D, 0x9F98, 0x1F600, 0xFFFD, 0xFB01, 0x3000, 0x200B)]
+    some = ["".join(r.choice(pieces if r.random() < 0.7 else signs) for _ in range(r.randint(0, 40))) for _ in range(4000)] + texts()
+    some += [prose(1, 3000), "x" * 5000, "日本語" * 900]
+    for text in some:
+        assert words.ids(normalised(text)).tolist() == words.library.encode(text)
+        assert words.ids(text).tolist() == words.inside(text)
+    # Only runs of spaces have no order of their own.
+    assert words.doubtful == ["  "]
+
+
+def test_digests_stay_in_one_python_step_for_each_kind_of_document(spark):
+    plan = digests(docs(spark, odd_pairs()), MODEL, 2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # whole documents; matrices, their scan, chunks
+
+
 def test_the_max_plus_product_is_associative():
     r = random.Random(1)
     m = [[[r.randint(-1, 9) for _ in range(3)] for _ in range(3)] for _ in range(6)]
