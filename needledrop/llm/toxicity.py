@@ -30,6 +30,8 @@ _GRAMS = (3, 4, 5)
 _NO_SIGN = re.compile(r"[\W_]+")
 _REMEMBERED = 600_000  # words that one worker remembers
 _PIECE, _STEP = 12, 6  # letters of a piece, and between the starts of two
+_BLOCK = 4_096  # words that are hashed at one time
+_FEW = 50_000  # words of texts that are scored at one time, or one text
 
 
 @dataclass(frozen=True)
@@ -45,16 +47,19 @@ class ToxicityModel:
         return (self.vectors @ side).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
+def whole_words(text: str | None) -> list[str]:
+    return (text or "").lower().replace(",", " ").replace(".", " ").split()
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of a whole text as their pieces."""
-    words = (text or "").lower().replace(",", " ").replace(".", " ").split()
-    if max(map(len, words), default=0) <= _PIECE:
-        return words
-    return [piece for w in words for piece in ((w,) if len(w) <= _PIECE else pieces_of(w))]
+    return [piece for w in whole_words(text) for piece in pieces_of(w)]
 
 
 def pieces_of(word: str) -> list[str]:
     """Pieces of ``_PIECE`` letters, one every ``_STEP``; every n-gram of the word lies in one of them."""
+    if len(word) <= _PIECE:
+        return [word]
     letters = _NO_SIGN.sub("", word)
     if len(letters) <= _PIECE:
         return [word]
@@ -71,6 +76,75 @@ def buckets_of(word: str, buckets: int) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in sorted(grams)]
 
 
+_FRAMED = _PIECE + 2  # a piece and its ends
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def _step(state: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """States of CRC-32 after one more character each, as its UTF-8 bytes."""
+
+    def add(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return _CRC[(state ^ byte) & 0xFF] ^ (state >> 8)
+
+    if chars.max(initial=0) < 0x80:
+        return add(state, chars)
+    size = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+    state = add(state, np.choose(size - 1, (chars, 0xC0 | chars >> 6, 0xE0 | chars >> 12, 0xF0 | chars >> 18)))
+    for more in (3, 2, 1):
+        at = size > more
+        state[at] = add(state[at], 0x80 | chars[at] >> 6 * (more - 1) & 0x3F)
+    return state
+
+
+def means_of(words: list[str], values: np.ndarray) -> np.ndarray:
+    """Per word the mean of ``values`` at its ``buckets_of``, 0 without any; many words at a time."""
+    out = np.zeros(len(words))
+    letters = [w if w.isalnum() else _NO_SIGN.sub("", w) for w in words]
+    ascii_, other = [], []
+    for i, w in enumerate(letters):
+        if 0 < len(w) <= _PIECE:
+            (ascii_ if w.isascii() else other).append(i)
+        elif w:
+            out[i] = values[buckets_of(w, len(values))].mean()
+    for some in (ascii_, other):
+        for a in range(0, len(some), _BLOCK):
+            of = some[a : a + _BLOCK]
+            out[of] = _block_means([letters[i] for i in of], values)
+    return out
+
+
+def _block_means(letters: list[str], values: np.ndarray) -> np.ndarray:
+    # One row a character, one column a word; no letter is the character 0.
+    framed = "".join([f"<{w}>".ljust(_FRAMED, "\0") for w in letters]).encode("utf-32-le", "surrogatepass")
+    chars = np.ascontiguousarray(np.frombuffer(framed, "<u4").reshape(-1, _FRAMED).T)
+    size = (chars != 0).sum(axis=0)
+    total, count = np.zeros(len(letters)), np.zeros(len(letters))
+    state = np.full(chars.shape, 0xFFFFFFFF, np.uint32)
+    for n in range(1, _FRAMED + 1):
+        # The state of the n-gram at each start; beyond the n-grams only that of the whole word.
+        starts = _FRAMED - n + 1 if n <= max(_GRAMS) else 1
+        state = _step(state[:starts], chars[n - 1 : n - 1 + starts])
+        if n in _GRAMS:
+            there = np.arange(starts)[:, None] + n <= size
+        elif n > max(_GRAMS):
+            there = (size == n)[None, :]
+        else:
+            continue
+        gram = ~state
+        total += np.where(there, values[gram % len(values)], 0).sum(axis=0)
+        count += there.sum(axis=0)
+        if n == min(_GRAMS):
+            apart = np.sort(np.where(there, gram.astype(np.int64), -1 - np.arange(starts)[:, None]), axis=0)
+            twice = np.flatnonzero((apart[1:] == apart[:-1]).any(axis=0))
+    out = total / count
+    # A repeated n-gram counts once; where one repeats, its first three characters do.
+    for i in twice:
+        out[i] = values[buckets_of(letters[i], len(values))].mean()
+    return out
+
+
 def worst_windows(word_scores: np.ndarray, window: int) -> tuple[float, int]:
     """(mean, start) of the window of largest mean; a shorter text is one window, an empty one scores 0."""
     n = len(word_scores)
@@ -206,17 +280,35 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: in
     return train(list(rows["text"]), [int(t) for t in rows["toxic"]], **how)
 
 
-class _WordScores(dict):
+class _WordScores:
+    """The scores of every word's pieces; remembered up to a bound."""
+
     def __init__(self, scores: np.ndarray) -> None:
-        super().__init__()
         self.scores = scores
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        at = buckets_of(word, len(self.scores))
-        found = self[word] = float(self.scores[at].mean()) if at else 0.0
-        return found
+        self.known: dict[str, bytes] = {}
+
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        new = {w for words in texts for w in words if w not in self.known}
+        if len(self.known) + len(new) > _REMEMBERED:
+            self.known.clear()
+            new = set().union(*texts)
+        pieces = [pieces_of(w) for w in new]
+        raw = means_of([p for some in pieces for p in some], self.scores).tobytes()
+        at = 0
+        for word, some in zip(new, pieces):
+            self.known[word] = raw[at : at + 8 * len(some)]
+            at += 8 * len(some)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words))) for words in texts]
+
+    def each(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+        few, n = [], 0
+        for text in texts:
+            few.append(whole_words(text))
+            n += len(few[-1])
+            if n >= _FEW:
+                yield from self.of(few)
+                few, n = [], 0
+        yield from self.of(few)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -231,10 +323,8 @@ def scored(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ()) -
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _WordScores(shared.value)
         for batch in batches:
-            logits = []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                logits.append(worst_windows(np.fromiter(map(memory.__getitem__, words), float, len(words)), window)[0] + bias)
+            texts = (text.as_py() for text in batch.column("text"))
+            logits = [worst_windows(found, window)[0] + bias for found in memory.each(texts)]
             chance = 1 / (1 + np.exp(-np.clip(np.array(logits, float), -40, 40)))
             more = {c: batch.column(c) for c in carry}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(chance)} | more)

@@ -13,6 +13,7 @@ import xxhash
 from helpers import docs, odd_pairs, prose
 
 from needledrop.llm import simhash
+from needledrop.llm import toxicity as toxicity_module
 from needledrop.llm.components import components
 from needledrop.llm.counts import token_counts
 from needledrop.llm.packing import hilbert, pack, sequences
@@ -296,6 +297,23 @@ def test_score_is_the_forward_pass_of_the_worst_window(spark):
     assert {d: found[d] for d in texts} == pytest.approx({d: forward(t) for d, t in texts.items()}, abs=1e-6)
 
 
+def test_many_words_are_scored_at_one_time(monkeypatch):
+    r, values = random.Random(5), np.random.default_rng(5).normal(size=1 << 12)
+    signs = "abcdefghij-_<>09éßñ日本🙂ﬁ٣²"
+    words = ["".join(r.choice(signs[: r.choice([2, 10, 14, len(signs)])]) for _ in range(r.randint(1, 12))) for _ in range(9000)]
+    words += [w for t in (prose(3, 4000), "haha aaaaaaaaaaaa a ab abc abcd") for w in t.split()] + ["-" * 40, "x-" * 12]
+    want = [float(values[b].mean()) if (b := buckets_of(w, len(values))) else 0.0 for w in words]
+    found = np.concatenate(toxicity_module._WordScores(values).of([words[:5000], [], words[5000:]]))
+    assert toxicity_module.means_of(words, values) == pytest.approx(want, abs=1e-12)
+    assert found == pytest.approx(toxicity_module.means_of(words_of(" ".join(words)), values), abs=1e-12)
+    # Words are not hashed one by one, but for the few that repeat an n-gram.
+    calls = []
+    monkeypatch.setattr(toxicity_module, "buckets_of", lambda w, n: calls.append(w) or buckets_of(w, n))
+    some = [f"word{i}" for i in range(3000)]
+    toxicity_module._WordScores(values).of([some])
+    assert len(calls) < 30
+
+
 def test_a_labelled_id_on_many_rows_teaches_once(spark):
     pairs, marks = labelled(60)
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int, text string")
